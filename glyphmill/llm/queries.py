@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, simhash
+from glyphmill.llm import bpe, passages, repeats, simhash
 from glyphmill.llm._io import table
 
 
@@ -23,5 +23,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op6_simhash": op6_simhash}
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
+def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op6_simhash": op6_simhash,
+    "op8_suffix_array": op8_suffix_array,
+    "op10_chaining": op10_chaining,
+}
 ORACLES: dict[str, str] = {}
