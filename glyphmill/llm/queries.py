@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, passages, repeats, simhash
+from glyphmill.llm import ann, bpe, passages, repeats, simhash
 from glyphmill.llm._io import table
 
 
@@ -19,6 +19,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op5_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0", 10)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op5_projections": op5_projections,
     "op6_simhash": op6_simhash,
     "op8_suffix_array": op8_suffix_array,
     "op10_chaining": op10_chaining,
