@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import ann, bpe, passages, repeats, simhash
+from glyphmill.llm import ann, bpe, chat, passages, repeats, shards, simhash
 from glyphmill.llm._io import table
 
 
@@ -15,6 +15,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(table(spark, sf_dir, "documents"), 40)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -31,15 +35,21 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_kd_shards": op1_kd_shards,
     "op3_bpe": op3_bpe,
     "op5_projections": op5_projections,
     "op6_simhash": op6_simhash,
     "op8_suffix_array": op8_suffix_array,
+    "op9_chat": op9_chat,
     "op10_chaining": op10_chaining,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
