@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,93 +15,53 @@ TOLERANCE = 0.015
 NUMBERED = 65536
 
 
-@dataclass
-class Node:
-    """A subtree of `shards` leaves, the first of which is `first`; split by dim at (code, text, id)."""
-
-    shards: int
-    first: int
-    dim: int = -1
-    cut: tuple[int, int, int] = (0, 0, 0)
-    left: "Node | None" = None
-    right: "Node | None" = None
-
-
-def _below(node: Node, n_dims: int) -> Column:
-    code, text, id_ = node.cut
-    d = F.col(f"d{node.dim}")
-    return (d < code) | ((d == code) & ((F.col("t") < text) | ((F.col("t") == text) & (F.col("h") < id_))))
-
-
-def _walk(node: Node, leaf, n_dims: int) -> Column:
-    """An expression that goes down the tree and gives leaf(node) as a literal."""
-    if node.left is None:
-        return F.lit(leaf(node))
-    return F.when(_below(node, n_dims), _walk(node.left, leaf, n_dims)).otherwise(_walk(node.right, leaf, n_dims))
+def _of(values: dict[int, float], count: int, kind: str) -> Column:
+    """The value of each row's node (named by its first shard), zero for others; one constant array."""
+    return F.element_at(F.lit([values.get(i, 0) for i in range(count)]).cast(f"array<{kind}>"), F.col("first") + 1)
 
 
-def _cut_at(cells: dict[int, int], want: float) -> tuple[int, float, float]:
-    """(cell that holds the place `want`, weight before it, weight to its end)."""
-    run = 0.0
-    last = (0, 0.0, 0.0)
-    for cell in sorted(cells):
-        last = (cell, run, run + cells[cell])
-        if run + cells[cell] > want:
-            return last
-        run += cells[cell]
-    return last
+def _split(points: DataFrame, nodes: dict[int, int], count: int, n_dims: int, slack: float) -> Column:
+    """Split nodes (first shard -> shards) at weighted medians along their widest dimensions.
 
-
-def _split(points: DataFrame, root: Node, open_: list[Node], n_dims: int, slack: float) -> None:
-    """Split every open node at its weighted median along its widest dimension; all nodes share each job."""
-    at = {node.first: node for node in open_}
-    rows = points.withColumn("node", _walk(root, lambda n: n.first, n_dims)).where(F.col("node").isin(list(at)))
-    spans = rows.groupBy("node").agg(F.sum("size").alias("w"), *(f(f"d{i}").alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))))
-    want, found = {}, set()
-    for r in spans.collect():  # a row for each of at most as many nodes as shards
-        node = at[r.node]
-        node.dim = max(range(n_dims), key=lambda i: r[f"hi{i}"] - r[f"lo{i}"])
-        want[r.node] = r.w * (node.shards // 2) / node.shards
-        found.add(r.node)
-    prefix: dict[int, list[int]] = {k: [] for k in found}
-    todo = set(found)
+    Returns the expression for each row's node one level down. All nodes share each job; the
+    place of a cut is found in the cluster, and a row for each node comes to the driver.
+    """
+    rows = points.where(_of({k: 1 for k in nodes}, count, "int") == 1)
+    spans = rows.groupBy("first").agg(F.sum("size").alias("w"), *(f(f"d{i}").alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))))
+    dim, want = {}, {}
+    for r in spans.collect():
+        dim[r["first"]] = max(range(n_dims), key=lambda i: r[f"hi{i}"] - r[f"lo{i}"])
+        want[r["first"]] = r.w * (nodes[r["first"]] // 2) / nodes[r["first"]]
+    code = F.element_at(F.array(*(F.col(f"d{i}") for i in range(n_dims))), _of(dim, count, "int") + 1).cast("long")
+    low_bits = (1 << BITS) - 1
     shifts = [("t", BITS * i) for i in reversed(range(TEXT_DIGITS))] + [("h", BITS * i) for i in reversed(range(ID_DIGITS))]
-
-    def end(k: int) -> None:
-        p = prefix[k]
-        text = sum(x << s for x, (c, s) in zip(p[1:], shifts) if c == "t")
-        id_ = sum(x << s for x, (c, s) in zip(p[1:], shifts) if c == "h")
-        at[k].cut = (p[0], text, id_)
-
-    for digit in range(1 + len(shifts)):
+    digits = [code, *(F.shiftright(F.col(c), s).bitwiseAND(low_bits) for c, s in shifts)]
+    prefix: dict[int, list[int]] = {k: [] for k in want}
+    todo = set(want)
+    for at, digit in enumerate(digits):
         if not todo:
             break
-        here, cell = F.lit(False), F.lit(None).cast("long")
-        for k in todo:
-            is_node, d = F.col("node") == k, F.col(f"d{at[k].dim}")
-            if digit:
-                is_node = is_node & (d == prefix[k][0])
-                for x, (c, s) in zip(prefix[k][1:], shifts):
-                    is_node = is_node & (F.shiftright(F.col(c), s).bitwiseAND((1 << BITS) - 1) == x)
-                c, s = shifts[digit - 1]
-                value = F.shiftright(F.col(c), s).bitwiseAND((1 << BITS) - 1)
-            else:
-                value = d.cast("long")
-            here, cell = here | is_node, F.when(is_node, value).otherwise(cell)
-        sums: dict[int, dict[int, int]] = defaultdict(dict)
-        for r in rows.where(here).groupBy("node", cell.alias("cell")).agg(F.sum("size").alias("w")).collect():  # nodes x cells rows at most
-            sums[r.node][r.cell] = r.w
-        for k in list(todo):
-            cell_, before, after = _cut_at(sums[k], want[k])
-            last = digit == len(shifts)
-            if min(want[k] - before, after - want[k]) <= slack or last:
-                step = 0 if want[k] - before <= after - want[k] else 1
-                prefix[k].append(cell_ + step)
+        here = _of({k: 1 for k in todo}, count, "int") == 1
+        for j in range(at):
+            here = here & (digits[j] == _of({k: prefix[k][j] for k in todo}, count, "long"))
+        cells = rows.where(here).groupBy("first", digit.alias("cell")).agg(F.sum("size").alias("w"))
+        place = _of({k: want[k] for k in todo}, count, "double")
+        upto = F.sum("w").over(Window.partitionBy("first").orderBy("cell"))
+        hit = cells.withColumn("upto", upto).where((F.col("upto") > place) & (F.col("upto") - F.col("w") <= place))
+        for r in hit.collect():
+            k = r["first"]
+            before, after = want[k] - (r.upto - r.w), r.upto - want[k]
+            if min(before, after) <= slack or at == len(digits) - 1:
+                prefix[k].append(r.cell + (0 if before <= after else 1))
                 todo.discard(k)
-                end(k)
             else:
-                prefix[k].append(cell_)
-                want[k] -= before
+                prefix[k].append(r.cell)
+                want[k] = before
+    joined = lambda which: {k: sum(x << s for x, (c, s) in zip(p[1:], shifts) if c == which) for k, p in prefix.items()}
+    cut = [_of({k: p[0] for k, p in prefix.items()}, count, "long"), _of(joined("t"), count, "long"), _of(joined("h"), count, "long")]
+    t, h = F.col("t"), F.col("h")
+    below = (code < cut[0]) | ((code == cut[0]) & ((t < cut[1]) | ((t == cut[1]) & (h < cut[2]))))
+    return F.col("first") + F.when(below, 0).otherwise(_of({k: n // 2 for k, n in nodes.items()}, count, "int"))
 
 
 def kd_shards(
@@ -149,19 +106,16 @@ def kd_shards(
         code = F.floor((F.col(f"m{i}") - lo) / ((hi - lo) or 1.0) * (BUCKETS - 1)).cast("int")
         codes.append(code.alias(f"d{i}"))
     points = raw.select("doc_id", "size", "text_crc32", *codes, "t", "h")
-    root = Node(count, 0)
-    level = [root] if count > 1 and total else []
+    points = points.withColumn("first", F.lit(0))
+    level = {0: count} if count > 1 and total else {}
     while level:
-        _split(points, root, level, n_dims, TOLERANCE * total / count)
-        nxt = []
-        for node in level:
-            k = node.shards // 2
-            node.dim = max(node.dim, 0)
-            node.left, node.right = Node(k, node.first), Node(node.shards - k, node.first + k)
-            nxt += [x for x in (node.left, node.right) if x.shards > 1]
-        level = nxt
+        deeper = _io.cut(points.withColumn("first", _split(points, level, count, n_dims, TOLERANCE * total / count)))
+        _io.drop(points) if hasattr(points, "_scratch") else None
+        points = deeper
+        halves = [x for k, n in level.items() for x in ((k, n // 2), (k + n // 2, n - n // 2))]
+        level = {k: n for k, n in halves if n > 1}
     subs = max(8, -(-ends.n // (count * NUMBERED)))
-    placed = points.select("doc_id", "size", "text_crc32", "h", _walk(root, lambda n: n.first, n_dims).cast("int").alias("shard"), F.pmod("h", F.lit(subs)).cast("int").alias("sub"))
+    placed = points.select("doc_id", "size", "text_crc32", "h", F.col("first").alias("shard"), F.pmod("h", F.lit(subs)).cast("int").alias("sub"))
     starts = placed.groupBy("shard", "sub").agg(F.count("*").alias("rows"))
     starts = starts.select(F.col("shard").alias("s_"), F.col("sub").alias("u_"), (F.sum("rows").over(Window.partitionBy("shard").orderBy("sub")) - F.col("rows")).alias("start"))
     numbered = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "sub").orderBy("h", "doc_id")))
