@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, bpe, chat, passages, repeats, shards, simhash
+from glyphmill.llm import ann, bpe, chat, passages, pii, repeats, shards, simhash, toxicity
 from glyphmill.llm._io import table
 
 
@@ -19,10 +20,25 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kd_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), bpe_path())
 
 
+#: The key of op4's pseudonyms; a user passes their own secret one.
+PSEUDONYM_KEY = b"glyphmill demonstration key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts=True)
+
+
 def op5_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0", 10)
 
@@ -45,7 +61,9 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_projections": op5_projections,
     "op6_simhash": op6_simhash,
     "op8_suffix_array": op8_suffix_array,

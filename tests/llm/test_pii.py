@@ -1,0 +1,58 @@
+import datetime
+import random
+
+import pytest
+
+from glyphmill.llm import pii
+
+P = pii.Pseudonyms(b"k")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 1000])
+def test_permutation(n):
+    got = [P.permute("x", n, i) for i in range(n)]
+    assert sorted(got) == list(range(n)) and [P.permute("x", n, x, back=True) for x in got] == list(range(n))
+
+
+def test_formats():
+    for s in ("4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004"):
+        new = P.of("card", s)
+        assert pii.luhn("".join(c for c in new if c.isdigit())) and [c.isdigit() for c in new] == [c.isdigit() for c in s] and new != s
+        assert P.of("card", new, back=True) == s
+    assert P.of("card", "4111111111111111") == P.of("card", "4111 1111 1111 1111").replace(" ", "")
+    assert P.of("card", "4111111111111112") is None
+    iban = P.of("iban", "DE89 3704 0044 0532 0130 00")
+    assert iban[:2] == "DE" and pii._mod97((iban[4:] + iban[:4]).replace(" ", "")) == 1 and P.of("iban", iban, True) == "DE89 3704 0044 0532 0130 00"
+    day = P.of("date", "1984-02-29")
+    assert datetime.date.fromisoformat(day) and P.of("date", "29.02.1984") == ".".join(reversed(day.split("-")))
+    assert P.of("date", "1983-02-29") is None and P.of("date", day, True) == "1984-02-29"
+    for kind, s in (("ssn", "665-01-0001"), ("ssn", "899-99-9999"), ("ip", "8.8.8.8"), ("phone", "+1 (243) 555-5526"), ("email", "ann.b+c9@mail3.example.com"), ("secret", "cb1a9fee807a05366fcb8b6c95c7c565ede51a72")):
+        new = P.of(kind, s)
+        assert new != s and P.of(kind, new, True) == s
+    assert P.of("phone", "+1 (243) 555-5526").startswith("+1 (") and P.of("ip", "300.1.1.1") is None
+
+
+def test_texts(spark):
+    r = random.Random(1)
+    words = "Und, the x2 Version 2.0. CC 4.0 é".split()
+    vals = ["ann.34@mail7.example.com", "+1 (974) 555-3436", "4417744280351548", "53.224.140.246", "12/03/1990", "123-45-6789", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"']
+    vals = [v for v in vals if v != "4417744280351548"] + ["4111111111111111"]
+    texts = []
+    for i in range(60):
+        w = r.choices(words, k=30)
+        w.insert(r.randrange(30), vals[i % len(vals)])
+        texts.append(" ".join(w))
+    texts += [vals[0] + ".", f"({vals[1]})", f"{vals[2]}!!", "3.5 1234567 9807915762804491 2020", "", None, " ".join(vals)]
+    docs = spark.createDataFrame([(i % 60, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    rows = pii.pseudonymise(docs, b"k", counts=True).collect()
+    assert len(rows) == len(texts)
+    joined = "\n".join(x.text or "" for x in rows)
+    for v in vals:
+        assert v.removeprefix('token = "').rstrip('"') not in joined
+    assert "3.5 1234567 9807915762804491 2020" in joined and joined.count("Version 2.0.") == "\n".join(t or "" for t in texts).count("Version 2.0.")
+    assert sum(x.n_email for x in rows) == 60 // 7 + 1 + 2 and {x.text for x in rows} >= {None, ""}
+    new = P.of("ip", vals[2])
+    assert joined.count(new) == sum(vals[2] in (t or "") for t in texts)
+    back = pii.pseudonymise(pii.pseudonymise(docs, b"k"), b"k", back=True)
+    assert sorted(x.text or "" for x in back.collect()) == sorted(t or "" for t in texts)
+    assert pii.pseudonymise(docs.limit(0), b"k").count() == 0
