@@ -28,8 +28,7 @@ _MUL = 0x5851F42D4C957F2D | 1
 _INV = pow(_MUL, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Lower-cased byte codes, and which bytes belong to words (letters, digits, all non-ASCII).
-_BYTE_LOWER = _BYTE[_LOWER]
+#: Which bytes belong to words (letters, digits, all non-ASCII).
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -79,8 +78,17 @@ def span_hash(prefix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return mix((prefix[right] - prefix[left]) * powers(len(prefix))[1][left])
 
 
+def lower(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the letters A-Z and those of Latin-1 in lower case."""
+    out = _LOWER[buf]
+    at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    x = buf[at]
+    out[at[(x >= 0x80) & (x <= 0x9E) & (x != 0x97)]] += 32
+    return out
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words (ASCII lower-cased), and the texts' offsets among them."""
+    """Starts, ends and hashes of all words (in lower case), and the texts' offsets among them."""
     n = len(buf)
     if not n:
         e = np.zeros(0, np.int64)
@@ -95,7 +103,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     after[cuts - 1] = False
     last[:-1] &= ~after
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = span_hash(prefix_hash(_BYTE_LOWER[buf]), starts, ends)
+    hashes = span_hash(prefix_hash(byte_codes(lower(buf))), starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, off)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, bpe, chat, passages, pii, repeats, shards, simhash, toxicity
+from glyphmill.llm import ann, bpe, chat, decontam, passages, pii, repeats, shards, simhash, toxicity
 from glyphmill.llm._io import table
 
 
@@ -47,6 +47,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.col("leaks.item_id").alias("item_ids"), "leaks")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 400)
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_projections": op5_projections,
     "op6_simhash": op6_simhash,
+    "op7_latent": op7_latent,
     "op8_suffix_array": op8_suffix_array,
     "op9_chat": op9_chat,
     "op10_chaining": op10_chaining,

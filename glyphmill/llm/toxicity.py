@@ -27,7 +27,7 @@ def _buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends, hashes, at = _vec.words(buf, off)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    prefix = _vec.prefix_hash(_vec._BYTE_LOWER[buf]) if len(buf) else None
+    prefix = _vec.prefix_hash(_vec.byte_codes(_vec.lower(buf))) if len(buf) else None
     docs, out = [doc], [hashes]
     for k in PREFIXES:
         long = np.flatnonzero(ends - starts > k)
