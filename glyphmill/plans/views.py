@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df on as many partitions as there are cores, where it comes from fewer files (often one split each).
+
+    Edit distances cost far more than moving their lines; a scan of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, id, doc_id, lang, source, text of every line of 1 to 512 characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
@@ -31,7 +40,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         tx.collapse("raw").alias("text"),
     )
-    return out.where(F.length("text").between(1, 512))
+    return spread(out.where(F.length("text").between(1, 512)), "pos")
 
 
 def _swap(text: Column, pairs: list[tuple[str, str]]) -> Column:
