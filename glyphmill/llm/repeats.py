@@ -80,7 +80,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k: int = ANCHOR) -> DataFrame:
-    """(key, spans array<struct<s, e>>): byte spans covered by a string of `length` bytes that starts elsewhere too.
+    """(span_key, starts, ends): apart byte spans covered by a string of `length` bytes that starts elsewhere too.
 
     1. Each run of windows with one anchor gives one row with the hash of its whole context.
     2. Contexts that occur twice are repeated as they stand; counts fold before the shuffle.
@@ -120,7 +120,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
         .agg(F.collect_list(F.struct("at.p1", "at.more", "at.a", "kgram", (F.col("n") == 1).alias("single"))).alias("need"))
     )
     needed = _io.cut(needed)
-    n_need = needed.agg(F.sum(F.size("need") * 32 + 32)).first()[0] or 0
+    n_need = needed.agg(F.sum(F.size("need") * 64 + 64)).first()[0] or 0
 
     def fetch(batches):
         for b in batches:
@@ -164,7 +164,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
             )
 
     part = sent.repartition("kgram").sortWithinPartitions("kgram").mapInArrow(compare, "key long, s int, e int")
-    return copied.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = copied.unionByName(part).groupBy("key").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+
+    def join(batches):
+        for b in batches:
+            runs = [merged(list(zip(s, e))) for s, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([[x[i] for x in r] for r in runs], pa.list_(pa.int32())) for i in (0, 1))], ["span_key", "starts", "ends"])
+
+    return spans.mapInArrow(join, "span_key long, starts array<int>, ends array<int>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -177,16 +184,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
-    spans = _io.cut(repeated_spans(docs, id_col, text_col, length).withColumnRenamed("key", "span_key"))
-    n_spans = spans.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0
+    spans = _io.cut(repeated_spans(docs, id_col, text_col, length))
+    n_spans = spans.agg(F.sum(F.size("starts") * 8 + 128)).first()[0] or 0
     rows = _keyed(docs, id_col, text_col)
-    joined = rows.join(_io.sized(spans, n_spans), rows["key"] == spans["span_key"], "left").select("id", "text", "spans")
+    joined = rows.join(_io.sized(spans, n_spans), rows["key"] == spans["span_key"], "left").select("id", "text", "starts", "ends")
 
     def apply(batches):
         for b in batches:
             texts, n, gone, runs, sha, kept = b.column(1).cast(pa.binary()).to_pylist(), [], [], [], [], []
-            for text, spans in zip(texts, b.column(2).to_pylist()):
-                cut = merged([(x["s"], x["e"]) for x in spans or ()])
+            for text, s, e in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
+                cut = list(zip(s or (), e or ()))
                 ends = [0, *(e for _, e in cut)]
                 left = b"".join(text[s:e] for s, e in zip(ends, [*(s for s, _ in cut), len(text)])) if cut else text
                 n.append(len(text))
