@@ -13,11 +13,12 @@ STRETCH = 256
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """turns with `pos` (1, 2, ... in order of turn, role, text).
+def _running(turns: DataFrame) -> DataFrame:
+    """(conv, stretch, pos, role, text, r1, r2): turns with their place (1, 2, ...) and hash sums within their stretch.
 
-    Two steps: within stretches of turn numbers, and over the stretches' totals, so that a
-    conversation of any length is spread over tasks.
+    A stretch is a run of turn numbers, so that a conversation of any length is spread over
+    tasks: its rows are counted first, then numbered and summed where they lie. A turn's hashes
+    take its place in, so sums name a prefix in order; decimals of 64-bit hashes never overflow.
     """
     part = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit((1 << 62) // STRETCH)))
     totals = part.groupBy("conv", "stretch").agg(F.count("*").alias("rows"))
@@ -26,42 +27,44 @@ def _numbered(turns: DataFrame) -> DataFrame:
         F.col("stretch").alias("s_"),
         (F.sum("rows").over(Window.partitionBy("conv").orderBy("stretch")) - F.col("rows")).alias("rows_before"),
     )
-    order = Window.partitionBy("conv", "stretch").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    numbered = part.withColumn("place", F.row_number().over(order))
-    joined = numbered.join(before, (F.col("conv") == F.col("c_")) & (F.col("stretch") == F.col("s_")))
-    return joined.select("conv", "stretch", "turn", "role", "text", (F.col("place") + F.col("rows_before")).alias("pos"))
-
+    joined = part.join(before, (F.col("conv") == F.col("c_")) & (F.col("stretch") == F.col("s_")))
+    order = Window.partitionBy("conv", "stretch").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    numbered = joined.withColumn("pos", F.row_number().over(order) + F.col("rows_before"))
+    name = lambda seed: F.xxhash64(F.lit(seed), "pos", "role", "text").cast("decimal(20,0)")
+    hashed = numbered.withColumns({"h1": name(1), "h2": name(2)})
+    run = Window.partitionBy("conv", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"r{i}": F.sum(f"h{i}").over(run).cast("decimal(38,0)") for i in (1, 2)}
+    return hashed.withColumns(sums).select("conv", "stretch", "pos", "role", "text", "r1", "r2")
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv, pos, role, text, k1, k2): k1, k2 name the turns 1 .. pos of the conversation, in order.
 
-    A turn's hashes take its place in, so their running sums name the prefix; two sums of 64-bit
-    hashes in decimals never overflow.
-    """
-    at = _io.cut(_numbered(turns))
-    name = lambda seed: F.xxhash64(F.lit(seed), "pos", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).cast("decimal(20,0)")
-    hashed = at.withColumns({"h1": name(1), "h2": name(2)})
-    totals = hashed.groupBy("conv", "stretch").agg(F.sum("h1").alias("t1"), F.sum("h2").alias("t2"))
+def prefixes(running: DataFrame) -> DataFrame:
+    """(conv, pos, k1, k2) of _running() rows: k1, k2 name the turns 1 .. pos of the conversation, in order; no texts."""
+    rows = running.select("conv", "stretch", "pos", "r1", "r2")
+    last = rows.groupBy("conv", "stretch").agg(F.max_by(F.struct("r1", "r2"), "pos").alias("t"))
     over = Window.partitionBy("conv").orderBy("stretch")
-    before = totals.select(F.col("conv").alias("c_"), F.col("stretch").alias("s_"), *((F.sum(f"t{i}").over(over) - F.col(f"t{i}")).alias(f"b{i}") for i in (1, 2)))
-    run = Window.partitionBy("conv", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = hashed.withColumns({f"r{i}": F.sum(f"h{i}").over(run) for i in (1, 2)})
-    joined = sums.join(before, (F.col("conv") == F.col("c_")) & (F.col("stretch") == F.col("s_")))
-    key = lambda i: (F.col(f"b{i}") + F.col(f"r{i}")).cast("decimal(38,0)")
-    return joined.select("conv", "pos", "role", "text", key(1).alias("k1"), key(2).alias("k2"))
+    before = last.select(
+        F.col("conv").alias("c_"),
+        F.col("stretch").alias("s_"),
+        *((F.sum(f"t.r{i}").over(over) - F.col(f"t.r{i}")).cast("decimal(38,0)").alias(f"b{i}") for i in (1, 2)),
+    )
+    joined = rows.join(before, (F.col("conv") == F.col("c_")) & (F.col("stretch") == F.col("s_")))
+    return joined.select("conv", "pos", *((F.col(f"b{i}") + F.col(f"r{i}")).cast("decimal(38,0)").alias(f"k{i}") for i in (1, 2)))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """prefixes() of the conversations that no other continues; of equal ones the smallest id stays."""
-    named = _io.cut(prefixes(turns))
+    """(conv, pos, role, text, n_turns) of the conversations that no other continues; of equal ones the smallest id stays."""
+    running = _io.cut(_running(turns))
+    named = _io.cut(prefixes(running))
     ends = named.groupBy("conv").agg(F.max("pos").alias("n"), F.max_by(F.struct("k1", "k2"), "pos").alias("k"))
     ends = _io.cut(ends.select("conv", "n", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")))
     # A snapshot is gone if its whole is a proper prefix of another, or another of the same turns has a smaller id.
-    proper = named.join(ends.select(F.col("conv").alias("c_"), "n"), (F.col("conv") == F.col("c_")) & (F.col("pos") < F.col("n"))).select(F.col("pos").alias("p_"), F.col("k1").alias("p1"), F.col("k2").alias("p2")).distinct()
+    whole = ends.select(F.col("conv").alias("c_"), "n")
+    proper = named.join(whole, (F.col("conv") == F.col("c_")) & (F.col("pos") < F.col("n")))
+    proper = proper.select(F.col("pos").alias("p_"), F.col("k1").alias("p1"), F.col("k2").alias("p2")).distinct()
     first = ends.groupBy("n", "k1", "k2").agg(F.min("conv").alias("conv"))
     alive = first.join(proper, (F.col("n") == F.col("p_")) & (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left_anti")
     alive = alive.select(F.col("conv").alias("kept"), F.col("n").alias("n_turns"))
-    return named.join(alive, named["conv"] == alive["kept"]).select("conv", "pos", "role", "text", "n_turns")
+    return running.join(alive, running["conv"] == alive["kept"]).select("conv", "pos", "role", "text", "n_turns")
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
