@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions import text as tx
+from glyphmill.operators import places
 from glyphmill.operators.rules import Refused, check_parameters
 
 #: Most rows of one call of a recogniser.
@@ -20,7 +21,8 @@ Runner = Callable[[pd.DataFrame], pd.DataFrame]
 
 def batches(records: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """records with batch (0, 1, ...): rows in order, `size` at a time, the last batch shorter."""
-    return records.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(pos)) - 1) / size))
+    placed = places.numbered(records, F.floor(F.col(pos) / 65536), pos, name="_place")
+    return placed.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def transcribe(records: DataFrame, make_runner: Callable[[], Runner], stop: str = "", budget: int = 1024, batch_size: int = 8) -> DataFrame:

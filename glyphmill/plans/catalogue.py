@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.operators import compare, curate, metrics, rules, runner, select
+from glyphmill.operators import compare, curate, metrics, places, rules, runner, select
 from glyphmill.plans import views as v
 from glyphmill.sources import readers, sinks
 
@@ -274,12 +274,10 @@ n AS (SELECT count(*) AS n FROM p), d AS (SELECT g // n AS draw, ((g * 110351524
 
 def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both systems' counts by line number (0, 1, ...), and the draws."""
-    from pyspark.sql import Window
-
     s = v.systems(spark, sf_dir)
     side = lambda name: F.max(F.when(F.col("system") == name, tx.char_distance("reference", "hypothesis").cast("long"))).alias(name)
     wide = s.groupBy("pos").agg(side("frozen"), side("adapted"), F.max(F.length("reference").cast("long")).alias("ref_chars"))
-    wide = wide.withColumn("at", F.row_number().over(Window.orderBy("pos")).cast("long") - 1).cache()
+    wide = places.numbered(wide, F.floor(F.col("pos") / 25_600_000), "pos", name="at").cache()
     n = wide.count()
     drawn = spark.range(n * RESAMPLES).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.pmod(F.col("id") * 1103515245 + 12345, F.lit(1 << 31)), F.lit(n)).alias("at"))
     pick = lambda name: wide.select(F.col("at").alias("pos"), F.col(name).alias("char_edits"), "ref_chars")

@@ -121,3 +121,25 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(60)
     x = spark.table("rates").first()
     assert (x.n, x.cer, x.wer) == (9, 0.5, 0.5)
+
+
+def test_stages(spark, tmp_path):
+    from glyphmill.plans import stages
+    from glyphmill.sources import pages, sinks
+
+    said = spark.createDataFrame(
+        [(str(i), s, "hello world", "hello world" if s == "a" or i else "x <loc_", False, "<text>x</text>" if s == "b" else None) for i in range(3) for s in "ab"],
+        "id string, system string, reference string, hypothesis string, truncated boolean, markup string",
+    )
+    t = stages.comparison(said, "a", "b")
+    assert {r.disagreement_category: r.n for r in t["disagreement"].collect()} == {"both_good": 2, "a_only_good": 1}
+    m = {r.system: r for r in t["markup_sensitivity"].collect()}
+    assert m["b"].lines_with_partial_tag == 1 and m["b"].lines_unbalanced_element_tags == 0 and m["a"].lines_malformed_locations is None
+    stages.export(t, {"said": said}, {"said": sinks.table_digest(said)}, str(tmp_path / "out"))
+    with pytest.raises(Refused, match="said changed"):
+        stages.export(t, {"said": said}, {"said": "old"}, str(tmp_path / "out2"))
+    p = pages.sample_pages(spark)
+    drawn = p.selectExpr("page_id", "concat('<otsl>', reference_text, '</otsl>') as markup")
+    rows = stages.structure(drawn, pages.expected_counts(p)).where("page_id = 'invoice'").collect()
+    assert {(r.element_type, r.absolute_count_error) for r in rows} == {("otsl", 0), ("section_header_level_1", 1)}
+    assert pages.probes(spark, p).count() == 64
