@@ -194,4 +194,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that another of their near-duplicate class stands for (its smallest doc_id stays)."""
     gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = _io.cut(gone)
+    return docs.join(_io.sized(gone, gone.count() * 32), docs["doc_id"] == gone["gone_id"], "left_anti")
