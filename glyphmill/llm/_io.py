@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-#: Documents in one Arrow batch; keeps a Python worker's memory near 512 texts.
-ARROW_ROWS = 512
+#: Documents in one batch of the Parquet reader and in one Arrow batch: what a task holds at once.
+BATCH_ROWS = 512
 
 
 def scratch(spark: SparkSession) -> str:
@@ -41,10 +41,10 @@ def drop(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts stay small; a lower setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Batches of whole texts stay small, in the JVM and in Python; a lower setting of the user's stays."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def sized(df: DataFrame, n_bytes: int) -> DataFrame:
