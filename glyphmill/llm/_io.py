@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Documents in one batch of the Parquet reader and in one Arrow batch: what a task holds at once.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -24,20 +24,29 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to a scratch table and read again, so lost executors recompute nothing behind it."""
+    """df written to a scratch table and read again, so lost executors recompute nothing behind it.
+
+    The table goes with drop(), or when the driver ends.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def drop(df: DataFrame) -> None:
     """Delete the scratch table behind df; call when no lazy plan reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, where = _file_system(df.sparkSession, df._scratch)
+    fs.delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -45,6 +54,9 @@ def small_batches(spark: SparkSession) -> None:
     for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
         if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
             spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":  # the default
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def sized(df: DataFrame, n_bytes: int) -> DataFrame:
