@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -127,29 +128,60 @@ def draws(spark: SparkSession, n: int, resamples: int, seed: int, compatible: bo
     return step.select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("at"))
 
 
+def _paired(scored: DataFrame, paired: DataFrame | None, measure: str, pos: str) -> DataFrame:
+    """(at, e, t, e2, t2): a line's edits and length in either system; a line of one of them alone raises."""
+    edits, totals = ("char_edits", "ref_chars") if measure == "cer" else ("word_edits", "ref_words")
+    rows = scored.select(F.col(pos).alias("at"), F.col(edits).alias("e"), F.col(totals).alias("t"))
+    if paired is None:
+        return rows.withColumns({"e2": F.lit(0), "t2": F.lit(1)})
+    other = paired.select(F.col(pos).alias("at"), F.col(edits).alias("e2"), F.col(totals).alias("t2"))
+    rows = rows.join(other, "at", "full_outer")
+    lost = F.col("e").isNull() | F.col("e2").isNull()
+    return rows.withColumn("e", F.when(lost, F.raise_error(F.lit("paired rows must cover the same lines")).cast("long")).otherwise(F.col("e")))
+
+
+def _interval(stats: DataFrame, whole: DataFrame, measure: str, level: float, paired: bool) -> DataFrame:
+    """Ends of the sorted statistics (one number a resample), beside the whole's estimate."""
+    at = lambda x: F.element_at(F.col("s"), (F.least(F.col("n_resamples") - 1, F.floor(F.lit(x) * F.col("n_resamples"))) + 1).cast("int"))
+    ends = stats.agg(F.array_sort(F.collect_list("stat")).alias("s"), F.count("*").alias("n_resamples"))
+    ends = ends.select(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"), "n_resamples")
+    return whole.crossJoin(F.broadcast(ends)).select(F.lit(measure).alias("measure"), "estimate", "low", "high", F.lit(level).alias("level"), "n_lines", "n_resamples", F.lit(paired).alias("paired"))
+
+
 def bootstrap_interval(scored: DataFrame, drawn: DataFrame, paired: DataFrame | None = None, measure: str = "cer", level: float = 0.95, pos: str = "pos") -> DataFrame:
     """One row: estimate, low and high of a micro rate (or of its difference to paired) over resampled lines.
 
     scored and paired have pos (0, 1, ...) and the counts of pair_metrics(); drawn is draws().
-    Sums per draw fold in the map tasks, so lines and draws meet once and nothing else moves.
+    Every draw meets its line in a join; for tables where lines times resamples is too much to
+    move, poisson_interval() needs none.
     """
-    edits, totals = ("char_edits", "ref_chars") if measure == "cer" else ("word_edits", "ref_words")
-    rows = scored.select(F.col(pos).alias("at"), F.col(edits).alias("e"), F.col(totals).alias("t"))
-    if paired is not None:
-        other = paired.select(F.col(pos).alias("at"), F.col(edits).alias("e2"), F.col(totals).alias("t2"))
-        rows = rows.join(other, "at", "full_outer")
-        lost = F.col("e").isNull() | F.col("e2").isNull()
-        rows = rows.withColumn("e", F.when(lost, F.raise_error(F.lit("paired rows must cover the same lines")).cast("long")).otherwise(F.col("e")))
-    else:
-        rows = rows.withColumns({"e2": F.lit(0), "t2": F.lit(1)})
+    rows = _paired(scored, paired, measure, pos)
     rate = F.sum("e") / F.sum("t") - F.sum("e2") / F.sum("t2")
     whole = rows.agg(rate.alias("estimate"), F.count("*").alias("n_lines"))
-    stats = drawn.join(rows, "at").groupBy("draw").agg(rate.alias("stat"))
-    b = F.count("*")
-    ordered = F.array_sort(F.collect_list("stat"))  # one number a resample
-    at = lambda x: F.element_at(F.col("s"), (F.least(F.col("n_resamples") - 1, F.floor(F.lit(x) * F.col("n_resamples"))) + 1).cast("int"))
-    ends = stats.agg(ordered.alias("s"), b.alias("n_resamples")).select(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"), "n_resamples")
-    return whole.crossJoin(F.broadcast(ends)).select(F.lit(measure).alias("measure"), "estimate", "low", "high", F.lit(level).alias("level"), "n_lines", "n_resamples", F.lit(paired is not None).alias("paired"))
+    return _interval(drawn.join(rows, "at").groupBy("draw").agg(rate.alias("stat")), whole, measure, level, paired is not None)
+
+
+#: Cumulative probabilities of a Poisson variable of mean 1, up to the precision of a double.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)]
+
+
+def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, paired: DataFrame | None = None, measure: str = "cer", level: float = 0.95, pos: str = "pos") -> DataFrame:
+    """bootstrap_interval() with a Poisson(1) weight for each line and resample instead of exactly n draws.
+
+    Weights are hashes of (seed, resample, pos), computed where the line lies; a task sends one
+    row a resample, so the work grows with the lines and the shuffle does not.
+    """
+    rows = _paired(scored, paired, measure, pos)
+    rate = F.sum("e") / F.sum("t") - F.sum("e2") / F.sum("t2")
+    whole = rows.agg(rate.alias("estimate"), F.count("*").alias("n_lines"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "at"), F.lit(1 << 52)) / float(1 << 52)
+    each = each.withColumn("u", u)
+    weight = sum((F.col("u") >= F.lit(c)).cast("int") for c in _POISSON)
+    drawn = each.withColumn("w", weight).where("w > 0")
+    sums = {c: F.sum(F.col("w") * F.col(c)) for c in ("e", "t", "e2", "t2")}
+    stats = drawn.groupBy("draw").agg((sums["e"] / sums["t"] - sums["e2"] / sums["t2"]).alias("stat"))
+    return _interval(stats, whole, measure, level, paired is not None)
 
 
 def verdict(n: Column | str) -> Column:

@@ -59,6 +59,8 @@ def test_bootstrap_equals_plain_loop(spark):
     assert (got.n_lines, got.n_resamples, got.paired) == (40, 300, True)
     wide = metrics.bootstrap_interval(a, metrics.draws(spark, 40, 300, 3), b).first()
     assert abs((wide.high - wide.low) / (got.high - got.low) - 1) < 0.3
+    light = metrics.poisson_interval(a, 300, 3, b).first()
+    assert light.estimate == got.estimate and light.n_resamples == 300 and abs((light.high - light.low) / (got.high - got.low) - 1) < 0.3
     with pytest.raises(Exception, match="same lines"):
         metrics.bootstrap_interval(a, drawn, b.where("pos > 0")).collect()
 
