@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once, however often f uses it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def collapse(text: Column | str) -> Column:
     """White-space runs as one space, ends stripped."""
     return F.trim(F.regexp_replace(_c(text), SPACE, " "))
@@ -61,11 +68,14 @@ def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
     counts items; pairs of over 20,000 different items would leave the safe range and raise.
     """
     reference, hypothesis = _c(reference), _c(hypothesis)
-    known = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")
-    line = lambda xs: F.array_join(F.transform(xs, code), "")
-    safe = F.when(F.size(known) > 20_000, F.raise_error(F.lit("over 20000 different words in a pair"))).otherwise(F.lit(0))
-    return F.levenshtein(line(reference), line(hypothesis)) + safe.cast("int")
+
+    def distance(known: Column) -> Column:
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")
+        line = lambda xs: F.array_join(F.transform(xs, code), "")
+        far = F.levenshtein(line(reference), line(hypothesis))
+        return F.when(F.size(known) > 20_000, F.raise_error(F.lit("over 20000 different words in a pair")).cast("int")).otherwise(far)
+
+    return _bound(F.array_distinct(F.concat(reference, hypothesis)), distance)
 
 
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
@@ -132,38 +142,45 @@ def _locations(markup: Column) -> Column:
 def markup_failures(markup: Column | str) -> Column:
     """struct(unbalanced, malformed): element tags that open and close unequally often; locations not in fours or over 500."""
     x = _c(markup)
-    opened, closed, locs = _names(x, _OPEN_TAG), _names(x, _CLOSE_TAG), _locations(x)
     n = lambda names, tag: F.size(F.filter(names, lambda v: v == tag))
     tags = F.array(*map(F.lit, ELEMENT_TAGS))
-    return F.struct(
-        F.exists(tags, lambda t: n(opened, t) != n(closed, t)).alias("unbalanced"),
-        ((F.size(locs) % 4 != 0) | F.exists(locs, lambda v: v > LAST_LOCATION)).alias("malformed"),
+    found = F.struct(_names(x, _OPEN_TAG).alias("opened"), _names(x, _CLOSE_TAG).alias("closed"), _locations(x).alias("locs"))
+    return _bound(
+        found,
+        lambda f: F.struct(
+            F.exists(tags, lambda t: n(f["opened"], t) != n(f["closed"], t)).alias("unbalanced"),
+            ((F.size(f["locs"]) % 4 != 0) | F.exists(f["locs"], lambda v: v > LAST_LOCATION)).alias("malformed"),
+        ),
     )
 
 
 def markup_summary(markup: Column | str) -> Column:
     """struct of element counts, locations and table geometry; a location over 500 raises."""
     x = _c(markup)
-    opened, locs = _names(x, _OPEN_TAG), _locations(x)
-    n = lambda tag: F.size(F.filter(opened, lambda v: v == tag))
-    total = lambda tags: sum((n(F.lit(t)) for t in tags), F.lit(0))
-    counts = F.map_from_arrays(F.array(*map(F.lit, ELEMENT_TAGS)), F.array(*(n(F.lit(t)) for t in ELEMENT_TAGS)))
     tokens = (*CELL_TOKENS, *MERGE_TOKENS, ROW_TOKEN)
-    good = F.when(F.exists(locs, lambda v: v > LAST_LOCATION), F.raise_error(F.lit("loc token outside 0..500")).cast("int")).otherwise(F.size(locs))
-    return F.struct(
-        counts.alias("counts"),
-        total(ELEMENT_TAGS).alias("n_elements"),
-        good.alias("n_loc_tokens"),
-        F.floor(F.size(locs) / 4).cast("int").alias("n_location_groups"),
-        (F.size(locs) % 4 == 0).alias("loc_tokens_divisible_by_4"),
-        total(CELL_TOKENS).alias("n_table_cells"),
-        n(F.lit(ROW_TOKEN)).alias("n_table_rows"),
-        total(CELL_TOKENS + MERGE_TOKENS).alias("n_table_grid_positions"),
-        total(tokens).alias("n_otsl_tokens"),
-        F.map_from_arrays(F.array(*map(F.lit, tokens)), F.array(*(n(F.lit(t)) for t in tokens))).alias("otsl_token_counts"),
-        (F.ltrim(x).startswith("<doctag>") & F.rtrim(x).endswith("</doctag>")).alias("wrapped_in_doctag"),
-        F.length(x).alias("n_chars"),
-    )
+
+    def summary(f: Column) -> Column:
+        opened, locs = f["opened"], f["locs"]
+        n = lambda tag: F.size(F.filter(opened, lambda v: v == tag))
+        total = lambda tags: F.size(F.filter(opened, lambda v: v.isin(*tags)))
+        counts = lambda tags: F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*(n(F.lit(t)) for t in tags)))
+        bad = F.exists(locs, lambda v: v > LAST_LOCATION)
+        return F.struct(
+            counts(ELEMENT_TAGS).alias("counts"),
+            total(ELEMENT_TAGS).alias("n_elements"),
+            F.when(bad, F.raise_error(F.lit("loc token outside 0..500")).cast("int")).otherwise(F.size(locs)).alias("n_loc_tokens"),
+            F.floor(F.size(locs) / 4).cast("int").alias("n_location_groups"),
+            (F.size(locs) % 4 == 0).alias("loc_tokens_divisible_by_4"),
+            total(CELL_TOKENS).alias("n_table_cells"),
+            n(F.lit(ROW_TOKEN)).alias("n_table_rows"),
+            total(CELL_TOKENS + MERGE_TOKENS).alias("n_table_grid_positions"),
+            total(tokens).alias("n_otsl_tokens"),
+            counts(tokens).alias("otsl_token_counts"),
+            (F.ltrim(x).startswith("<doctag>") & F.rtrim(x).endswith("</doctag>")).alias("wrapped_in_doctag"),
+            F.length(x).alias("n_chars"),
+        )
+
+    return _bound(F.struct(_names(x, _OPEN_TAG).alias("opened"), _locations(x).alias("locs")), summary)
 
 
 def preview(text: Column | str, n: int) -> Column:
