@@ -30,6 +30,7 @@ _NUMBER = re.compile(
     )(?!\w|\.?\d)""",
     re.VERBOSE,
 )
+_GROUP = re.compile(r"\d+")
 _IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
@@ -46,6 +47,19 @@ def _mod97(bban: str) -> int:
     return int("".join(str(int(c, 36)) for c in bban)) % 97
 
 
+def _is_card(s: str) -> bool:
+    return luhn(re.sub(r"\D", "", s))
+
+
+def _is_iban(s: str) -> bool:
+    v = s.replace(" ", "")
+    return 15 <= len(v) <= 34 and _mod97(v[4:] + v[:4]) == 1
+
+
+#: Kinds that are read again with other ends where a check digit fails.
+_CHECKS = {"card": _is_card, "iban": _is_iban}
+
+
 class Pseudonyms:
     """Keyed permutations of formats; one key gives one value the same pseudonym in every document."""
 
@@ -118,16 +132,16 @@ class Pseudonyms:
         return keep + self._refill(s[len(keep) :], self.digits("phone", rest, back))
 
     def _card(self, s: str, back: bool) -> str | None:
-        d = re.sub(r"\D", "", s)
-        if not luhn(d):
+        if not _is_card(s):
             return None
+        d = re.sub(r"\D", "", s)
         body = self.digits("card", d[:-1], back)
         return self._refill(s, next(body + c for c in "0123456789" if luhn(body + c)))
 
     def _iban(self, s: str, back: bool) -> str | None:
-        v = s.replace(" ", "")
-        if not 15 <= len(v) <= 34 or _mod97(v[4:] + v[:4]) != 1:
+        if not _is_iban(s):
             return None
+        v = s.replace(" ", "")
         body = self.classes("iban" + v[:2], v[4:], back)
         return self._refill(s, f"{v[:2]}{98 - _mod97(body + v[:2] + '00'):02d}{body}")
 
@@ -174,33 +188,73 @@ class Pseudonyms:
         return self.classes("secret", s, back)
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what may be personal data, in order and apart; validation comes later."""
-    out: list[tuple[int, int, str]] = []
+def _iban_ends(text: str, start: int) -> list[int]:
+    """Where an IBAN that starts here may end, the longest reading first."""
+    m = _IBAN.match(text, start)
+    return [e for e in range(m.end(), start + 14, -1) if not text[e : e + 1].isalnum() and _IBAN.fullmatch(text, start, e)] if m else []
+
+
+def _card_ends(text: str, start: int, end: int, whole: bool) -> tuple[list[int], int]:
+    """Where a card number that starts here may end, the longest reading first, and the next group's start.
+
+    The whole span may be grouped in any way if `whole`; other readings have groups of four digits or more before the last.
+    """
+    groups = [(start + g.start(), start + g.end()) for g in _GROUP.finditer(text[start:end])]
+    ends, n = [], 0
+    for k, (x, y) in enumerate(groups):
+        n += y - x
+        if n >= 13 and (all(q - p >= 4 for p, q in groups[:k]) or (whole and y == end)):
+            ends.append(y)
+    return ends[::-1], groups[1][0] if len(groups) > 1 else end
+
+
+def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """(start, end, kind, failed) of what may be personal data, in order; validation comes later.
+
+    Cards and IBANs are read with shorter ends and from later groups until a check digit holds;
+    failed are the readings before that one that overlap it.
+    """
+    out: list[tuple[int, int, str, list[tuple[int, int]]]] = []
     done = 0
     for run in _RUN.finditer(text):
         start, end = run.span()
-        if end - start < 7 or end <= done:
+        if end <= done:
             continue
-        if start >= 2 and (m := _IBAN.match(text, start - 2)) and (start < 3 or not text[start - 3].isalnum()):
-            out.append((*m.span(), "iban"))
-            done = m.end()
+        if start >= max(2, done) and text[start - 1].isupper() and (start < 3 or not text[start - 3].isalnum()):
+            ends = _iban_ends(text, start - 2)
+            k = next((k for k, e in enumerate(ends) if _is_iban(text[start - 2 : e])), None)
+            if k is not None:
+                out.append((start - 2, ends[k], "iban", [(start - 2, e) for e in ends[:k]]))
+                done = ends[k]
+        if end - max(done, start) < 7:
             continue
-        at = max(done, start - 2)
+        at, failed, read = max(done, start - 2), [], 0
         while m := _NUMBER.search(text, at, min(len(text), end + 2)):
-            at = done = m.end()
-            out.append((*m.span(), m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m.group(k))))
+            a, b = m.span()
+            if m.lastgroup != "card":
+                at = done = b
+                kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m.group(k))
+                out.append((a, b, kind, []))
+                continue
+            ends, after = _card_ends(text, a, b, a >= read)
+            k = next((k for k, e in enumerate(ends) if _is_card(text[a:e])), None)
+            failed += [(a, e) for e in ends[:k]]
+            if k is None:
+                at, read = after, max(read, b)
+            else:
+                out.append((a, ends[k], "card", [x for x in failed if x[1] > a]))
+                at = done = ends[k]
     at = text.find("@")
     while at >= 0:
         base = max(0, at - 64)
         if (a := _LOCAL.search(text, base, at)) and (b := _DOMAIN.match(text, at + 1)):
             start = a.start() + re.match(r"[.%+-]*", a.group()).end()
             if start < at:
-                out.append((start, b.end(), "email"))
+                out.append((start, b.end(), "email", []))
         at = text.find("@", at + 1)
     for m in _SECRET.finditer(text):
         if _SECRET_NAME.search(text[max(0, m.start() - 16) : m.start()].lower()):
-            out.append((*m.span("value"), "secret"))
+            out.append((*m.span("value"), "secret", []))
     out.sort(key=lambda x: (x[0], -x[1]))
     return out
 
@@ -208,9 +262,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 def mask(text: str, names: Pseudonyms, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every valid value under its pseudonym (or back), and how many of each kind."""
     parts, done, n = [], 0, {}
-    for start, end, kind in spans(text):
+    for start, end, kind, failed in spans(text):
         if start < done or (new := names.of(kind, text[start:end], back)) is None:
             continue
+        # Cycle walking: a pseudonym with which a failed reading would hold is permuted again, so the same span is read back.
+        while any(_CHECKS[kind]((text[s:start] + new + text[end : max(e, end)])[: e - s]) for s, e in failed):
+            new = names.of(kind, new, back)
         parts += [text[done:start], new]
         done = end
         n[kind] = n.get(kind, 0) + 1
@@ -222,8 +279,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts: bo
 
     Kinds: e-mail addresses (local part), phone numbers (country code stays), payment cards (Luhn),
     IBANs (mod 97), social security numbers, IPv4 addresses, dates of 1900-2099 and named secrets.
-    A value that fails its check stays. The permutation depends on key and kind only, so equal
-    values have equal pseudonyms in every row, partition and run, and back=True restores them
+    A value that fails its check stays; a card or IBAN is read with shorter ends and from later groups
+    before it counts as failed. The permutation depends on key and kind only, so equal values have
+    equal pseudonyms in every row, partition and run (but where digits beside a card or IBAN would
+    make a longer reading of the pseudonym valid, it is permuted again), and back=True restores them
     (letter case of e-mail addresses aside). Row by row without a shuffle: all rows and columns
     come back; null and empty texts stay; an empty table gives an empty result.
     """

@@ -56,3 +56,22 @@ def test_texts(spark):
     back = pii.pseudonymise(pii.pseudonymise(docs, b"k"), b"k", back=True)
     assert sorted(x.text or "" for x in back.collect()) == sorted(t or "" for t in texts)
     assert pii.pseudonymise(docs.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize(
+    "value, text",
+    [(v, v) for v in ("GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "MT84MALT011000012345MTLCAST001S")]
+    + [("BE68 5390 0754 7034", "BE68 5390 0754 7034 AND"), ("BE68 5390 0754 7034", "pay BE68 5390 0754 7034 PLUS 12, thanks")]
+    + [("4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00 4111 1111 1111 1111")]
+    + [("4111 1111 1111 1111", f"4111 1111 1111 1111 {i}") for i in range(100, 160)]
+    + [("4111111111111111", x) for x in ("4111111111111111 12/27", "no 12 4111111111111111", "4111111111111111-123", "77 4111111111111111 123")]
+    + [("123-45-6789", "1234 123-45-6789")],
+)
+def test_values_beside_other_letters_and_digits(value, text):
+    new, n = pii.mask(text, P)
+    assert value not in new and sum(n.values()) >= 1 and pii.mask(new, P, back=True)[0] == text
+
+
+def test_failed_readings_leave_number_tables_alone():
+    text = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 AB12 WORD WORD WORD WORD"
+    assert not pii._is_card("1234567891011121314") and pii.mask(text, P) == (text, {})
