@@ -22,7 +22,9 @@ RANK, SEED, COMMON, COSINE = 64, 17, 16, 0.58
 COPY, PARAPHRASE = 0.75, 0.5
 #: An item's answer: this share of its words, the rarest; and how many of them a paraphrase must hold.
 ANSWER, ANSWERED = 0.25, 0.8
-#: Items of one sweep over the corpus; bounds the vocabulary, its sketch and what a task holds.
+#: Items of fewer words than SHORT are found by their rarest words, in REACH words on either side of one of them.
+SHORT, REACH = 12, 16
+#: Items (or 64-word passages of them) of one sweep over the corpus; bounds the vocabulary, its sketch and what a task holds.
 ITEMS = 1000
 
 
@@ -132,12 +134,18 @@ def sketch(texts: DataFrame, lookup: Lookup, n_terms: int) -> Space:
 
 @dataclass
 class Items:
-    """The benchmark's items: ids, words as term numbers, the answer's terms, latent vectors by window."""
+    """The benchmark's items: ids, words as term numbers, the answer's terms, which terms each holds.
+
+    passages: (item, its words before, its words, its words after) of stretches of a window's size at
+    most, and by_window their latent vectors; rare: (term, item) of short items' rarest terms, by term.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    passages: np.ndarray
     by_window: dict[int, tuple[np.ndarray, np.ndarray]]
+    rare: np.ndarray
     holds: np.ndarray
 
 
@@ -146,23 +154,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def prepare(ids: list[int], words: list[np.ndarray], space: Space) -> Items:
-    answers, window = [], []
+    answers, passages, parts, short = [], [], [], []
     sizes = np.array(WINDOWS) * STEP
-    for w in words:
+    for i, w in enumerate(words):
         terms = np.unique(w)
         rare = terms[np.argsort(-space.idf[terms], kind="stable")]
         answers.append(rare[: max(1, round(ANSWER * len(terms)))])
-        window.append(WINDOWS[int(np.argmin(np.abs(np.log(sizes / max(1, len(w))))))])
-    vectors = _unit(np.array([space.vectors[w].sum(axis=0) for w in words]).reshape(len(words), space.vectors.shape[1]))
+        if len(w) < SHORT:
+            # A copy lacks (1 - COPY) of the words at most, so it has one of one more of the rarest; a paraphrase has its answer's.
+            short += [(t, i) for t in rare[: max(int((1 - COPY) * len(w)) + 1, len(answers[-1]))].tolist()]
+            continue
+        before = 0
+        for part in np.array_split(w, -(-len(w) // int(sizes.max()))):
+            passages.append((i, before, len(part), len(w) - before - len(part)))
+            parts.append(part)
+            before += len(part)
+    window = np.array([WINDOWS[int(np.argmin(np.abs(np.log(sizes / len(x)))))] for x in parts])
+    vectors = _unit(np.array([space.vectors[x].sum(axis=0) for x in parts]).reshape(len(parts), space.vectors.shape[1]))
     by = {}
     for k in WINDOWS:
-        own = np.flatnonzero(np.array(window) == k)
+        own = np.flatnonzero(window == k)
         if len(own):
             by[k] = own, np.ascontiguousarray(vectors[own].T)
     holds = np.zeros((len(words), len(space.vectors)), bool)
     for i, w in enumerate(words):
         holds[i, w] = True
-    return Items(ids, words, answers, by, holds)
+    return Items(ids, words, answers, np.array(passages, np.int64).reshape(-1, 4), by, np.array(sorted(short), np.int64).reshape(-1, 2), holds)
+
+
+def _beside_rare(terms: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    """(text, item, first word, end) around the rarest words of short items, where enough of the item's words are."""
+    out: list[tuple[int, int, int, int]] = []
+    if not len(items.rare):
+        return out
+    known = np.zeros(items.holds.shape[1], bool)
+    known[items.rare[:, 0]] = True
+    lengths = np.array([len(w) for w in items.words])
+    places = np.flatnonzero(known[terms])
+    for lo in range(0, len(places), 8192):
+        pos = places[lo : lo + 8192]
+        first = np.searchsorted(items.rare[:, 0], terms[pos])
+        owner, k = _vec.expand(np.searchsorted(items.rare[:, 0], terms[pos], "right") - first)
+        item, pos = items.rare[first[owner] + k, 1], pos[owner]
+        doc = np.searchsorted(at, pos, "right") - 1
+        start, end = np.maximum(at[doc], pos - REACH), np.minimum(at[doc + 1], pos + REACH + 1)
+        shared = np.zeros(len(pos), np.int32)
+        for j in range(-REACH, REACH + 1):
+            inside = np.flatnonzero((pos + j >= start) & (pos + j < end))
+            shared[inside] += items.holds[item[inside], terms[pos[inside] + j]]
+        ok = np.flatnonzero(shared >= PARAPHRASE * lengths[item])
+        out += zip(doc[ok].tolist(), item[ok].tolist(), (start - at[doc])[ok].tolist(), (end - at[doc])[ok].tolist())
+    return out
 
 
 def found_in(terms: np.ndarray, at: np.ndarray, items: Items, space: Space) -> list[list[tuple[int, float, int]]]:
@@ -175,10 +217,10 @@ def found_in(terms: np.ndarray, at: np.ndarray, items: Items, space: Space) -> l
     for j in range(STEP):
         level += space.vectors[tiles[:, j]]
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    size, hits, lengths = 1, {}, np.array([len(w) for w in items.words])
+    size, hits = 1, {}
     while size < max(WINDOWS):
         more = np.zeros_like(level)
-        more[:-size] = level[size:]
+        more[:-size] = np.where((owner[:-size] == owner[size:])[:, None], level[size:], 0)
         level, size = level + more, size * 2
         if size not in items.by_window:
             continue
@@ -186,33 +228,41 @@ def found_in(terms: np.ndarray, at: np.ndarray, items: Items, space: Space) -> l
         for lo in range(0, len(level), 8192):
             near = _unit(level[lo : lo + 8192]) @ vectors
             row, col = np.divmod(np.flatnonzero(near >= COSINE), near.shape[1])
-            row, item = row + lo, own[col]
+            row, passage = row + lo, own[col]
+            item, _, length, _ = items.passages[passage].T
             # Words in order are words in common: count those first, a block more on either side.
             shared = np.zeros(len(row), np.int32)
             for j in range(-1, size + 1):
                 at_row = row + j
-                inside = np.flatnonzero((at_row >= 0) & (at_row < len(tiles)))
+                inside = np.flatnonzero((at_row >= first[owner[row]]) & (at_row < first[owner[row] + 1]))
                 shared[inside] += items.holds[item[inside, None], tiles[at_row[inside]]].sum(axis=1, dtype=np.int32)
-            for k in np.flatnonzero(shared >= PARAPHRASE * lengths[item]).tolist():
+            for k in np.flatnonzero(shared >= PARAPHRASE * length).tolist():
                 r = int(row[k])
-                hits.setdefault((int(owner[r]), int(item[k])), []).append((int(r - first[owner[r]]) * STEP, size * STEP))
-    for (doc, item), places in hits.items():
-        text, words = terms[at[doc] : at[doc + 1]], items.words[item]
-        best = (0.0, 0, False)
+                hits.setdefault((int(owner[r]), int(passage[k])), []).append((int(r - first[owner[r]]) * STEP, size * STEP))
+    parts: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for doc, item, start, end in _beside_rare(terms, at, items):
+        parts.setdefault((doc, item), set()).add((start, end))
+    for (doc, passage), places in hits.items():
+        item, before, _, after = items.passages[passage].tolist()
         runs: list[list[int]] = []
         for start, width in sorted(places):
             if runs and start <= runs[-1][2] + STEP:
                 runs[-1][1:] = [start + width, start]
             else:
                 runs.append([start, start + width, start])
-        for start, end, _ in runs:
-            part = text[max(0, start - STEP) : end + STEP]
+        # The rest of a long item lies around its passage, a quarter longer at most.
+        around = {(max(0, start - STEP - before * 5 // 4), end + STEP + after * 5 // 4) for start, end, _ in runs}
+        parts.setdefault((doc, item), set()).update(around)
+    for (doc, item), places in parts.items():
+        text, words = terms[at[doc] : at[doc + 1]], items.words[item]
+        best = (0.0, 0)
+        for start, end in sorted(places):
+            part = text[start:end]
             share = common(words, part) / len(words)
-            if share > best[0]:
-                held = np.isin(items.answers[item], part).mean() >= ANSWERED
-                best = (share, max(0, start - STEP), bool(held))
-        if best[0] >= COPY or (best[0] >= PARAPHRASE and best[2]):
-            out[doc].append((items.ids[item], best[0], best[1]))
+            if share > best[0] and (share >= COPY or (share >= PARAPHRASE and np.isin(items.answers[item], part).mean() >= ANSWERED)):
+                best = (share, start)
+        if best[0]:
+            out[doc].append((items.ids[item], *best))
     return out
 
 
@@ -226,7 +276,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Words are runs of letters and digits, ASCII and Latin-1 in lower case. Windows of 16, 32 and 64 words slide
     over the whole text by 8 words; those near an item in the latent space of the corpus's TF-IDF
-    passages are compared word by word. An item is held if COPY of its words occur in order, or
+    passages are compared word by word. A longer item is sought by its passages of 64 words at most, and
+    the whole item is compared around each; one of under 12 words is compared around its rarest words. An item is held if COPY of its words occur in order, or
     PARAPHRASE of them together with its answer. Items without words are never held. Null and
     empty texts hold nothing; all rows and columns come back, repeated rows alike; an empty table
     gives an empty result. The items' words are the vocabulary, ITEMS items a sweep, so that what
@@ -237,7 +288,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     _io.small_batches(spark)
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    sweeps = max(1, -(-bench.count() // ITEMS))
+    parts = bench.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.length("text") / 512)))).first()[0] or 0
+    sweeps = max(1, -(-parts // ITEMS))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("word", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word", pa.int32())]))
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]

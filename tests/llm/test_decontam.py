@@ -44,6 +44,41 @@ def test_planted(spark, monkeypatch):
     assert {x.doc_id: [y.item_id for y in x.leaks] for x in again} == held
 
 
+def test_items_of_any_length(spark):
+    """Items of 4 to 900 words, copied whole or with words replaced, at any offset of a text."""
+    r, text = world(3)
+    lengths = [4, 5, 6, 8, 11, 12, 16, 60, 65, 100, 161, 200, 400, 900]
+    items = [(i, " ".join(text(n))) for i, n in enumerate(lengths)]
+    docs, want = [], {}
+    for i in range(224):
+        w, item = text(r.randint(0, 60)), i % len(items)
+        body = items[item][1].split()
+        if i % 2 and len(body) >= 60:  # a paraphrase: every seventh word replaced
+            body = [x if j % 7 else text(1)[0] for j, x in enumerate(body)]
+        docs.append((i, " ".join(w + body + text(r.randint(0, 60)))))
+        want[i] = item
+    docs += [(1000 + i, " ".join(text(r.randint(1, 400)))) for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    held = {x.doc_id: [y.item_id for y in x.leaks] for x in decontam.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [(i, len(items[k][1].split())) for i, k in want.items() if k not in held[i]] == []
+    long = {k for k, n in enumerate(lengths) if n >= 16}
+    assert not any(long & set(v) for i, v in held.items() if i >= 1000)
+
+
+def test_texts_of_one_piece_stay_apart():
+    """What a text holds is the same whatever text comes next in its batch."""
+    item = [f"w{i}" for i in range(46)]
+    docs = [" ".join(item[:35]), " ".join(item[:1] * 100)]
+    look = decontam.Lookup(np.unique(decontam._words_of(" ".join(item))))
+    n = len(look.known)
+    space = decontam.Space(np.eye(n + 1, n, dtype=np.float32), np.ones(n), np.ones(n))
+    items = decontam.prepare([1], [look(decontam._words_of(" ".join(item)))], space)
+    terms = [look(decontam._words_of(t)) for t in docs]
+    alone = [decontam.found_in(t, np.array([0, len(t)]), items, space)[0] for t in terms]
+    assert [bool(x) for x in alone] == [True, False]
+    assert decontam.found_in(np.concatenate(terms), np.cumsum([0, *map(len, terms)]), items, space) == alone
+
+
 def test_sketch_spans_the_leading_space(spark):
     """With few terms the randomised singular values equal those of the exact TF-IDF matrix."""
     r, _ = world()
