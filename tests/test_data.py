@@ -52,6 +52,18 @@ def test_digests(spark):
     assert got == {0: (hashlib.sha256(b"\xffxby").hexdigest(), 4), 1: (hashlib.sha256(b"").hexdigest(), 0)}
 
 
+def test_digests_gather_no_group(spark):
+    """A group's rows stream through its task: no plan collects them, and keys, nulls and empty tables keep their digests."""
+    r = records(spark).withColumn("g", F.when(F.col("pos") < 9, F.col("pos") % 2))
+    by = curate.dataset_digest(r, "g")
+    rows = r.withColumn("data", F.encode("text", "UTF-8"))
+    for plan in (by, curate.dataset_digest(r), curate.group_digest(rows, "g", "pos", "data")):
+        assert "collect_list" not in plan._jdf.queryExecution().toString()
+    want = {g: "\n".join(sorted(f"r{i}:d{i}:line {i}" for i in ids)) for g, ids in ((0, [0, 2, 4, 6, 8]), (1, [1, 3, 5, 7]), (None, [9, 10, 11]))}
+    assert {x.g: x.dataset_digest for x in by.collect()} == {g: hashlib.sha256(w.encode()).hexdigest() for g, w in want.items()}
+    assert curate.dataset_digest(r.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest() and curate.dataset_digest(r.limit(0), "g").count() == 0
+
+
 def test_splits(spark):
     assert curate.split_counts(50, 0.15, 0.05) == (40, 8, 2) and curate.split_counts(3, 0.5, 0.1) == (0, 2, 1)
     assert curate.record_limits(spark) == (12, 5000)
