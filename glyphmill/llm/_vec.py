@@ -31,6 +31,9 @@ _LOWER[65:91] += 32
 #: Which bytes belong to words (letters, digits, all non-ASCII).
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+#: All bytes but ASCII white space.
+INK = np.ones(256, dtype=bool)
+INK[9:14] = INK[32] = False
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -78,6 +81,11 @@ def span_hash(prefix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return mix((prefix[right] - prefix[left]) * powers(len(prefix))[1][left])
 
 
+def lower_ascii(buf: np.ndarray) -> np.ndarray:
+    """Bytes with the letters A-Z in lower case."""
+    return _LOWER[buf]
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with the letters A-Z and those of Latin-1 in lower case."""
     out = _LOWER[buf]
@@ -87,13 +95,13 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words (in lower case), and the texts' offsets among them."""
+def words(buf: np.ndarray, off: np.ndarray, kept: np.ndarray = _WORD, fold=lower) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words (runs of kept bytes, folded), and the texts' offsets among them."""
     n = len(buf)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(0, U64), np.zeros(len(off), np.int64)
-    inside = _WORD[buf]
+    inside = kept[buf]
     first, last = inside.copy(), inside.copy()
     cuts = off[(off > 0) & (off < n)]
     before = inside[:-1].copy()
@@ -103,7 +111,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     after[cuts - 1] = False
     last[:-1] &= ~after
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = span_hash(prefix_hash(byte_codes(lower(buf))), starts, ends)
+    hashes = span_hash(prefix_hash(byte_codes(fold(buf))), starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, off)
 
 

@@ -59,16 +59,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int):
+def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int, classes: np.ndarray | None = None):
     """Index pairs (i, j) within budget bits, in chunks; each run [starts, ends) is a subtree of the sorted keys.
 
     A node is a range of keys that share their first bits. Pairs of nodes go down together; a
     pair that takes different branches has one more differing bit, and is pruned beyond the budget.
+    With classes, pairs of nodes whose keys are all of one class are pruned too.
     """
     ones: dict[int, np.ndarray] = {}
+    turns = None if classes is None else np.concatenate([np.zeros(1, np.int64), np.cumsum(np.r_[False, classes[1:] != classes[:-1]])])
     stack = [(depth, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
     while stack:
         d, a0, a1, b0, b1, err = stack.pop()
+        if turns is not None and len(a0):
+            settled = (classes[a0] == classes[b0]) & (turns[a1] == turns[a0 + 1]) & (turns[b1] == turns[b0 + 1])
+            a0, a1, b0, b1, err = (x[~settled] for x in (a0, a1, b0, b1, err))
         if len(a0) > FRONTIER:
             half = len(a0) // 2
             stack += [(d, *(x[half:] for x in (a0, a1, b0, b1, err))), (d, *(x[:half] for x in (a0, a1, b0, b1, err)))]
@@ -191,8 +196,208 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that another of their near-duplicate class stands for (its smallest doc_id stays)."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+#: Of near_copies(), for fingerprints of two words: bits of a block, its least certain bits that are
+#: tried both ways, and the most differing bits of the first word and of both.
+WIDE, FLIPS, FIRST, BOTH = 18, 3, 20, 32
+
+
+def _sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the distinct word shingles of each text, sorted; of fewer words the whole sequence."""
+    _, _, hashes, at = _vec.words(buf, off, _vec.INK, _vec.lower_ascii)
+    n = np.diff(at)
+    owner, place = _vec.expand(np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1)))
+    start = at[owner] + place
+    h = _vec.shingle_hash(np.append(hashes, np.zeros(shingle, _vec.U64)), shingle)[start]
+    for i in np.flatnonzero(n[owner] < shingle).tolist():
+        own = hashes[start[i] : start[i] + n[owner[i]]]
+        h[i] = _vec.shingle_hash(own, len(own))[0]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+    return h[new], np.searchsorted(owner[new], np.arange(len(off)))
+
+
+def _margins(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many more hashes of each text have a bit than lack it, for the 128 bits of two hash words."""
+    out = np.zeros((len(off) - 1, 128), np.int32)
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 17), "right")) - 1)
+        for at in range(off[lo], off[hi], 1 << 17):  # a text of many words comes in parts
+            own = h[at : min(at + (1 << 17), off[hi])]
+            two = np.stack([own, _vec.mix(own + _vec.U64(0x9E3779B97F4A7C15))], 1)
+            bits = np.unpackbits(two.astype("<u8").view(np.uint8).reshape(len(own), 16), axis=1, bitorder="little")
+            some = np.flatnonzero(np.diff(off[lo : hi + 1])) + lo
+            if hi == lo + 1:
+                out[lo] += 2 * bits.sum(axis=0, dtype=np.int32) - len(own)
+            else:
+                out[some] = 2 * np.add.reduceat(bits, off[some] - off[lo], axis=0, dtype=np.int32) - (off[some + 1] - off[some])[:, None]
+        lo = hi
+    return out
+
+
+def probes(margins: np.ndarray) -> np.ndarray:
+    """Bucket keys of each text: every block as it is and with its FLIPS least certain bits the other way."""
+    n, blocks = len(margins), 128 // WIDE
+    part = margins[:, : blocks * WIDE].reshape(n, blocks, WIDE)
+    value = ((part > 0) << np.arange(WIDE)).sum(axis=2) | np.arange(blocks) << WIDE
+    weak = 1 << np.argsort(np.abs(part), axis=2, kind="stable")[:, :, :FLIPS]
+    masks = np.stack([sum((weak[:, :, k] for k in range(FLIPS) if i >> k & 1), np.zeros_like(value)) for i in range(1 << FLIPS)], 2)
+    return (value[:, :, None] ^ masks).reshape(n, -1)
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, mark, n, f0, f1, keys): a hash of the shingle set, its size, two fingerprint words, bucket keys."""
+
+    def run(batches):
+        for b in batches:
+            for at, buf, off in _vec.pieces(b.column(1)):
+                h, ends = _sets(buf, off, shingle)
+                total = np.concatenate([np.zeros(1, _vec.U64), np.cumsum(_vec.mix(h), dtype=np.uint64)])
+                m = _margins(h, ends)
+                f = np.packbits(m > 0, axis=1, bitorder="little").view("<i8")
+                keys = probes(m)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(off) - 1), pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1]), lists],
+                    ["doc_id", "mark", "n", "f0", "f1", "keys"],
+                )
+
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(run, "doc_id long, mark long, n int, f0 long, f1 long, keys array<int>")
+
+
+def _proposals(buckets: DataFrame, most: int) -> DataFrame:
+    """buckets(key, doc_id, f0, f1, class) -> (a, b, key): pairs of different classes within the bit budgets.
+
+    Each document of a bucket proposes its nearest `most` of those with smaller ids; if it has more,
+    a row with null a and b names the bucket, so that the next round asks it again.
+    """
+
+    def run(batches):
+        for t in _vec.in_groups(batches, ["key"]):
+            key, ids, class_ = (t[x].to_numpy() for x in ("key", "doc_id", "class"))
+            f0, f1 = t["f0"].to_numpy().view(np.uint64), t["f1"].to_numpy().view(np.uint64)
+            order = np.lexsort((f0, key))
+            key, ids, class_, f0, f1 = (x[order] for x in (key, ids, class_, f0, f1))
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            end = np.r_[edge[1:], len(key)]
+            many = end - edge > 1
+            low, high, far = (np.zeros(0, np.int64) for _ in range(3))
+            over = np.zeros(0, np.int64)
+            for i, j in trie_pairs(f0, edge[many], end[many], 0, FIRST, class_):
+                bits = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j])
+                ok = (bits <= BOTH) & (class_[i] != class_[j])
+                i, j, bits = i[ok], j[ok], bits[ok].astype(np.int64)
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                low, high, far = np.concatenate([low, i]), np.concatenate([high, j]), np.concatenate([far, bits])
+                low, high, far, more = _nearest(low, high, far, ids, most)
+                over = np.unique(np.concatenate([over, more]))
+            asked = np.unique(key[over])
+            a = pa.array(np.concatenate([ids[low], np.zeros(len(asked), np.int64)]), mask=np.arange(len(low) + len(asked)) >= len(low))
+            b = pa.array(np.concatenate([ids[high], np.zeros(len(asked), np.int64)]), mask=np.arange(len(low) + len(asked)) >= len(low))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([key[low], asked]).astype(np.int32))], ["a", "b", "key"])
+
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key int")
+
+
+def _nearest(low: np.ndarray, high: np.ndarray, far: np.ndarray, ids: np.ndarray, most: int):
+    """The `most` nearest partners of each high (ties to smaller ids), and the highs that had more."""
+    order = np.lexsort((ids[low], far, high))
+    low, high, far = low[order], high[order], far[order]
+    first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]][: len(high)])
+    rank = np.arange(len(high)) - np.repeat(first, np.diff(np.append(first, len(high))))
+    keep = rank < most
+    return low[keep], high[keep], far[keep], high[~keep]
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, exactly."""
+
+    def sets(batches):
+        for b in batches:
+            for at, buf, off in _vec.pieces(b.column(1)):
+                h, ends = _sets(buf, off, shingle)
+                raw = h.astype("<u8").tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(off) - 1), pa.array([raw[8 * s : 8 * e] for s, e in zip(ends, ends[1:])], pa.binary())], ["doc", "own"])
+
+    def compare(batches):
+        for b in batches:
+            x, y = (c.to_pylist() for c in b.columns[2:])
+            ok = []
+            for s, t in zip(x, y):
+                both = np.sort(np.concatenate([np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")]))
+                same = int((both[1:] == both[:-1]).sum())
+                ok.append(same >= similarity * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    need = _io.cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
+    asked = texts.join(_io.sized(need, need.count() * 16), texts["doc_id"] == need["need"], "left_semi")
+    own = _io.cut(asked.mapInArrow(sets, "doc long, own binary"))
+    x, y = (own.select(F.col("doc").alias(f"{c}_"), F.col("own").alias(f"own_{c}")) for c in "ab")
+    both = pairs.join(x, F.col("a") == F.col("a_")).join(y, F.col("b") == F.col("b_")).select("a", "b", "own_a", "own_b")
+    out = _io.cut(both.mapInArrow(compare, "a long, b long"))
+    for t in (need, own):
+        _io.drop(t)
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id reached over links; rows without an id have none).
+
+    Two texts are linked if the sets of their word shingles have a Jaccard similarity of at least
+    `similarity`. Candidates come from the binary-trie self-join of 128-bit SimHash fingerprints: of
+    texts of similarity 0.8 about 19 bits differ, mostly uncertain ones, so each of seven blocks leads
+    to its bucket as it is and with its three least certain bits the other way. The exact similarity of
+    a candidate then decides. Rounds: equal words of a fingerprint link to the first document, then each
+    document proposes its nearest smaller ids of other classes in each bucket, in later rounds four times
+    as many where there were more, until no bucket has an untried pair of two classes. So a class of any size costs
+    some pairs a document, not all pairs, and no candidate is left out. Words are split at white
+    space, A-Z in lower case; of fewer words than a shingle the whole sequence counts. Texts without
+    words are one class. Equal sets fold first; repeated rows come back as often as given. Similarities
+    below 0.6 would need a wider budget and raise. An empty table gives an empty result.
+    """
+    if not 0.6 <= similarity <= 1:
+        raise ValueError("similarity must be between 0.6 and 1")
+    _io.small_batches(docs.sparkSession)
+    marks = _io.cut(_wide(docs, id_col, text_col, shingle))
+    reps = _io.cut(
+        marks.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("f0", "f1", "keys")))
+    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    words = reps.where("n > 0").select("rep", F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.expr(f"shiftrightunsigned({f}, {s}) & 4294967295").alias("value")) for i, (f, s) in enumerate((("f0", 0), ("f0", 32), ("f1", 0), ("f1", 32)))))).alias("w")).select("rep", "w.*")
+    heads = words.groupBy("part", "value").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("part", "value", "a")
+    tried = _io.cut(words.join(heads, ["part", "value"]).where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    links = _similar(tried, texts, shingle, similarity)
+    buckets, most = None, 1
+    while True:
+        stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        known = reps.join(stars, F.col("rep") == F.col("u"), "left").select("rep", "mark", "n", "f0", "f1", "keys", F.coalesce("root", "rep").alias("class"))
+        rows = known.where("n > 0").select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"), "f0", "f1", "class")
+        if buckets is not None:
+            rows = rows.join(buckets, "key", "left_semi")
+        found = _io.cut(_proposals(rows, most))
+        buckets = _io.cut(found.where("a is null").select("key").distinct())
+        fresh = _io.cut(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        asked = buckets.count()
+        if fresh.count():
+            links = _io.cut(links.unionByName(_similar(fresh, texts, shingle, similarity)))
+            tried = _io.cut(tried.unionByName(fresh))
+        if not asked:
+            break
+        most *= 4
+    stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = reps.join(stars, F.col("rep") == F.col("u"), "left").select(F.col("mark").alias("mark_"), F.col("n").alias("n_"), F.coalesce("root", "rep").alias("class_id"))
+    joined = marks.join(classes, (F.col("mark") == F.col("mark_")) & (F.col("n") == F.col("n_")), "left")
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs without the documents that another of their near_copies() class stands for (its smallest doc_id stays).
+
+    Rows without a doc_id stay; repeated rows of the doc_id that stays all stay.
+    """
+    gone = near_copies(docs, similarity, shingle).where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = _io.cut(gone)
     return docs.join(_io.sized(gone, gone.count() * 32), docs["doc_id"] == gone["gone_id"], "left_anti")
