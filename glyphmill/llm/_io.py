@@ -67,8 +67,20 @@ def sized(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: name, with underscores before it where it is taken."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer files than there are cores is dealt to all of them."""
+    """A table; a scan of fewer splits than there are cores is dealt to all of them, never to fewer than it has."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if splits(df) < cores else df
+
+
+def splits(df: DataFrame) -> int:
+    """How many partitions a scan has, as the plan knows them; no file is listed on the driver's Python side."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()

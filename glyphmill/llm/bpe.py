@@ -130,8 +130,9 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [int(x) for ids, _, _ in self.parts_of(text) for x in ids.split(",")]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
+    def decode(self, ids: list[int | None]) -> str:
+        """The text of ids; unknown and null ones have none, as in the library."""
+        return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -187,7 +188,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
 
 def decode_ids(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with ids_col decoded to text; null ids give null."""
+    """tokens with ids_col decoded to text; a null array gives null, unknown and null ids no text."""
     if out_col in tokens.columns:
         raise ValueError(f"{out_col} is taken")
     at = tokens.columns.index(ids_col)

@@ -296,6 +296,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at_col = docs.columns.index(text_col)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     out = docs
+    names = [f"_{out_col}_{k}" for k in range(sweeps)] if sweeps > 1 else [out_col]
+    while sweeps > 1 and set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
     for k in range(sweeps):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(sweeps)) == k).collect()
         hashes = {r: _words_of(r.text) for r in sorted(set(rows))}
@@ -305,7 +308,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         space = sketch(texts, lookup, len(known))
         items = prepare([r.item_id for r in hashes], [lookup(h) for h in hashes.values()], space)
 
-        def run(batches, lookup=lookup, items=items, space=space, name=f"{out_col}{k}" if sweeps > 1 else out_col):
+        def run(batches, lookup=lookup, items=items, space=space, name=names[k]):
             for b in batches:
                 got = []
                 for _, buf, off in _vec.pieces(b.column(at_col)):
@@ -314,9 +317,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 leaks = pa.array([[dict(zip(("item_id", "similarity", "word"), x)) for x in sorted(g)] for g in got], arrow)
                 yield pa.RecordBatch.from_arrays([*b.columns, leaks], [*b.schema.names, name])
 
-        fields = [*fields, T.StructField(f"{out_col}{k}" if sweeps > 1 else out_col, kind)]
+        fields = [*fields, T.StructField(names[k], kind)]
         out = out.mapInArrow(run, T.StructType(fields))
     if sweeps > 1:
-        parts = [f"{out_col}{k}" for k in range(sweeps)]
-        out = out.withColumn(out_col, F.array_sort(F.concat(*parts))).drop(*parts)
+        out = out.withColumn(out_col, F.array_sort(F.concat(*names))).drop(*names)
     return out

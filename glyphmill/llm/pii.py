@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
+import ipaddress
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +35,15 @@ _NUMBER = re.compile(
 )
 _GROUP = re.compile(r"\d+")
 _IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = re.compile(r"[\w.%+-]+\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
-_SECRET = re.compile(r"""[=:]\s*["']?(?P<value>[A-Za-z0-9_/+-]{16,})""")
-_SECRET_NAME = re.compile(r"(?:token|secret|passwd|password|api[_-]?key)\s*\Z")
+_SECRET = re.compile(r"""[=:]\s*(?P<quote>["']?)(?P<value>[A-Za-z0-9_/+.=-]{16,})""")
+_SECRET_NAME = re.compile(r"""(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s*\Z""")
+_BEARER = re.compile(r"(?i:\bbearer)[ ]+(?P<value>[A-Za-z0-9_/+.=-]{16,})")
+# Public beginnings of keys that need no name beside them.
+_KEY = re.compile(r"(?<![A-Za-z0-9_])(?:sk-|sk_live_|sk_test_|rk_live_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|hf_|npm_|pypi-|eyJ)(?P<value>[A-Za-z0-9_/+.=-]{16,})")
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:]|\.\w)")
+_VERSION = re.compile(r"(?i:\bv(?:ersion|er\.?)?[ :]*)\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -60,6 +68,18 @@ def _is_iban(s: str) -> bool:
 _CHECKS = {"card": _is_card, "iban": _is_iban}
 
 
+@functools.lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The characters among which one is permuted: digits, letters of its case; beyond ASCII those of its 256 code points."""
+    if c.isascii():
+        return next((z for z in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in z), c)
+    if not c.isalpha():
+        return c
+    base = max(0x80, ord(c) & ~0xFF)
+    kind = (c.islower(), c.isupper())
+    return "".join(x for x in map(chr, range(base, (ord(c) | 0xFF) + 1)) if x.isalpha() and (x.islower(), x.isupper()) == kind and len(x.lower()) == 1 and (not kind[0] or x.lower() == x))
+
+
 class Pseudonyms:
     """Keyed permutations of formats; one key gives one value the same pseudonym in every document."""
 
@@ -91,19 +111,18 @@ class Pseudonyms:
         return str(self.permute(kind, 10 ** len(s), int(s), back)).zfill(len(s)) if s else s
 
     def classes(self, kind: str, s: str, back: bool = False) -> str:
-        """Letters stay letters of their case, digits digits; other characters stay as they are."""
-        radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
-        low = [ord("0") if c.isdigit() else ord("A") if c.isupper() else ord("a") for c in s]
+        """Letters stay letters of their case and script, digits digits; other characters stay as they are."""
+        sets = [_alphabet(c) for c in s]
         x, n = 0, 1
-        for c, r, z in zip(s, radix, low):
-            x, n = (x * r + ord(c) - z if r > 1 else x), n * r
+        for c, z in zip(s, sets):
+            x, n = x * len(z) + z.index(c), n * len(z)
         if n == 1:
             return s
-        x = self.permute(f"{kind}/{''.join('a' if r == 26 else '0' if r == 10 else c for c, r in zip(s, radix))}", n, x, back)
+        x = self.permute(f"{kind}/{''.join('a' if len(z) == 26 else '0' if len(z) == 10 else z[0] for z in sets)}", n, x, back)
         out = []
-        for c, r, z in zip(reversed(s), reversed(radix), reversed(low)):
-            out.append(c if r == 1 else chr(z + x % r))
-            x //= r
+        for z in reversed(sets):
+            x, at = divmod(x, len(z))
+            out.append(z[at])
         return "".join(reversed(out))
 
     def of(self, kind: str, s: str, back: bool = False) -> str | None:
@@ -156,6 +175,8 @@ class Pseudonyms:
         return f"{a + 1 + (a > 664):03d}-{b + 1:02d}-{c + 1:04d}"
 
     def _ip(self, s: str, back: bool) -> str | None:
+        if ":" in s:
+            return self._ip6(s, back)
         parts = [int(x) for x in s.split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
             return None
@@ -179,12 +200,29 @@ class Pseudonyms:
             return sep.join(new if ymd else (new[2], new[1], new[0]) if k == 0 else (new[1], new[2], new[0]))
         return None
 
-    def _secret(self, s: str, back: bool) -> str | None:
-        if not (re.search(r"\d", s) and re.search(r"[A-Za-z]", s)):
+    def _ip6(self, s: str, back: bool) -> str | None:
+        """Its hex digits as they are written, the colons where they are; of one case."""
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
             return None
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        digits = s.replace(":", "")
+        if len(digits) < 4 or not re.search(r"\d", digits):
+            return None
+        kind, n = "ip6/" + re.sub("[^:]", "0", s), 16 ** len(digits)
+        x = self.permute(kind, n, int(digits, 16), back)
+        while not re.search(r"\d", new := f"{x:0{len(digits)}x}"):  # cycle walking keeps a digit, as the search asks for one
+            x = self.permute(kind, n, x, back)
+        return self._refill(s, new if digits.lower() == digits else new.upper())
+
+    def _secret(self, s: str, back: bool) -> str | None:
+        mixed = lambda v: re.search(r"\d", v) and re.search(r"[A-Za-z]", v)
+        if mixed(s) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+            show = "X" if s.upper() == s else "x"
             x = self.permute("hex", 16 ** len(s), int(s, 16), back)
-            return f"{x:0{len(s)}{'X' if s.upper() == s else 'x'}}"
+            while not mixed(new := f"{x:0{len(s)}{show}}"):
+                x = self.permute("hex", 16 ** len(s), x, back)
+            return new
         return self.classes("secret", s, back)
 
 
@@ -233,6 +271,8 @@ def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
             a, b = m.span()
             if m.lastgroup != "card":
                 at = done = b
+                if m.group("ip") and max(map(int, m.group().split("."))) < 100 and _VERSION.search(text, max(0, a - 12), a):
+                    continue
                 kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m.group(k))
                 out.append((a, b, kind, []))
                 continue
@@ -252,9 +292,16 @@ def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
             if start < at:
                 out.append((start, b.end(), "email", []))
         at = text.find("@", at + 1)
+    if text.count(":") > 1:
+        out += [(*m.span(), "ip", []) for m in _IP6.finditer(text)]
     for m in _SECRET.finditer(text):
-        if _SECRET_NAME.search(text[max(0, m.start() - 16) : m.start()].lower()):
-            out.append((*m.span("value"), "secret", []))
+        v = m["value"].rstrip(".=")
+        telling = m["quote"] or (re.search(r"[A-Za-z]", v) and (re.search(r"\d", v) or (re.search("[A-Z]", v[1:]) and re.search("[a-z]", v))))
+        if len(v) >= 16 and telling and _SECRET_NAME.search(text[max(0, m.start() - 20) : m.start()].lower()):
+            out.append((m.start("value"), m.start("value") + len(v), "secret", []))
+    if "earer" in text or "EARER" in text:
+        out += [(*m.span("value"), "secret", []) for m in _BEARER.finditer(text) if re.search(r"\d", m["value"])]
+    out += [(*m.span("value"), "secret", []) for m in _KEY.finditer(text) if re.search(r"[A-Z0-9]", m["value"])]
     out.sort(key=lambda x: (x[0], -x[1]))
     return out
 
@@ -278,7 +325,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts: bo
     """docs with personal data in text_col under pseudonyms; with counts also a column n_<kind> each.
 
     Kinds: e-mail addresses (local part), phone numbers (country code stays), payment cards (Luhn),
-    IBANs (mod 97), social security numbers, IPv4 addresses, dates of 1900-2099 and named secrets.
+    IBANs (mod 97), social security numbers, IPv4 and IPv6 addresses (but not what stands after `version` with parts below 100), dates of
+    1900-2099 and secrets: named ones (also as quoted keys), bearer tokens, keys of public beginnings.
     A value that fails its check stays; a card or IBAN is read with shorter ends and from later groups
     before it counts as failed. The permutation depends on key and kind only, so equal values have
     equal pseudonyms in every row, partition and run (but where digits beside a card or IBAN would

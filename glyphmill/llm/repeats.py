@@ -175,7 +175,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes with keep_text).
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat, longest (and the kept bytes with keep_text).
+
+    has_repeat says whether anything was removed, longest is the longest removed run in bytes.
 
     A byte goes if a string of `length` bytes over it also starts at another place of any
     document, the same one included; all is judged on the input. Null and empty texts have no
@@ -191,7 +193,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def apply(batches):
         for b in batches:
-            texts, n, gone, runs, sha, kept = b.column(1).cast(pa.binary()).to_pylist(), [], [], [], [], []
+            texts, n, gone, runs, sha, long, kept = b.column(1).cast(pa.binary()).to_pylist(), [], [], [], [], [], []
             for text, s, e in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
                 cut = list(zip(s or (), e or ()))
                 ends = [0, *(e for _, e in cut)]
@@ -200,10 +202,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 gone.append(len(text) - len(left))
                 runs.append(len(cut))
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            out = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.binary())][: 5 + keep_text], NAMES[: 5 + keep_text])
+                long.append(max((e - s for s, e in cut), default=0))
+                if keep_text:
+                    kept.append(left)
+            out = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string()), pa.array([x > 0 for x in gone], pa.bool_()), pa.array(long, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.binary())] if keep_text else out, NAMES[: 7 + keep_text])
 
-    NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeat", "longest", "kept"]
     kind = dict(joined.dtypes)["id"]
-    return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeat boolean, longest long" + ", kept binary" * keep_text)

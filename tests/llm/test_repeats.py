@@ -36,6 +36,7 @@ def test_against_brute_force(spark):
         want[i] = (len(t), sum(g), runs, hashlib.sha256(kept).hexdigest(), kept)
     assert sum(w[1] > 0 for w in want.values()) > 20
     for x in got:
+        assert x.has_repeat == (x.n_removed > 0) and (x.longest > 0) == x.has_repeat and x.longest <= x.n_removed
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) == want[x.doc_id]
 
 

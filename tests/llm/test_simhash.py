@@ -67,3 +67,57 @@ def test_empty_and_repeats(spark):
     assert sorted((x.doc_id or -1, x.component_id) for x in rows) == [(-1, None), (5, 5), (5, 5)] or len(rows) == 3
     kept = simhash.keep_one(spark.createDataFrame([(5, "a b c d", "u"), (7, "a b c d", "u")], SCHEMA))
     assert [x.doc_id for x in kept.collect()] == [5] and kept.columns == ["doc_id", "text", "u"]
+
+
+def jaccard_roots(texts, similarity):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_against_brute_force(spark):
+    """A dense group, chains of growing distance, pairs on both sides of the threshold, short and empty texts."""
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(3000)] + ["É", "é"]
+    text = lambda n: r.choices(vocab, k=n)
+    docs = [(i, " ".join(text(r.randint(0, 120)))) for i in range(200)]
+    base = text(300)
+    for i in range(200, 280):
+        w = list(base)
+        for p in r.sample(range(300), r.randint(0, 6)):
+            w[p] = r.choice(vocab)
+        docs.append((i, " ".join(w)))
+    w = text(150)
+    for i in range(280, 300):  # each is near to the one before
+        w = list(w)
+        for p in r.sample(range(150), 2):
+            w[p] = r.choice(vocab)
+        docs.append((i, "\n".join(w).upper()))
+    for i in range(300, 340):
+        w = docs[r.randrange(200)][1].split()
+        for p in r.sample(range(len(w)), min(len(w), r.randint(0, 4))):
+            w[p] = r.choice(vocab)
+        docs.append((i, "\t".join(w)))
+    docs += [(340, None), (341, ""), (342, " \n"), (343, "One two"), (344, "one TWO"), (345, "one two"), (346, "a a a a a a a a"), (347, "a a a a a")]
+    got = {x.doc_id: x.class_id for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = jaccard_roots(dict(docs), 0.8)
+    assert len({v for v in want.values()}) < 290
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, wrong
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == {i for i, v in want.items() if i == v}
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
