@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df on as many partitions as there are cores, where it comes from fewer files (often one split each).
+    """df on as many partitions as there are cores, where it comes from fewer; never on fewer than it has.
 
     Edit distances cost far more than moving their lines; a scan of many splits is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
