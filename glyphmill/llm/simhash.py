@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Of near_copies(), for fingerprints of two words: bits of a block, its least certain bits that are
 #: tried both ways, and the most differing bits of the first word and of both.
-WIDE, FLIPS, FIRST, BOTH = 18, 3, 20, 32
+WIDE, FLIPS, FIRST, BOTH = 18, 3, 20, 30
 
 
 def _sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +267,10 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     return kept.mapInArrow(run, "doc_id long, mark long, n int, f0 long, f1 long, keys array<int>")
 
 
-def _proposals(buckets: DataFrame, most: int) -> DataFrame:
-    """buckets(key, doc_id, f0, f1, class) -> (a, b, key): pairs of different classes within the bit budgets.
+def _proposals(buckets: DataFrame, most: int, similarity: float) -> DataFrame:
+    """buckets(key, doc_id, n, f0, f1, class) -> (a, b, key): pairs of different classes within the bit budgets.
+
+    Sets whose sizes alone exclude the similarity are no pair.
 
     Each document of a bucket proposes its nearest `most` of those with smaller ids; if it has more,
     a row with null a and b names the bucket, so that the next round asks it again.
@@ -276,10 +278,10 @@ def _proposals(buckets: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         for t in _vec.in_groups(batches, ["key"]):
-            key, ids, class_ = (t[x].to_numpy() for x in ("key", "doc_id", "class"))
+            key, ids, class_, n = (t[x].to_numpy() for x in ("key", "doc_id", "class", "n"))
             f0, f1 = t["f0"].to_numpy().view(np.uint64), t["f1"].to_numpy().view(np.uint64)
             order = np.lexsort((f0, key))
-            key, ids, class_, f0, f1 = (x[order] for x in (key, ids, class_, f0, f1))
+            key, ids, class_, n, f0, f1 = (x[order] for x in (key, ids, class_, n, f0, f1))
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.r_[edge[1:], len(key)]
             many = end - edge > 1
@@ -287,7 +289,7 @@ def _proposals(buckets: DataFrame, most: int) -> DataFrame:
             over = np.zeros(0, np.int64)
             for i, j in trie_pairs(f0, edge[many], end[many], 0, FIRST, class_):
                 bits = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j])
-                ok = (bits <= BOTH) & (class_[i] != class_[j])
+                ok = (bits <= BOTH) & (class_[i] != class_[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 i, j, bits = i[ok], j[ok], bits[ok].astype(np.int64)
                 swap = ids[i] > ids[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -350,9 +352,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     `similarity`. Candidates come from the binary-trie self-join of 128-bit SimHash fingerprints: of
     texts of similarity 0.8 about 19 bits differ, mostly uncertain ones, so each of seven blocks leads
     to its bucket as it is and with its three least certain bits the other way. The exact similarity of
-    a candidate then decides. Rounds: equal words of a fingerprint link to the first document, then each
-    document proposes its nearest smaller ids of other classes in each bucket, in later rounds four times
-    as many where there were more, until no bucket has an untried pair of two classes. So a class of any size costs
+    a candidate then decides. Rounds: equal words of a fingerprint link to the first document; in the blocks
+    as they are, then in all buckets each document proposes its nearest smaller id of another class, in later rounds four
+    times as many where there were more, until no bucket has an untried pair of two classes. So a class of any size costs
     some pairs a document, not all pairs, and no candidate is left out. Words are split at white
     space, A-Z in lower case; of fewer words than a shingle the whole sequence counts. Texts without
     words are one class. Equal sets fold first; repeated rows come back as often as given. Similarities
@@ -370,23 +372,28 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     heads = words.groupBy("part", "value").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("part", "value", "a")
     tried = _io.cut(words.join(heads, ["part", "value"]).where("rep != a").select("a", F.col("rep").alias("b")).distinct())
     links = _similar(tried, texts, shingle, similarity)
-    buckets, most = None, 1
+    buckets, most, first = None, 1, True
     while True:
         stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         known = reps.join(stars, F.col("rep") == F.col("u"), "left").select("rep", "mark", "n", "f0", "f1", "keys", F.coalesce("root", "rep").alias("class"))
-        rows = known.where("n > 0").select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"), "f0", "f1", "class")
+        # First the blocks as they are: near texts of a class meet there, so that it is one before all buckets are asked.
+        keys = F.filter("keys", lambda k, i: i % (1 << FLIPS) == 0) if first else F.col("keys")
+        rows = known.where("n > 0").select(F.explode(keys).alias("key"), F.col("rep").alias("doc_id"), "n", "f0", "f1", "class")
         if buckets is not None:
             rows = rows.join(buckets, "key", "left_semi")
-        found = _io.cut(_proposals(rows, most))
+        found = _io.cut(_proposals(rows, most, similarity))
         buckets = _io.cut(found.where("a is null").select("key").distinct())
         fresh = _io.cut(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         asked = buckets.count()
         if fresh.count():
             links = _io.cut(links.unionByName(_similar(fresh, texts, shingle, similarity)))
             tried = _io.cut(tried.unionByName(fresh))
-        if not asked:
+        if first:
+            first, buckets = False, None
+        elif not asked:
             break
-        most *= 4
+        else:
+            most *= 4
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.join(stars, F.col("rep") == F.col("u"), "left").select(F.col("mark").alias("mark_"), F.col("n").alias("n_"), F.coalesce("root", "rep").alias("class_id"))
     joined = marks.join(classes, (F.col("mark") == F.col("mark_")) & (F.col("n") == F.col("n_")), "left")
