@@ -13,6 +13,8 @@ from glyphmill.functions import udf
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Code points below U+0300 are composed already.
 _COMPOSED = "^[\\x{0}-\\x{2ff}]*$"
+#: Latin-1 but for the micro sign, which folds to a Greek letter.
+_PLAIN = "^[\\x{0}-\\x{b4}\\x{b6}-\\x{ff}]*$"
 
 # Element tags, table tokens and the largest location of the markup.
 ELEMENT_TAGS = (
@@ -57,8 +59,9 @@ def words(text: Column | str, lower: bool = True) -> Column:
 
 
 def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Unit-cost edits between code points."""
-    return F.levenshtein(_c(reference), _c(hypothesis))
+    """Unit-cost edits between code points; equal texts are not compared."""
+    r, h = _c(reference), _c(hypothesis)
+    return F.when(r == h, 0).otherwise(F.levenshtein(r, h))
 
 
 def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
@@ -75,7 +78,7 @@ def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
         far = F.levenshtein(line(reference), line(hypothesis))
         return F.when(F.size(known) > 20_000, F.raise_error(F.lit("over 20000 different words in a pair")).cast("int")).otherwise(far)
 
-    return _bound(F.array_distinct(F.concat(reference, hypothesis)), distance)
+    return F.when(reference == hypothesis, 0).otherwise(_bound(F.array_distinct(F.concat(reference, hypothesis)), distance))
 
 
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
@@ -91,8 +94,12 @@ def word_error_rate(reference: Column | str, hypothesis: Column | str) -> Column
 
 
 def fold(text: Column | str) -> Column:
-    """Case-folded and without punctuation (Unicode category P), collapsed; exact for any text."""
-    return udf.fold(_c(text))
+    """Case-folded and without punctuation (Unicode category P), collapsed; exact for any text.
+
+    Only texts with code points that fold_plain() does not fold alike go to Python.
+    """
+    text = _c(text)
+    return F.coalesce(udf.fold(F.when(~text.rlike(_PLAIN), text)), fold_plain(text))
 
 
 def fold_plain(text: Column | str) -> Column:

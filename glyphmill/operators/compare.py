@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
@@ -41,16 +41,18 @@ def disagreement(scored: DataFrame, a: str, b: str, key: str = "id") -> DataFram
 
 def system_summary(scored: DataFrame) -> DataFrame:
     """One row a system: corpus measures, empty and truncated hypotheses."""
-    extra = scored.groupBy("system").agg(
-        F.sum((tx.collapse("hypothesis") == "").cast("long")).alias("empty_hypotheses"), F.sum(F.col("truncated").cast("long")).alias("truncated")
-    )
-    return corpus_metrics(scored, "system").join(extra, "system")
+    more = (F.sum((tx.collapse("hypothesis") == "").cast("long")).alias("empty_hypotheses"), F.sum(F.col("truncated").cast("long")).alias("truncated"))
+    return corpus_metrics(scored, "system", more=more)
 
 
 def system_deltas(summary: DataFrame, base: str, measures: tuple[str, ...] = ("cer", "wer", "cer_macro", "exact_match")) -> DataFrame:
-    """Every system's measures minus the base system's, and whether it beats it (a higher exact match, lower rates)."""
-    other = summary.where(F.col("system") == base).select(*(F.col(m).alias(f"_{m}") for m in measures))
-    joined = summary.crossJoin(F.broadcast(other.limit(1)))
+    """Every system's measures minus the base system's, and whether it beats it (a higher exact match, lower rates).
+
+    summary has a row a system, so one window over all of it finds the base; the lines are read once.
+    """
+    all_systems = Window.partitionBy(F.lit(0))
+    of_base = {f"_{m}": F.max(F.when(F.col("system") == base, F.col(m))).over(all_systems) for m in measures}
+    joined = summary.withColumns(of_base).where(F.coalesce(*(F.col(c) for c in of_base)).isNotNull())
     delta = lambda m: F.col(m) - F.col(f"_{m}")
     return joined.select(
         "system",
@@ -59,6 +61,13 @@ def system_deltas(summary: DataFrame, base: str, measures: tuple[str, ...] = ("c
     )
 
 
+def readings(deltas: DataFrame, base: str, measure: str, digits: int = 4) -> DataFrame:
+    """(system, reading): a sentence on each system's difference to the base in one measure."""
+    d = F.round(F.col(f"{measure}_delta"), digits)
+    say = lambda how: F.lit(f"{measure} {how} {base}")
+    return deltas.select("system", F.when(d < 0, say("lower than")).when(d > 0, say("higher than")).otherwise(say("as")).alias("reading"))
+
+
 def markup_sensitivity(scored: DataFrame) -> DataFrame:
     """One row a system: rates before and after an unfinished tag at the end is left out; failures of its markup.
 
@@ -66,20 +75,24 @@ def markup_sensitivity(scored: DataFrame) -> DataFrame:
     """
     strip = tx.strip_partial_markup("hypothesis")
     base = scored.select("system", "id", "reference", "hypothesis", "truncated", "markup", strip.alias("s"))
-    rates = []
-    for name, hyp in (("configured", "hypothesis"), ("markup_excluded", "s.text")):
-        m = corpus_metrics(pair_metrics(base.select("system", "reference", F.col(hyp).alias("hypothesis"))), "system")
-        rates.append(m.select("system", F.col("cer").alias(f"{name}_cer"), F.col("wer").alias(f"{name}_wer")))
-    fail = tx.markup_failures("markup")
-    counts = base.withColumn("f", fail).groupBy("system").agg(
+    kept = ["system", "truncated", "markup", "s", "reference"]
+    first = pair_metrics(base).select(*kept, F.struct("char_edits", "word_edits", "ref_chars", "ref_words").alias("configured"))
+    # The text without its tag is scored again only where there was one: an equal pair costs no distance.
+    again = F.length("s.fragment") > 0
+    more = first.withColumns({"had_tag": again, "_ref": F.when(again, F.col("reference")).otherwise(""), "_hyp": F.when(again, F.col("s.text")).otherwise("")})
+    more = pair_metrics(more, "_ref", "_hyp")
+    cut = F.struct("char_edits", "word_edits", F.col("configured.ref_chars"), F.col("configured.ref_words"))
+    both = more.withColumn("markup_excluded", F.when(F.col("had_tag"), cut).otherwise(F.col("configured")))
+    rate = lambda m, e, t: F.sum(f"{m}.{e}") / F.sum(f"{m}.{t}")
+    out = both.withColumn("f", tx.markup_failures("markup")).groupBy("system").agg(
         F.count("*").alias("lines"),
         F.sum((F.length("s.fragment") > 0).cast("long")).alias("lines_with_partial_tag"),
         F.sum(F.length("s.fragment")).alias("partial_tag_chars"),
         F.sum(F.col("truncated").cast("long")).alias("truncated_lines"),
         F.sum(F.when(F.col("markup").isNotNull(), F.col("f.unbalanced").cast("long"))).alias("lines_unbalanced_element_tags"),
         F.sum(F.when(F.col("markup").isNotNull(), F.col("f.malformed").cast("long"))).alias("lines_malformed_locations"),
+        *(rate(m, e, t).alias(f"{m}_{r}") for m in ("configured", "markup_excluded") for r, e, t in (("cer", "char_edits", "ref_chars"), ("wer", "word_edits", "ref_words"))),
     )
-    out = counts.join(rates[0], "system").join(rates[1], "system")
     return out.withColumns({f"{m}_change": F.col(f"markup_excluded_{m}") - F.col(f"configured_{m}") for m in ("cer", "wer")})
 
 
@@ -106,11 +119,13 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def page_means(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("model").agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.sum(F.col("truncated").cast("long")).alias("truncated"))
+    """A model's mean rates, truncated pages and, where rows have n_table_cells and n_table_rows, their totals."""
+    totals = [F.sum(F.col(c).cast("long")).alias(c) for c in ("n_table_cells", "n_table_rows") if c in rows.columns]
+    return rows.groupBy("model").agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.sum(F.col("truncated").cast("long")).alias("truncated"), *totals)
 
 
 def resources(runs: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """runs (model, seconds, ...) with seconds a line, mean page latency; null where nothing was run."""
+    """runs (model, seconds, and what else was recorded, such as peak memory) with seconds a line, mean page latency; null where nothing was run."""
     n = lines.groupBy("model").agg(F.count("*").alias("_n"))
     p = pages.groupBy("model").agg(F.avg("inference_seconds").alias("mean_page_latency_s"))
     out = runs.join(n, "model", "left").join(p, "model", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,15 @@ def join_hypotheses(records: DataFrame, hypotheses: DataFrame, key: str = "id")
     return both.withColumn("reference", checked).drop("_in_r", "_in_h")
 
 
-def corpus_metrics(scored: DataFrame, *by: str | Column) -> DataFrame:
-    """Corpus rates of pair_metrics() rows, over all or by group: micro, macro, percentiles, counts."""
+def corpus_metrics(scored: DataFrame, *by: str | Column, more: Sequence[Column] = ()) -> DataFrame:
+    """Corpus rates of pair_metrics() rows, over all or by group: micro, macro, percentiles, counts; and more sums of the same pass.
+
+    Exact percentiles hold a group's different rates with their counts; there are at most as
+    many as fractions of line lengths, whatever the number of lines.
+    """
     s = lambda c: F.sum(c)
     return scored.groupBy(*by).agg(
+        *more,
         F.count("*").alias("n"),
         (s("char_edits") / s("ref_chars")).alias("cer"),
         (s("word_edits") / s("ref_words")).alias("wer"),
@@ -152,8 +158,8 @@ def bootstrap_interval(scored: DataFrame, drawn: DataFrame, paired: DataFrame |
     """One row: estimate, low and high of a micro rate (or of its difference to paired) over resampled lines.
 
     scored and paired have pos (0, 1, ...) and the counts of pair_metrics(); drawn is draws().
-    Every draw meets its line in a join; for tables where lines times resamples is too much to
-    move, poisson_interval() needs none.
+    For small tables: every draw meets its line in a join, lines times resamples rows in all.
+    poisson_interval() needs none and is meant for large ones.
     """
     rows = _paired(scored, paired, measure, pos)
     rate = F.sum("e") / F.sum("t") - F.sum("e2") / F.sum("t2")
@@ -190,8 +196,8 @@ def verdict(n: Column | str) -> Column:
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """corpus_metrics() and token totals of scored recogniser output, with the verdict on its size."""
-    extra = scored.agg(F.sum(F.col("truncated").cast("long")).alias("n_truncated"), F.sum("new_tokens").alias("new_tokens"))
-    return corpus_metrics(scored).crossJoin(F.broadcast(extra)).withColumn("verdict", verdict("n"))
+    more = (F.sum(F.col("truncated").cast("long")).alias("n_truncated"), F.sum("new_tokens").alias("new_tokens"))
+    return corpus_metrics(scored, more=more).withColumn("verdict", verdict("n"))
 
 
 def evaluation_report(items: DataFrame) -> DataFrame:

@@ -149,6 +149,21 @@ def check_all(df: DataFrame, rules: Sequence[tuple[str, Column, Column | str]],
         raise Refused(message)
 
 
+# Closed bounds of a training run's parameters, and those that are whole numbers.
+PARAMETER_BOUNDS = {"epochs": (1, 50), "learning_rate": (1e-12, 1e-2), "batch_size": (1, 32), "min_gain": (0, 1 - 1e-12)}
+WHOLE_PARAMETERS = ("epochs", "batch_size")
+
+
+def parameter_rules(*names: str) -> list[tuple[str, Column, Column]]:
+    """Rules of the named parameter columns of a table of runs, in order."""
+    out = []
+    for name in names:
+        low, high = PARAMETER_BOUNDS[name]
+        broken = F.col(name).isNull() | ~F.col(name).between(low, high)
+        out.append((name, broken, F.concat(F.lit(f"{name} must be between {low} and {high}, got "), F.coalesce(F.col(name).cast("string"), F.lit("null")))))
+    return out
+
+
 def check_parameters(values: Mapping[str, float], bounds: Mapping[str, tuple[float, float]], whole: Sequence[str] = ()) -> None:
     """Refused unless each value is a number within its closed bounds; names in whole take integers only."""
     for name, value in values.items():

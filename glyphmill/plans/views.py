@@ -121,6 +121,15 @@ def word_distance_sql(r: str, h: str) -> str:
     )
 
 
+def frozen_sql(x: str) -> str:
+    return f"""CASE WHEN length({x}) % 7 = 0 THEN {x} || ' ' || {x} || ' ' || {x} WHEN length({x}) % 5 = 0 THEN ''
+              ELSE replace(replace(replace(replace({x}, 'é', 'e'), 'th', 'ht'), 'ü', 'ß'), 'a', 'ä') END"""
+
+
+def adapted_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) % 11 = 0 THEN '' ELSE replace(replace({x}, 'th', 'ht'), 'é', 'e') END"
+
+
 LINES_SQL = f"""lines AS (
   SELECT doc_id * 100000 + line AS pos, 'doc-' || doc_id || '-' || line AS id, doc_id, lang, source, text FROM (
     SELECT doc_id, lang, source, line, {collapse_sql('raw')} AS text FROM (
@@ -130,11 +139,10 @@ LINES_SQL = f"""lines AS (
 
 SYSTEMS_SQL = f"""{LINES_SQL}, said AS (
   SELECT pos, id, doc_id, lang, source, text AS reference, 'frozen' AS system,
-         CASE WHEN length(text) % 7 = 0 THEN text || ' ' || text || ' ' || text WHEN length(text) % 5 = 0 THEN ''
-              ELSE replace(replace(replace(replace(text, 'é', 'e'), 'th', 'ht'), 'ü', 'ß'), 'a', 'ä') END AS hypothesis FROM lines
+         {frozen_sql('text')} AS hypothesis FROM lines
   UNION ALL
   SELECT pos, id, doc_id, lang, source, text, 'adapted',
-         CASE WHEN length(text) % 11 = 0 THEN '' ELSE replace(replace(text, 'th', 'ht'), 'é', 'e') END FROM lines
+         {adapted_sql('text')} FROM lines
 ), systems AS (
   SELECT *, len({words_sql('hypothesis')}) AS new_tokens, len({words_sql('hypothesis')}) >= {BUDGET} AS truncated FROM said)"""
 

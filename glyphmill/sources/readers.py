@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
@@ -204,6 +204,23 @@ def load_state(spark: SparkSession, path: str, hint: str = "run the earlier step
         raise Refused(f"{path} is missing: {hint}") from None
 
 
+def load_json_state(spark: SparkSession, path: str, schema: str, hint: str = "run the earlier steps first") -> DataFrame:
+    """load_state() of a JSON table, read with its schema (without one the whole table would be read for its types)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise Refused(f"{path} is missing: {hint}") from None
+
+
+def int_keys(column: str) -> Column:
+    """A map whose keys are numbers as text, as JSON has them, with whole numbers as keys."""
+    return F.transform_keys(column, lambda k, _: k.cast("long"))
+
+
 def reload_split(lines: DataFrame, recorded: DataFrame) -> DataFrame:
     """lines (id, digest, ...) of a split, each with the digest that was recorded for it; a difference raises."""
     r = recorded.select(F.col("id").alias("_id"), F.col("digest").alias("_d"))

@@ -40,6 +40,11 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def save_json_state(df: DataFrame, path: str) -> None:
+    """A stage's table as JSON lines; nulls keep their fields, so that it loads with the same columns."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def table_digest(df: DataFrame) -> str:
     """An order-independent digest of a table: row hashes added up, with the number of rows."""
     h = F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}), 256)
@@ -53,9 +58,24 @@ def check_fresh(now: Mapping[str, str | None], recorded: Mapping[str, str | None
         raise Refused(f"{', '.join(changed)} changed after the summary; run {rerun} again")
 
 
-def export_bundle(tables: Mapping[str, DataFrame], reports: Mapping[str, DataFrame], path: str, now: Mapping[str, str | None] | None = None, recorded: Mapping[str, str | None] | None = None) -> None:
-    """CSV tables and JSON reports below one new folder, after the freshness check."""
+def stale_inputs(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Names (name, digest) whose digest is another than the recorded one, or has none recorded: check_fresh() of a table."""
+    r = recorded.select(F.col("name").alias("_n"), F.col("digest").alias("_d"))
+    return now.join(r, F.col("name") == F.col("_n"), "left").where(~F.col("digest").eqNullSafe(F.col("_d"))).select("name")
+
+
+def export_bundle(
+    tables: Mapping[str, DataFrame],
+    reports: Mapping[str, DataFrame],
+    path: str,
+    now: Mapping[str, str | None] | None = None,
+    recorded: Mapping[str, str | None] | None = None,
+    pages: DataFrame | None = None,
+) -> None:
+    """CSV tables, JSON reports and, of pages (page_id, ...), a folder for each below one new folder, after the freshness check."""
     check_fresh(now or {}, recorded or {}, "the summary")
+    if pages is not None:
+        pages.repartition("page_id").write.partitionBy("page_id").json(f"{path}/pages")
     for name, df in tables.items():
         write_csv(df, f"{path}/{name}.csv")
     for name, df in reports.items():
