@@ -327,7 +327,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 ok.append(same >= similarity * (len(both) - same))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    need = _io.cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
+    need = _io.cut(pairs.select(F.col("a").alias("need")).distinct().union(pairs.select("b").distinct()).distinct())
     asked = texts.join(_io.sized(need, need.count() * 16), texts["doc_id"] == need["need"], "left_semi")
     own = _io.cut(asked.mapInArrow(sets, "doc long, own binary"))
     x, y = (own.select(F.col("doc").alias(f"{c}_"), F.col("own").alias(f"own_{c}")) for c in "ab")
