@@ -79,7 +79,7 @@ def test_splits(spark):
         again = curate.sample_split(r.repartition(parts), {"train": 10, "test": 5}, seed=1)
         first = first if parts == 8 else sorted(map(tuple, again.select("id", "split", "split_pos").collect()))
     assert first == sorted(map(tuple, again.select("id", "split", "split_pos").collect()))
-    with pytest.raises(Refused, match="train split would hold 7"):
+    with pytest.raises(Refused, match="train needs 8, gets 7; 12 records suffice"):
         curate.split_dataset(records(spark, 11))
     with pytest.raises(Refused, match="only 30 records"):
         curate.sample_split(r, {"train": 31})
