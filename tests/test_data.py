@@ -84,7 +84,7 @@ def test_splits(spark):
     with pytest.raises(Refused, match="only 30 records"):
         curate.sample_split(r, {"train": 31})
     leak = s.unionByName(s.where("split = 'test'").limit(1).withColumn("split", F.lit("train")))
-    with pytest.raises(Refused, match="appears in both test and train"):
+    with pytest.raises(Refused, match="has its payload in test and train"):
         curate.check_disjoint(leak)
 
 
