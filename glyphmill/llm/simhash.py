@@ -199,8 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of near_copies(), for fingerprints of two words: bits of a block, its least certain bits that are
 #: tried both ways, and the most differing bits of the first word and of both.
 WIDE, FLIPS, FIRST, BOTH = 18, 3, 20, 30
-#: Of near_copies(): documents of other classes that a document meets in each of its buckets.
+#: Of near_copies(): documents of other classes that a document meets in each of its unflipped buckets before the
+#: rest is settled class by class.
 NEAREST = 4
+#: Shingles of a class that one block of its members holds, and documents asked of it in one task.
+BLOCK_SHINGLES, CHUNK_ROWS = 1 << 17, 4096
 
 
 def _sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,18 +241,60 @@ def _margins(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _weak(margins: np.ndarray) -> np.ndarray:
+    """The FLIPS least certain bits of each block, by their places in the block."""
+    blocks = margins.shape[1] // WIDE
+    part = margins[:, : blocks * WIDE].reshape(len(margins), blocks, WIDE)
+    return np.argsort(np.abs(part), axis=2, kind="stable")[:, :, :FLIPS]
+
+
 def probes(margins: np.ndarray) -> np.ndarray:
     """Bucket keys of each text: every block as it is and with its FLIPS least certain bits the other way."""
-    n, blocks = len(margins), 128 // WIDE
+    n, blocks = len(margins), margins.shape[1] // WIDE
     part = margins[:, : blocks * WIDE].reshape(n, blocks, WIDE)
     value = ((part > 0) << np.arange(WIDE)).sum(axis=2) | np.arange(blocks) << WIDE
-    weak = 1 << np.argsort(np.abs(part), axis=2, kind="stable")[:, :, :FLIPS]
+    weak = 1 << _weak(margins)
     masks = np.stack([sum((weak[:, :, k] for k in range(FLIPS) if i >> k & 1), np.zeros_like(value)) for i in range(1 << FLIPS)], 2)
     return (value[:, :, None] ^ masks).reshape(n, -1)
 
 
+def weak_bits(margins: np.ndarray) -> np.ndarray:
+    """The bits that probes() tries both ways, as masks of two words."""
+    out = np.zeros((len(margins), 128), bool)
+    weak = _weak(margins) + np.arange(128 // WIDE)[:, None] * WIDE
+    np.put_along_axis(out, weak.reshape(len(margins), -1), True, 1)
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
+def _block(words: tuple[np.ndarray, np.ndarray], b: int) -> np.ndarray:
+    """The bits of block b of two fingerprint words."""
+    at = b * WIDE
+    if at >= 64:
+        v = words[1] >> np.uint64(at - 64)
+    elif at + WIDE <= 64:
+        v = words[0] >> np.uint64(at)
+    else:
+        v = words[0] >> np.uint64(at) | words[1] << np.uint64(64 - at)
+    return v & np.uint64((1 << WIDE) - 1)
+
+
+def first_meeting(key: np.ndarray, differ: tuple, either: tuple, both: tuple) -> np.ndarray:
+    """Which pairs meet in bucket `key` first: each pair that shares buckets does so in exactly one of them.
+
+    A pair shares a block's buckets if it differs there in bits only that one of them flips; the keys they share have
+    the bits that both flip either way, and the one with zeros there counts, in the lowest such block.
+    """
+    block, value = key >> WIDE, (key & ((1 << WIDE) - 1)).astype(np.uint64)
+    firm = tuple(d & ~e for d, e in zip(differ, either))
+    ok = np.ones(len(key), bool)
+    for b in range(128 // WIDE):
+        ok &= (block <= b) | (_block(firm, b) != 0)
+        ok &= (block != b) | (value & _block(both, b) == 0)
+    return ok
+
+
 def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, mark, n, f0, f1, keys): a hash of the shingle set, its size, two fingerprint words, bucket keys."""
+    """(doc_id, mark, n, f0, f1, w0, w1, keys): a hash of the shingle set, its size, two fingerprint words, their flipped bits, bucket keys."""
 
     def run(batches):
         for b in batches:
@@ -258,15 +303,15 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
                 total = np.concatenate([np.zeros(1, _vec.U64), np.cumsum(_vec.mix(h), dtype=np.uint64)])
                 m = _margins(h, ends)
                 f = np.packbits(m > 0, axis=1, bitorder="little").view("<i8")
-                keys = probes(m)
+                keys, weak = probes(m), weak_bits(m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(off) - 1), pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1]), lists],
-                    ["doc_id", "mark", "n", "f0", "f1", "keys"],
+                    [b.column(0).slice(at, len(off) - 1), pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), *(pa.array(x[:, i]) for x in (f, weak) for i in (0, 1)), lists],
+                    ["doc_id", "mark", "n", "f0", "f1", "w0", "w1", "keys"],
                 )
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, mark long, n int, f0 long, f1 long, keys array<int>")
+    return kept.mapInArrow(run, "doc_id long, mark long, n int, f0 long, f1 long, w0 long, w1 long, keys array<int>")
 
 
 def _proposals(buckets: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -307,8 +352,94 @@ def _nearest(low: np.ndarray, high: np.ndarray, far: np.ndarray, ids: np.ndarray
     return low[rank < most], high[rank < most], far[rank < most]
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, exactly."""
+def _asked(buckets: DataFrame, similarity: float) -> DataFrame:
+    """buckets(key, doc_id, n, f0, f1, w0, w1, class, size) -> (x, class): documents with a class that holds candidates of theirs.
+
+    Every pair of different classes within the bit budgets counts, in the first bucket that it shares; the document
+    of the smaller class asks. A class is asked about once a bucket, however many of its members are near.
+    """
+
+    def run(batches):
+        for t in _vec.in_groups(batches, ["key"]):
+            key, ids, class_, n, size = (t[x].to_numpy() for x in ("key", "doc_id", "class", "n", "size"))
+            f0, f1, w0, w1 = (t[x].to_numpy().view(np.uint64) for x in ("f0", "f1", "w0", "w1"))
+            order = np.lexsort((f0, key))
+            key, ids, class_, n, size, f0, f1, w0, w1 = (x[order] for x in (key, ids, class_, n, size, f0, f1, w0, w1))
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            end = np.r_[edge[1:], len(key)]
+            many = end - edge > 1
+            out = np.zeros((0, 2), np.int64)
+            for i, j in trie_pairs(f0, edge[many], end[many], 0, FIRST, class_):
+                ok = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= BOTH) & (class_[i] != class_[j])
+                ok &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                ok = first_meeting(key[i], (f0[i] ^ f0[j], f1[i] ^ f1[j]), (w0[i] | w0[j], w1[i] | w1[j]), (w0[i] & w0[j], w1[i] & w1[j]))
+                i, j = i[ok], j[ok]
+                asks = (size[i] < size[j]) | ((size[i] == size[j]) & (class_[i] > class_[j]))
+                new = np.stack([ids[np.where(asks, i, j)], class_[np.where(asks, j, i)]], 1)
+                out = np.unique(np.concatenate([out, new]), axis=0)
+                if len(out) > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["x", "class"])
+                    out = out[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["x", "class"])
+
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, class long")
+
+
+def _answered(asked: DataFrame, members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) from asked(x, class): x with a member of the class that is similar, exactly, if there is one.
+
+    A class's members(doc_id, n, class) lie in blocks of some BLOCK_SHINGLES shingles, each an index of hashes that the
+    documents asked of it stream past; of a block that very many ask there are several copies.
+    """
+    asks = asked.groupBy("class").agg(F.count("*").alias("asks"))
+    parts = members.join(asks, "class").groupBy("class", "asks").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    parts = _io.cut(parts.select(F.col("class").alias("of"), "blocks", F.ceil(F.col("asks") / CHUNK_ROWS).cast("int").alias("chunks")))
+    held = members.join(parts, F.col("class") == F.col("of")).select(F.col("doc_id").alias("m"), "class", "blocks", "chunks")
+    own = _own_sets(held.select("m").union(asked.select("x")), texts, shingle)
+    kept = held.join(own, F.col("m") == F.col("doc")).select(
+        "class", F.expr("cast(pmod(xxhash64(doc), blocks) as int)").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(0).alias("asks"), "doc", "own"
+    )
+    put = asked.join(parts, F.col("class") == F.col("of")).join(own, F.col("x") == F.col("doc")).select(
+        "class", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.expr("cast(pmod(xxhash64(doc), chunks) as int)").alias("chunk"), F.lit(1).alias("asks"), "doc", "own"
+    )
+
+    def run(batches):
+        place, docs, sets, index = None, [], [], None
+        for b in batches:
+            found = []
+            for at, asks, doc, raw in zip(zip(*(c.to_pylist() for c in b.columns[:3])), *(c.to_pylist() for c in b.columns[3:])):
+                if at != place:
+                    place, docs, sets, index = at, [], [], None
+                h = np.frombuffer(raw, "<u8")
+                if not asks:
+                    docs.append(doc)
+                    sets.append(h)
+                elif docs:
+                    if index is None:
+                        n = np.array([len(s) for s in sets])
+                        all_ = np.concatenate(sets)
+                        order = np.argsort(all_, kind="stable")
+                        index = all_[order], np.repeat(np.arange(len(sets)), n)[order], n
+                    hashes, owner, n = index
+                    lo, hi = (np.searchsorted(hashes, h, side) for side in ("left", "right"))
+                    which, step = _vec.expand(hi - lo)
+                    same = np.bincount(owner[lo[which] + step], minlength=len(docs))
+                    like = np.flatnonzero(same >= similarity * (len(h) + n - same))
+                    if len(like):
+                        found.append((doc, docs[like[0]]))
+            x, m = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(m, pa.int64())], ["a", "b"])
+
+    at = ["class", "block", "chunk"]
+    out = _io.cut(kept.union(put).repartition(*at).sortWithinPartitions(*at, "asks").mapInArrow(run, "a long, b long"))
+    for t in (parts, own):
+        _io.drop(t)
+    return out
+
+
+def _own_sets(need: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc, own) of the texts whose ids are in the one column of need: their sorted shingle hashes, as bytes."""
 
     def sets(batches):
         for b in batches:
@@ -317,6 +448,16 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 raw = h.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(off) - 1), pa.array([raw[8 * s : 8 * e] for s, e in zip(ends, ends[1:])], pa.binary())], ["doc", "own"])
 
+    need = _io.cut(need.toDF("need").distinct())
+    asked = texts.join(_io.sized(need, need.count() * 16), texts["doc_id"] == need["need"], "left_semi")
+    own = _io.cut(asked.mapInArrow(sets, "doc long, own binary"))
+    _io.drop(need)
+    return own
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, exactly."""
+
     def compare(batches):
         for b in batches:
             x, y = (c.to_pylist() for c in b.columns[2:])
@@ -327,14 +468,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 ok.append(same >= similarity * (len(both) - same))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    need = _io.cut(pairs.select(F.col("a").alias("need")).distinct().union(pairs.select("b").distinct()).distinct())
-    asked = texts.join(_io.sized(need, need.count() * 16), texts["doc_id"] == need["need"], "left_semi")
-    own = _io.cut(asked.mapInArrow(sets, "doc long, own binary"))
+    own = _own_sets(pairs.select("a").union(pairs.select("b")), texts, shingle)
     x, y = (own.select(F.col("doc").alias(f"{c}_"), F.col("own").alias(f"own_{c}")) for c in "ab")
     both = pairs.join(x, F.col("a") == F.col("a_")).join(y, F.col("b") == F.col("b_")).select("a", "b", "own_a", "own_b")
     out = _io.cut(both.mapInArrow(compare, "a long, b long"))
-    for t in (need, own):
-        _io.drop(t)
+    _io.drop(own)
     return out
 
 
@@ -345,10 +483,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     `similarity`. Candidates come from the binary-trie self-join of 128-bit SimHash fingerprints: of
     texts of similarity 0.8 about 19 bits differ, mostly uncertain ones, so each of seven blocks leads
     to its bucket as it is and with its three least certain bits the other way. The exact similarity of
-    a candidate then decides. Two rounds: in the blocks as they are each document meets its nearest smaller id, then
-    in all buckets the NEAREST nearest of other classes. So a class of any size costs some pairs a document, not all
-    pairs; a link is lost only if no bucket holds both texts (one pair in a hundred at 0.8, fewer above) or
-    all of the nearest ones fail where a farther one would not. Words are split at white
+    a candidate then decides. In the blocks as they are each document first meets its nearest smaller id, then the
+    NEAREST nearest of other classes; these two rounds bring dense groups together with a few pairs a document. What
+    is left is settled whole: for every candidate pair of different classes, in any bucket, the document of the smaller
+    class is held against all members of the other class, in blocks. So no candidate is left out and no pairs of one class
+    are made; a link is lost only if no bucket holds both texts (one pair in a hundred at 0.8, fewer above). Words are split at white
     space, A-Z in lower case; of fewer words than a shingle the whole sequence counts. Texts without
     words are one class. Equal sets fold first; repeated rows come back as often as given. Similarities
     below 0.6 would need a wider budget and raise. An empty table gives an empty result.
@@ -358,18 +497,24 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     _io.small_batches(docs.sparkSession)
     marks = _io.cut(_wide(docs, id_col, text_col, shingle))
     reps = _io.cut(
-        marks.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("f0", "f1", "keys")))
+        marks.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("f0", "f1", "w0", "w1", "keys")))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = reps.where("n > 0").select(F.col("rep").alias("doc_id"), "n", "f0", "f1", "keys")
-    own = F.filter("keys", lambda k, i: i % (1 << FLIPS) == 0)
+    rows = reps.where("n > 0").select(F.col("rep").alias("doc_id"), "n", "f0", "f1", "w0", "w1", "keys")
+    own = F.filter("keys", lambda k, i: i % (1 << FLIPS) == 0)  # the blocks as they are
     near = _io.cut(_proposals(rows.select(F.explode(own).alias("key"), "doc_id", "n", "f0", "f1", F.col("doc_id").alias("class")), similarity, 1).distinct())
     links = _similar(near, texts, shingle, similarity)
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = rows.join(stars, F.col("doc_id") == F.col("u"), "left").select(F.explode("keys").alias("key"), "doc_id", "n", "f0", "f1", F.coalesce("root", "doc_id").alias("class"))
-    more = _io.cut(_proposals(known, similarity, NEAREST).distinct().join(near, ["a", "b"], "left_anti"))
+    ranked = rows.join(stars, F.col("doc_id") == F.col("u"), "left").select(F.explode(own).alias("key"), "doc_id", "n", "f0", "f1", F.coalesce("root", "doc_id").alias("class"))
+    more = _io.cut(_proposals(ranked, similarity, NEAREST).distinct().join(near, ["a", "b"], "left_anti"))
     links = links.unionByName(_similar(more, texts, shingle, similarity))
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = _io.cut(rows.join(stars, F.col("doc_id") == F.col("u"), "left").withColumn("class", F.coalesce("root", "doc_id")).drop("u", "root"))
+    sizes = stars.groupBy(F.col("root").alias("of")).agg((F.count("*") + 1).cast("int").alias("size"))
+    sized = known.join(sizes, F.col("class") == F.col("of"), "left").select(F.explode("keys").alias("key"), "doc_id", "n", "f0", "f1", "w0", "w1", "class", F.coalesce("size", F.lit(1)).alias("size"))
+    asked = _io.cut(_asked(sized, similarity).distinct())
+    links = links.unionByName(_answered(asked, known.select("doc_id", "n", "class"), texts, shingle, similarity))
+    stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.join(stars, F.col("rep") == F.col("u"), "left").select(F.col("mark").alias("mark_"), F.col("n").alias("n_"), F.coalesce("root", "rep").alias("class_id"))
     joined = marks.join(classes, (F.col("mark") == F.col("mark_")) & (F.col("n") == F.col("n_")), "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

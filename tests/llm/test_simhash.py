@@ -121,3 +121,18 @@ def test_near_copies_against_brute_force(spark):
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {x.doc_id for x in kept.collect()} == {i for i, v in want.items() if i == v}
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_meet_in_exactly_one_bucket():
+    rng = np.random.default_rng(4)
+    base = rng.integers(-30, 31, (1, 128))
+    m = (base + rng.integers(-12, 13, (60, 128))).astype(np.int32)
+    keys, bits, weak = simhash.probes(m), np.packbits(m > 0, axis=1, bitorder="little").view("<u8"), simhash.weak_bits(m).view(np.uint64)
+    shared = 0
+    for i in range(len(m)):
+        for j in range(i):
+            both = np.intersect1d(keys[i], keys[j])
+            two = [tuple(np.repeat(w, len(both)) for w in x) for x in (bits[i] ^ bits[j], weak[i] | weak[j], weak[i] & weak[j])]
+            assert simhash.first_meeting(both, *two).sum() == (len(both) > 0)
+            shared += len(both) > 1
+    assert shared > 100
