@@ -14,6 +14,8 @@ from glyphmill.operators.metrics import pair_metrics
 
 #: Token budget of the stand-in systems.
 BUDGET = 40
+#: The longest text of a record; a longer line is cut into stretches, so that every character counts.
+STRETCH = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +32,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, id, doc_id, lang, source, text of every line of 1 to 512 characters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """pos, id, doc_id, lang, source, text of every line, collapsed; longer ones in stretches of at most STRETCH characters."""
+    cut = F.transform(
+        F.transform(F.split("text", "\n"), tx.collapse),
+        lambda c: F.transform(
+            F.filter(F.sequence(F.lit(0), F.floor(F.length(c) / STRETCH).cast("int")), lambda k: k * STRETCH < F.length(c)),
+            lambda k: F.trim(F.substring(c, k * STRETCH + 1, F.lit(STRETCH))),
+        ),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.flatten(cut)).alias("line", "text"))
     out = docs.select(
         (F.col("doc_id") * 100_000 + F.col("line")).alias("pos"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("line").cast("string")).alias("id"),
         "doc_id",
         "lang",
         "source",
-        tx.collapse("raw").alias("text"),
+        "text",
     )
-    return spread(out.where(F.length("text").between(1, 512)), "pos")
+    return spread(out, "pos")
 
 
 def _swap(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -132,10 +141,11 @@ def adapted_sql(x: str) -> str:
 
 LINES_SQL = f"""lines AS (
   SELECT doc_id * 100000 + line AS pos, 'doc-' || doc_id || '-' || line AS id, doc_id, lang, source, text FROM (
-    SELECT doc_id, lang, source, line, {collapse_sql('raw')} AS text FROM (
-      SELECT doc_id, lang, source, unnest(range(0, len(parts))) AS line, unnest(parts) AS raw
-      FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents)))
-  WHERE length(text) BETWEEN 1 AND 512)"""
+    SELECT doc_id, lang, source, unnest(range(0, len(parts))) AS line, unnest(parts) AS text
+    FROM (SELECT doc_id, lang, source, flatten(list_transform(
+            list_transform(string_split(text, chr(10)), lambda raw: {collapse_sql('raw')}),
+            lambda c: list_transform(range(0, (length(c) + {STRETCH - 1}) // {STRETCH}), lambda k: trim(substring(c, k * {STRETCH} + 1, {STRETCH}))))) AS parts
+          FROM documents)))"""
 
 SYSTEMS_SQL = f"""{LINES_SQL}, said AS (
   SELECT pos, id, doc_id, lang, source, text AS reference, 'frozen' AS system,
