@@ -476,6 +476,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return out
 
 
+def _star_links(stars: DataFrame) -> DataFrame:
+    """The links (a, b) of classes already found: one to its root from each member, in place of all links that led there."""
+    return stars.select(F.col("u").alias("a"), F.col("root").alias("b"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id reached over links; rows without an id have none).
 
@@ -507,13 +512,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ranked = rows.join(stars, F.col("doc_id") == F.col("u"), "left").select(F.explode(own).alias("key"), "doc_id", "n", "f0", "f1", F.coalesce("root", "doc_id").alias("class"))
     more = _io.cut(_proposals(ranked, similarity, NEAREST).distinct().join(near, ["a", "b"], "left_anti"))
-    links = links.unionByName(_similar(more, texts, shingle, similarity))
+    links = _star_links(stars).unionByName(_similar(more, texts, shingle, similarity))
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = _io.cut(rows.join(stars, F.col("doc_id") == F.col("u"), "left").withColumn("class", F.coalesce("root", "doc_id")).drop("u", "root"))
     sizes = stars.groupBy(F.col("root").alias("of")).agg((F.count("*") + 1).cast("int").alias("size"))
     sized = known.join(sizes, F.col("class") == F.col("of"), "left").select(F.explode("keys").alias("key"), "doc_id", "n", "f0", "f1", "w0", "w1", "class", F.coalesce("size", F.lit(1)).alias("size"))
     asked = _io.cut(_asked(sized, similarity).distinct())
-    links = links.unionByName(_answered(asked, known.select("doc_id", "n", "class"), texts, shingle, similarity))
+    links = _star_links(stars).unionByName(_answered(asked, known.select("doc_id", "n", "class"), texts, shingle, similarity))
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.join(stars, F.col("rep") == F.col("u"), "left").select(F.col("mark").alias("mark_"), F.col("n").alias("n_"), F.coalesce("root", "rep").alias("class_id"))
     joined = marks.join(classes, (F.col("mark") == F.col("mark_")) & (F.col("n") == F.col("n_")), "left")
