@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, bpe, chat, decontam, passages, pii, repeats, shards, simhash, toxicity
+from glyphmill.llm import ann, audit, bpe, chat, decontam, licenses, passages, pii, repair, repeats, shards, simhash, toxicity
 from glyphmill.llm._io import table
 
 
@@ -65,6 +65,18 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_toxicity": op2_toxicity,
@@ -76,5 +88,13 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_chat": op9_chat,
     "op10_chaining": op10_chaining,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
+    "op13_chat_repair": op13_chat_repair,
+}
+ORACLES: dict[str, str] = {
+    "op9_chat": chat.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
+    "op12_license_scan": licenses.ORACLE,
+    "op13_chat_repair": repair.ORACLE,
 }
-ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
