@@ -1,14 +1,14 @@
-"""Text measures and markup functions as Spark columns; all stay in the JVM but for Unicode composition."""
+"""Text measures and markup functions as Spark columns; all stay in the JVM."""
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions import udf
-
 #: Python's 29 white-space characters as a Java pattern.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Code points below U+0300 are composed already.
@@ -45,10 +45,39 @@ def collapse(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(text), SPACE, " "))
 
 
-def normalise(text: Column | str) -> Column:
-    """Composed (NFC) and collapsed; only texts with code points from U+0300 on go to Python."""
+def _icu(name: str, method: str, text: Column, flag: bool) -> Column:
+    """A static method (string, boolean) of the Unicode library that Spark itself uses for collations."""
+    return F.java_method(F.lit(name), F.lit(method), F.coalesce(text, F.lit("")), F.lit(flag))
+
+
+def compose(text: Column | str) -> Column:
+    """Unicode NFC; texts without code points from U+0300 on are composed as they are."""
+    text = _c(text)
+    return F.when(text.rlike(_COMPOSED) | text.isNull(), text).otherwise(_icu("com.ibm.icu.text.Normalizer", "compose", text, False))
+
+
+def casefold(text: Column | str) -> Column:
+    """Full Unicode case folding."""
     text = _c(text)
-    return collapse(F.coalesce(udf.nfc(F.when(~text.rlike(_COMPOSED), text)), text))
+    return F.when(text.isNotNull(), _icu("com.ibm.icu.lang.UCharacter", "foldCase", text, True))
+
+
+@functools.cache
+def punctuation() -> str:
+    """A pattern of all code points of category P, as ranges; the JVM's own class knows an older Unicode."""
+    points = [i for i in range(0x110000) if unicodedata.category(chr(i))[0] == "P"]
+    ranges = [[points[0], points[0]]]
+    for i in points[1:]:
+        if i == ranges[-1][1] + 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def normalise(text: Column | str) -> Column:
+    """Composed (NFC) and collapsed."""
+    return collapse(compose(text))
 
 
 def words(text: Column | str, lower: bool = True) -> Column:
@@ -94,12 +123,10 @@ def word_error_rate(reference: Column | str, hypothesis: Column | str) -> Column
 
 
 def fold(text: Column | str) -> Column:
-    """Case-folded and without punctuation (Unicode category P), collapsed; exact for any text.
-
-    Only texts with code points that fold_plain() does not fold alike go to Python.
-    """
+    """Composed, case-folded and without punctuation (Unicode category P), collapsed; exact for any text."""
     text = _c(text)
-    return F.coalesce(udf.fold(F.when(~text.rlike(_PLAIN), text)), fold_plain(text))
+    whole = collapse(F.regexp_replace(casefold(normalise(text)), punctuation(), ""))
+    return F.when(text.rlike(_PLAIN), fold_plain(text)).otherwise(whole)
 
 
 def fold_plain(text: Column | str) -> Column:

@@ -1,43 +1,36 @@
-"""What the JVM cannot express: Unicode composition and folding (Arrow), word differences (table function)."""
+"""What the JVM cannot express: word differences by matching blocks, in Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
-import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
 
+OPS = "op string, r0 int, r1 int, h0 int, h1 int"
+_OPS = pa.list_(pa.struct([("op", pa.string()), ("r0", pa.int32()), ("r1", pa.int32()), ("h0", pa.int32()), ("h1", pa.int32())]))
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; null stays null."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
+def opcodes(reference: list, hypothesis: list) -> list[dict]:
+    """Stretches of two sequences by longest matching blocks: equal, replace, delete, insert, with their ends."""
+    codes = difflib.SequenceMatcher(a=reference, b=hypothesis, autojunk=False).get_opcodes()
+    return [dict(zip(("op", "r0", "r1", "h0", "h1"), c)) for c in codes]
 
-def fold_text(text: str) -> str:
-    """NFC, collapsed, case-folded, without category P, collapsed again."""
-    folded = " ".join(unicodedata.normalize("NFC", text).split()).casefold()
-    return " ".join("".join(c for c in folded if unicodedata.category(c)[0] != "P").split())
 
+def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, lists of words, become one list of opcodes.
 
-@F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
-    return text.map(fold_text, na_action="ignore")
-
-
-def differences(reference: str, hypothesis: str, limit: int = 10) -> list[tuple[str, str, str]]:
-    """(op, reference words, hypothesis words) of the first unequal stretches, case kept."""
-    r, h = reference.split(), hypothesis.split()
-    codes = difflib.SequenceMatcher(a=r, b=h, autojunk=False).get_opcodes()
-    return [(op, " ".join(r[a:b]), " ".join(h[c:d])) for op, a, b, c, d in codes if op != "equal"][:limit]
-
-
-@F.udtf(returnType="place int, op string, reference string, model string")
-class WordDiff:
-    """Lateral table of the word differences of one pair of texts."""
-
-    def eval(self, reference: str, hypothesis: str, limit: int):
-        for i, row in enumerate(differences(reference or "", hypothesis or "", limit)):
-            yield i, *row
+    Words of a batch are coded as numbers once, so that blocks are matched over numbers.
+    """
+    for b in batches:
+        *kept, r, h = b.columns
+        n = len(r.flatten())
+        codes = pa.concat_arrays([r.flatten(), h.flatten()]).dictionary_encode().indices.to_numpy().tolist()
+        lists = []
+        for words, own in ((r, codes[:n]), (h, codes[n:])):
+            ends = [0]
+            for size in words.value_lengths().fill_null(0).to_pylist():
+                ends.append(ends[-1] + size)
+            lists.append([own[i:j] for i, j in zip(ends, ends[1:])])
+        found = pa.array([opcodes(x, y) for x, y in zip(*lists)], _OPS)
+        yield pa.RecordBatch.from_arrays([*kept, found], [*b.schema.names[:-2], "ops"])

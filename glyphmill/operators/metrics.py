@@ -6,6 +6,8 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,27 +169,47 @@ def bootstrap_interval(scored: DataFrame, drawn: DataFrame, paired: DataFrame |
     return _interval(drawn.join(rows, "at").groupBy("draw").agg(rate.alias("stat")), whole, measure, level, paired is not None)
 
 
-#: Cumulative probabilities of a Poisson variable of mean 1, up to the precision of a double.
-_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)]
+#: The hash of a line and a resample counts up to this prime.
+_PRIME = (1 << 31) - 1
+#: Where the hash reaches the cumulative probabilities of a Poisson variable of mean 1, as whole numbers.
+POISSON = [round(_PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Weights that a task works out at once.
+_WEIGHTS = 1 << 22
+
+
+def poisson_weights(at: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights of lines (rows) in resamples (columns): a hash of line, resample and seed; all products fit 63 bits."""
+    x = ((at % _PRIME * 48271)[:, None] + (draws * 69621 + seed * 16807 % _PRIME)[None, :]) % _PRIME
+    x = x * 1583458089 % _PRIME
+    x = (x ^ (x >> 15)) * 784588716 % _PRIME
+    return np.searchsorted(np.array(POISSON), x, "right")
 
 
 def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, paired: DataFrame | None = None, measure: str = "cer", level: float = 0.95, pos: str = "pos") -> DataFrame:
     """bootstrap_interval() with a Poisson(1) weight for each line and resample instead of exactly n draws.
 
-    Weights are hashes of (seed, resample, pos), computed where the line lies; a task sends one
-    row a resample, so the work grows with the lines and the shuffle does not.
+    Weights are worked out where the lines lie, in blocks; a task sends one row a resample, so the work grows with
+    the lines, and neither rows nor the shuffle with lines times resamples.
     """
     rows = _paired(scored, paired, measure, pos)
-    rate = F.sum("e") / F.sum("t") - F.sum("e2") / F.sum("t2")
-    whole = rows.agg(rate.alias("estimate"), F.count("*").alias("n_lines"))
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "at"), F.lit(1 << 52)) / float(1 << 52)
-    each = each.withColumn("u", u)
-    weight = sum((F.col("u") >= F.lit(c)).cast("int") for c in _POISSON)
-    drawn = each.withColumn("w", weight).where("w > 0")
-    sums = {c: F.sum(F.col("w") * F.col(c)) for c in ("e", "t", "e2", "t2")}
-    stats = drawn.groupBy("draw").agg((sums["e"] / sums["t"] - sums["e2"] / sums["t2"]).alias("stat"))
-    return _interval(stats, whole, measure, level, paired is not None)
+    draws = np.arange(resamples, dtype=np.int64)
+    step = max(1, _WEIGHTS // resamples)
+
+    def sums(batches):
+        total = np.zeros((4, resamples))
+        for b in batches:
+            at, *counts = (c.to_numpy().astype(np.int64) for c in b.columns)
+            whole = np.stack(counts).astype(np.float64)
+            for i in range(0, len(at), step):
+                w = poisson_weights(at[i : i + step], draws, seed)
+                total += whole[:, i : i + step] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(draws), *(pa.array(np.rint(x).astype(np.int64)) for x in total)], ["draw", "e", "t", "e2", "t2"])
+
+    kinds = rows.select("at", *(F.col(c).cast("long").alias(c) for c in ("e", "t", "e2", "t2")))
+    one = kinds.agg(*(F.sum(c).alias(c) for c in ("e", "t", "e2", "t2")), F.count("*").alias("n_lines"))
+    rate = F.col("e") / F.col("t") - F.col("e2") / F.col("t2")
+    stats = kinds.mapInArrow(sums, "draw long, e long, t long, e2 long, t2 long").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("e", "t", "e2", "t2")))
+    return _interval(stats.select(rate.alias("stat")), one.select(rate.alias("estimate"), "n_lines"), measure, level, paired is not None)
 
 
 def verdict(n: Column | str) -> Column:

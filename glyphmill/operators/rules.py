@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions import text as tx
 
@@ -68,10 +69,9 @@ def with_violations(records: DataFrame, compose: bool = True) -> DataFrame:
     return marked.withColumn("violation", first_violation(rules)).drop("_again")
 
 
-def record_manifest(records: DataFrame) -> DataFrame:
-    """One row: counts, extremes and totals of checked records."""
-    x = records.withColumn("_t", tx.normalise("text"))
-    return x.agg(
+def _manifest() -> list[Column]:
+    """Counts, extremes and totals of records whose normalised text is `_t`."""
+    return [
         F.count("*").alias("n_records"),
         F.min(F.length("_t")).alias("chars_min"),
         F.max(F.length("_t")).alias("chars_max"),
@@ -81,18 +81,52 @@ def record_manifest(records: DataFrame) -> DataFrame:
         F.max("width").alias("width_max"),
         F.min("height").alias("height_min"),
         F.max("height").alias("height_max"),
-    )
+    ]
 
 
-def validate_dataset(records: DataFrame, min_records: int = MIN_RECORDS, max_records: int = MAX_RECORDS) -> DataFrame:
-    """record_manifest() of records, or Refused with the first violation in order; runs its own action first."""
-    checked = with_violations(records)
-    n, first = checked.agg(F.count("*"), F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("pos")))).first()
+def record_manifest(records: DataFrame) -> DataFrame:
+    """One row: counts, extremes and totals of checked records."""
+    return records.withColumn("_t", tx.normalise("text")).agg(*_manifest())
+
+
+def _verdict() -> list[Column]:
+    """What a dataset is judged by: its rows, and the first violation in order."""
+    return [F.count("*").alias("n"), F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("pos"))).alias("first")]
+
+
+def _judge(n: int, first: str | None, min_records: int, max_records: int) -> None:
     if not min_records <= n <= max_records:
         raise Refused(f"{n} records; {min_records}..{max_records} are required")
     if first:
         raise Refused(first)
-    return record_manifest(records)
+
+
+def checked_write(
+    records: DataFrame, write: Callable[[DataFrame], None], discard: Callable[[], None], min_records: int = MIN_RECORDS, max_records: int = MAX_RECORDS
+) -> dict[str, int]:
+    """Write records while they are checked: one scan, whose job also tells the counts and the first violation.
+
+    write runs one job over the frame it is given. Of a dataset that breaks a rule nothing stays: discard() is
+    called, then Refused raised. Returns the manifest's numbers otherwise.
+    """
+    seen = Observation()
+    watched = with_violations(records).withColumn("_t", tx.normalise("text")).observe(seen, *_verdict(), *_manifest())
+    try:
+        write(watched.drop("violation", "_t"))
+        told = seen.get
+        _judge(told.pop("n"), told.pop("first"), min_records, max_records)
+    except BaseException:
+        discard()
+        raise
+    return told
+
+
+def validate_dataset(records: DataFrame, min_records: int = MIN_RECORDS, max_records: int = MAX_RECORDS) -> DataFrame:
+    """record_manifest() of records, or Refused with the first violation in order; one scan, which runs at once."""
+    told = with_violations(records).withColumn("_t", tx.normalise("text")).agg(*_verdict(), *_manifest())
+    row = told.first()
+    _judge(row["n"], row["first"], min_records, max_records)
+    return records.sparkSession.createDataFrame([tuple(row)[2:]], T.StructType(told.schema.fields[2:]))
 
 
 def request_rules() -> list[tuple[str, Column, Column | str]]:

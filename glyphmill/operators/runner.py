@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,33 +28,80 @@ def batches(records: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     return placed.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def transcribe(records: DataFrame, make_runner: Callable[[], Runner], stop: str = "", budget: int = 1024, batch_size: int = 8) -> DataFrame:
-    """records with text and new_tokens of a recogniser, text cleaned, truncated at the budget.
+def whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame for each value of batch; rows come sorted by it, and a batch goes on from one frame to the next."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame])
+        edges = [0, *(frame["batch"].to_numpy()[1:] != frame["batch"].to_numpy()[:-1]).nonzero()[0] + 1]
+        for a, b in zip(edges, edges[1:]):
+            yield frame.iloc[a:b].reset_index(drop=True)
+        held = frame.iloc[edges[-1] :]
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
+
+
+def with_progress(spark: SparkSession, action: Callable[[], object], progress: Callable[[int, int], None], every: float = 0.2) -> object:
+    """The result of an action; meanwhile progress(done, total) is told the tasks of its jobs so far."""
+    group, over = f"glyphmill-{uuid.uuid4().hex}", threading.Event()
+    tracker = spark.sparkContext.statusTracker()
+
+    def told() -> tuple[int, int]:
+        jobs = [j for i in tracker.getJobIdsForGroup(group) if (j := tracker.getJobInfo(i))]
+        stages = [s for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+
+    def watch() -> None:
+        last = None
+        while not over.wait(every):
+            if (now := told()) != last:
+                last = now
+                progress(*now)
+
+    watcher = InheritableThread(watch, session=spark)
+    spark.sparkContext.setJobGroup(group, "watched")
+    watcher.start()
+    try:
+        out = action()
+    finally:
+        over.set()
+        watcher.join()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    done, _ = told()
+    progress(done, done)  # stages that were skipped have no tasks to come
+    return out
+
+
+def transcribe(records: DataFrame, make_runner: Callable[[], Runner], stop: str = "", budget: int = 1024, batch_size: int = 8, pos: str = "pos") -> DataFrame:
+    """records with batch, text and new_tokens of a recogniser, text cleaned, truncated at the budget.
+
+    Batches are those of batches(): rows in the order of pos over the whole table, batch_size at a time. A batch
+    is whole in one partition and in one call, wherever the borders of Arrow batches fall.
 
     make_runner builds the recogniser once in each task, on its first batch; it maps a frame of
     records to a frame of text and new_tokens, one row each. Another number of rows or a column
     missing raises. Rows keep their own columns; text of the input is called reference.
     """
     check_parameters({"batch_size": batch_size, "budget": budget}, {"batch_size": (1, MAX_BATCH), "budget": (1, 4096)}, ("batch_size", "budget"))
-    keep = [c for c in records.columns if c != "text"]
+    columns = records.columns
+    records = batches(records, batch_size, pos).repartition("batch").sortWithinPartitions("batch", pos)
+    keep = [c for c in [*columns, "batch"] if c != "text"]
     fields = [records.schema[c] for c in keep]
     has_reference = "text" in records.columns
     fields += [T.StructField("reference", T.StringType())] * has_reference + [T.StructField("text", T.StringType()), T.StructField("new_tokens", T.IntegerType())]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runner = None
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].reset_index(drop=True)
-                runner = runner or make_runner()
-                got = runner(part)
-                if len(got) != len(part) or not {"text", "new_tokens"} <= set(got.columns):
-                    raise Refused(f"the recogniser gave {len(got)} rows {list(got.columns)} for {len(part)} records")
-                out = part[keep].copy()
-                if has_reference:
-                    out["reference"] = part["text"]
-                out["text"], out["new_tokens"] = got["text"].to_numpy(), got["new_tokens"].to_numpy()
-                yield out
+        for part in whole_batches(frames):
+            runner = runner or make_runner()
+            got = runner(part)
+            if len(got) != len(part) or not {"text", "new_tokens"} <= set(got.columns):
+                raise Refused(f"the recogniser gave {len(got)} rows {list(got.columns)} for {len(part)} records")
+            out = part[keep].copy()
+            if has_reference:
+                out["reference"] = part["text"]
+            out["text"], out["new_tokens"] = got["text"].to_numpy(), got["new_tokens"].to_numpy()
+            yield out
 
     said = records.mapInPandas(run, T.StructType(fields))
     clean = tx.clean_output("text", stop) if stop else tx.collapse("text")

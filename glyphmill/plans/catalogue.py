@@ -265,44 +265,37 @@ def system_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("system", _r("cer_delta"), _r("exact_match_delta"), "cer_beats", "exact_match_beats")
 
 
-#: Resamples of the catalogue's bootstrap queries; their draws are arithmetic, so that DuckDB draws the same.
-RESAMPLES = 200
-_DRAWS_SQL = f"""p AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS k, system, char_edits AS e, ref_chars AS t FROM scored WHERE system = 'frozen'),
-q AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS k, char_edits AS e2, ref_chars AS t2 FROM scored WHERE system = 'adapted'),
-n AS (SELECT count(*) AS n FROM p), d AS (SELECT g // n AS draw, ((g * 1103515245 + 12345) % 2147483648) % n AS k FROM n, LATERAL (SELECT unnest(range(0, n * {RESAMPLES})) AS g))"""
+#: Resamples of the bootstrap queries.
+RESAMPLES = 2000
+_WEIGHTS_SQL = f"""p AS (SELECT pos, char_edits AS e, ref_chars AS t FROM scored WHERE system = 'frozen'), q AS (SELECT pos, char_edits AS e2, ref_chars AS t2 FROM scored WHERE system = 'adapted'),
+r AS (SELECT * FROM p JOIN q USING (pos)), h AS (SELECT draw, e, t, e2, t2, (pos * 48271 + draw * 69621) % 2147483647 AS x FROM r, (SELECT unnest(range(0, {RESAMPLES})) AS draw)),
+h2 AS (SELECT * REPLACE ((x * 1583458089) % 2147483647 AS x) FROM h), h3 AS (SELECT * REPLACE ((xor(x, x >> 15) * 784588716) % 2147483647 AS x) FROM h2),
+w AS (SELECT * EXCLUDE (x), {" + ".join(f"(x >= {c})::bigint" for c in metrics.POISSON)} AS w FROM h3), d AS (SELECT draw, sum(w * e) AS e, sum(w * t) AS t, sum(w * e2) AS e2, sum(w * t2) AS t2 FROM w GROUP BY draw)"""
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both systems' counts by line number (0, 1, ...), and the draws."""
-    s = v.systems(spark, sf_dir)
-    side = lambda name: F.max(F.when(F.col("system") == name, tx.char_distance("reference", "hypothesis").cast("long"))).alias(name)
-    wide = s.groupBy("pos").agg(side("frozen"), side("adapted"), F.max(F.length("reference").cast("long")).alias("ref_chars"))
-    wide = places.numbered(wide, F.floor(F.col("pos") / 25_600_000), "pos", name="at").cache()
-    n = wide.count()
-    drawn = spark.range(n * RESAMPLES).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.pmod(F.col("id") * 1103515245 + 12345, F.lit(1 << 31)), F.lit(n)).alias("at"))
-    pick = lambda name: wide.select(F.col("at").alias("pos"), F.col(name).alias("char_edits"), "ref_chars")
-    return pick("frozen"), pick("adapted"), drawn
+def _counts(spark: SparkSession, sf_dir: str, system: str) -> DataFrame:
+    """pos, char_edits, ref_chars of one system's lines."""
+    s = v.systems(spark, sf_dir).where(F.col("system") == system)
+    return s.select("pos", tx.char_distance("reference", "hypothesis").cast("long").alias("char_edits"), F.length("reference").cast("long").alias("ref_chars"))
 
 
 def _interval_sql(stat: str, paired: str, whole: str) -> str:
     return f"""SELECT 'cer' AS measure, (SELECT {whole}) AS estimate, round(s[{int(0.025 * RESAMPLES) + 1}], 9) AS low, round(s[{min(RESAMPLES - 1, int(0.975 * RESAMPLES)) + 1}], 9) AS high,
- (SELECT n FROM n) AS n_lines, {RESAMPLES}::bigint AS n_resamples, {paired} AS paired FROM (SELECT list_sort(list(x)) AS s FROM (SELECT {stat} AS x FROM d JOIN p USING (k) JOIN q USING (k) GROUP BY draw))"""
+ (SELECT count(*) FROM p) AS n_lines, {RESAMPLES}::bigint AS n_resamples, {paired} AS paired FROM (SELECT list_sort(list({stat})) AS s FROM d)"""
 
 
 def _interval(x: DataFrame) -> DataFrame:
     return x.select("measure", _r("estimate"), _r("low"), _r("high"), "n_lines", "n_resamples", "paired")
 
 
-@query(f"WITH {v.SCORED_SQL}, {_DRAWS_SQL} {_interval_sql('sum(e) / sum(t)', 'false', 'round(sum(e) / sum(t), 9) FROM p')}")
+@query(f"WITH {v.SCORED_SQL}, {_WEIGHTS_SQL} {_interval_sql('e / t', 'false', 'round(sum(e) / sum(t), 9) FROM p')}")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, drawn = _numbered(spark, sf_dir)
-    return _interval(metrics.bootstrap_interval(a, drawn))
+    return _interval(metrics.poisson_interval(_counts(spark, sf_dir, "frozen"), RESAMPLES))
 
 
-@query(f"WITH {v.SCORED_SQL}, {_DRAWS_SQL} {_interval_sql('sum(e) / sum(t) - sum(e2) / sum(t2)', 'true', 'round(sum(e) / sum(t) - sum(e2) / sum(t2), 9) FROM p JOIN q USING (k)')}")
+@query(f"WITH {v.SCORED_SQL}, {_WEIGHTS_SQL} {_interval_sql('e / t - e2 / t2', 'true', 'round((SELECT sum(e) / sum(t) FROM p) - (SELECT sum(e2) / sum(t2) FROM q), 9)')}")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, drawn = _numbered(spark, sf_dir)
-    return _interval(metrics.bootstrap_interval(a, drawn, b))
+    return _interval(metrics.poisson_interval(_counts(spark, sf_dir, "frozen"), RESAMPLES, paired=_counts(spark, sf_dir, "adapted")))
 
 
 _STRIP_SQL = v.collapse_sql(r"regexp_replace(regexp_replace(regexp_replace(html, '<loc_([0-9]+)>', ' ', 'g'), '<(?:fcel|ecel|ched|rhed|srow|lcel|ucel|xcel|nl)>', ' ', 'g'), '</?([a-z_]+(?:_[0-9]+)?)>', ' ', 'g')")
@@ -374,37 +367,6 @@ def manifest_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.completeness(p.where("page_id % 7 != 0"), p.where("page_id % 11 != 0"))
 
 
-@query(r"""WITH h(config, grid_pos, epoch, cer) AS (VALUES ('G1', 0, 0, 1.1), ('G1', 0, 1, 0.7), ('G1', 0, 2, 0.634), ('G2', 1, 0, 1.1), ('G2', 1, 1, 0.643), ('G2', 1, 2, 0.643), ('G3', 2, 0, 1.1), ('G3', 2, 1, 1.095), ('G3', 2, 2, 1.2))
-SELECT config, CASE WHEN 1.1 - c <= 0.01 THEN 0 ELSE e END::bigint AS best_epoch, CASE WHEN 1.1 - c <= 0.01 THEN 1.1 ELSE c END::double AS best_cer FROM (
-  SELECT config, min(cer)::double AS c, arg_min(epoch, cer * 1000 + epoch * 0.001) AS e FROM h GROUP BY config)""")
-def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_epoch(_history(spark), 0.01).select("config", "best_epoch", "best_cer")
-
-
-def _history(spark: SparkSession) -> DataFrame:
-    rows = [("G1", 0, 1.1), ("G1", 1, 0.7), ("G1", 2, 0.634), ("G2", 0, 1.1), ("G2", 1, 0.643), ("G2", 2, 0.643), ("G3", 0, 1.1), ("G3", 1, 1.095), ("G3", 2, 1.2)]
-    return spark.createDataFrame(rows, "config string, epoch int, cer double")
-
-
-@query("SELECT 'G1' AS chosen, 0.634::double AS chosen_cer, 0.634::double AS default_cer")
-def recipe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = select.best_epoch(_history(spark), 0.01).withColumn("grid_pos", F.substring("config", 2, 1).cast("int"))
-    return select.select_recipe(kept, "G1", 0.01)
-
-
-@query("SELECT * FROM (VALUES ('epochs', '6', '10'), ('seed', '0', '<missing>')) t(key, expected, got)")
-def settings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg = spark.createDataFrame([("epochs", "6", False), ("learning_rate", "0.0001", True), ("seed", "0", False), ("data", "sample", False)], "key string, value string, is_float boolean")
-    got = spark.createDataFrame([("epochs", "10"), ("learning_rate", "1e-4"), ("data", "sample"), ("other", "x")], "key string, value string")
-    return select.settings_differences(reg, got)
-
-
-@query("""SELECT n, n - greatest(1, round_even(n * 0.2, 0))::bigint - round_even(n * 0.15, 0)::bigint AS n_train, round_even(n * 0.15, 0)::bigint AS n_validation,
- greatest(1, round_even(n * 0.2, 0))::bigint AS n_test FROM (SELECT unnest(range(1, 201)) AS n)""")
-def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.split_counts_table(spark.range(1, 201).withColumnRenamed("id", "n"), "n", 0.15, 0.2)
-
-
 @query()
 def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first differences of each adapted line (Ratcliff-Obershelp matching has no SQL form)."""
@@ -419,7 +381,7 @@ def _echo():
 @query(f"""WITH {v.LINES_SQL} SELECT id, text AS reference, {v.collapse_sql("regexp_replace(text, '[aeiou]', '', 'g')").replace("trim(regexp_replace(", "trim((").replace(f", '{v.SPACE_SQL}', ' ', 'g'))", "))")} AS text,
  len({v.words_sql('text')})::bigint AS new_tokens, len({v.words_sql('text')}) >= {v.BUDGET} AS truncated FROM lines""")
 def runner_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runner.transcribe(v.lines(spark, sf_dir).select("id", "text"), _echo, stop="<|im_end|>", budget=v.BUDGET, batch_size=64)
+    return runner.transcribe(v.lines(spark, sf_dir).select("pos", "id", "text"), _echo, stop="<|im_end|>", budget=v.BUDGET, batch_size=64).drop("pos", "batch")
 
 
 @query(f"""WITH {v.SYSTEMS_SQL}, m AS (SELECT *, CASE WHEN system = 'frozen' THEN reference || '<loc_' || length(reference) || '>' END AS markup,

@@ -140,17 +140,6 @@ def dataset_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said[0].unionByName(said[1])
 
 
-_FRACTIONS = ((0.15, 0.2), (0.1, 0.1), (0.3, 0.3), (0.05, 0.5))
-
-
-@query(f"""WITH f(val, test) AS (VALUES {', '.join(map(str, _FRACTIONS))}), n AS (SELECT unnest(range(1, 5001)) AS n), s AS (
-  SELECT val, test, n, greatest(1, round_even(n * test::double, 0))::bigint AS t, round_even(n * val::double, 0)::bigint AS v FROM f CROSS JOIN n)
-SELECT val::double AS val_fraction, test::double AS test_fraction, min(n) AS least, 5000::bigint AS most FROM s WHERE n - t - v >= 8 AND v >= 2 AND t >= 2 GROUP BY ALL""")
-def dataset_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b, *curate.record_limits(spark, a, b)) for a, b in _FRACTIONS]
-    return spark.createDataFrame(rows, "val_fraction double, test_fraction double, least long, most long")
-
-
 @query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'artifact format is not adapter-1' WHEN page_id % 11 = 0 THEN 'artifact was trained on another base'
   WHEN page_id % 13 = 0 THEN 'artifact base weight digest does not match' WHEN page_id % 5 = 0 THEN 'artifact manifest must list exactly w.bin' WHEN page_id % 17 = 0 THEN 'artifact weights missing'
   WHEN length(html) % 3 = 0 THEN 'size differs from the manifest' WHEN length(html) % 3 = 1 AND page_id % 2 = 0 THEN 'sha256 differs from the manifest'
@@ -214,7 +203,7 @@ def manifest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.manifest_problems(*_files(spark, sf_dir))
 
 
-@query("SELECT url || '#' || page_id AS path, strlen(html)::bigint AS n_bytes, length(html) AS bytes, sha256(html) AS sha256 FROM pages WHERE page_id % 11 = 0".replace("strlen(html)::bigint AS n_bytes, ", ""))
+@query("SELECT url || '#' || page_id AS path, length(html) AS bytes, sha256(html) AS sha256 FROM pages WHERE page_id % 11 = 0")
 def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.missing_files(*_files(spark, sf_dir))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.operators.curate import group_digest
+from glyphmill.operators.curate import group_digest, sample_split
 from glyphmill.operators.rules import Refused
+from glyphmill.sources import archives, rowgroups
 
 # What own data may consist of.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
@@ -34,6 +35,12 @@ def read_groups(spark: SparkSession, path: str, pins: Mapping[int, tuple[str, in
     return rows
 
 
+def sample_dataset(spark: SparkSession, path: str, pins: Mapping[tuple[str, int], tuple[str, int]], sizes: Mapping[str, int], seed: int = 42) -> DataFrame:
+    """A seeded split of the records of a corpus's own Parquet row groups, each group hashed against its pin as it is read."""
+    rows = rowgroups.read(spark, path, ["image", "text"], pins=pins)
+    return sample_split(read_corpus(rows), sizes, seed)
+
+
 def read_corpus(groups: DataFrame, prefix: str = "line", per_group: int = 100) -> DataFrame:
     """Records of row groups: ids count skipped rows too; rows without a text go."""
     text = tx.normalise("text")
@@ -49,37 +56,20 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return raw.select(F.regexp_replace("path", "^.*/", "").alias("file"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(file, path, bytes, sha256, content, kind) of an archive's members, flattened; kind is file or symlink.
+def zip_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, bytes, kind) of an archive's members by its directory, flattened; none is inflated.
 
-    One archive is read in one task, up to MAX_BYTES of expanded members.
+    Refused if they would expand to over MAX_BYTES.
     """
-    def members(batches):
-        import io
-        import zipfile
-
-        import pyarrow as pa
-
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                out = {"file": [], "path": [], "bytes": [], "content": [], "kind": []}
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    total = 0
-                    for i in z.infolist():
-                        if i.is_dir() or i.filename.startswith("__MACOSX/"):
-                            continue
-                        total += i.file_size
-                        if total > MAX_BYTES:
-                            raise Refused("the archive exceeds 1 GB expanded")
-                        name = i.filename.replace("\\", "/")
-                        link = (i.external_attr >> 16) & 0o170000 == 0o120000
-                        for k, v in zip(out, (name.rpartition("/")[2], name, i.file_size, z.read(i), "symlink" if link else "file")):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("file", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("content", pa.binary()), ("kind", pa.string())]))
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    got = raw.mapInArrow(members, "file string, path string, bytes long, content binary, kind string")
-    return got.withColumn("sha256", F.sha2("content", 256))
+    listed = archives.directory(spark, path)
+    if (listed.agg(F.sum("bytes")).first()[0] or 0) > MAX_BYTES:
+        raise Refused("the archive exceeds 1 GB expanded")
+    return listed.select("file", "path", "bytes", "kind")
+
+
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, bytes, sha256, content, kind) of an archive's members; tasks share them by compressed size."""
+    return archives.members(spark, path).select("file", "path", "bytes", "sha256", "content", "kind")
 
 
 def file_violations(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -146,8 +136,10 @@ def completeness(transcripts: DataFrame, files: DataFrame) -> DataFrame:
 
 def load_own_data(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Records (pos, id, file, text, image.data, source_sha256) of a folder or zip of images with transcripts.csv."""
-    files = read_zip(spark, path) if path.lower().endswith(".zip") else read_files(spark, path, recursive=not strict)
-    if bad := file_violations(files, strict).orderBy("rule", "file").first():
+    zipped = path.lower().endswith(".zip")
+    files = read_zip(spark, path) if zipped else read_files(spark, path, recursive=not strict)
+    named = zip_listing(spark, path) if zipped else files.drop("content", "sha256")
+    if bad := file_violations(named, strict).orderBy("rule", "file").first():
         raise Refused(bad.message)
     rows = parse_transcripts(files)
     if bad := completeness(rows, files).orderBy("problem", "file").first():

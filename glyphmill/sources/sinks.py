@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.operators.rules import Refused
+from glyphmill.sources import bundle
 
 
 def dataset_table(records: DataFrame) -> DataFrame:
@@ -64,6 +66,23 @@ def stale_inputs(now: DataFrame, recorded: DataFrame) -> DataFrame:
     return now.join(r, F.col("name") == F.col("_n"), "left").where(~F.col("digest").eqNullSafe(F.col("_d"))).select("name")
 
 
+def bundle_rows(tables: Mapping[str, DataFrame], reports: Mapping[str, DataFrame], pages: DataFrame | None = None) -> DataFrame:
+    """(name, pos, content) of an export: tables as CSV files, reports as JSON lines, pages (page_id, ...) as a JSON file each.
+
+    Rows are in the order of their values.
+    """
+    line = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    none = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("key"))
+    parts = [bundle.csv_lines(df, df.columns).select(F.lit(f"{name}.csv").alias("name"), "pos", "content") for name, df in tables.items()]
+    for name, df in reports.items():
+        df = df.drop("rows")
+        parts.append(df.select(F.lit(f"{name}.json").alias("name"), none.withField("key", line(df)).alias("pos"), F.encode(F.concat(line(df), F.lit("\n")), "UTF-8").alias("content")))
+    if pages is not None:
+        name = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit("/page.json"))
+        parts.append(pages.select(name.alias("name"), none.withField("key", line(pages)).alias("pos"), F.encode(F.concat(line(pages), F.lit("\n")), "UTF-8").alias("content")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def export_bundle(
     tables: Mapping[str, DataFrame],
     reports: Mapping[str, DataFrame],
@@ -71,15 +90,14 @@ def export_bundle(
     now: Mapping[str, str | None] | None = None,
     recorded: Mapping[str, str | None] | None = None,
     pages: DataFrame | None = None,
+    fresh: Mapping[str, str] | None = None,
 ) -> None:
-    """CSV tables, JSON reports and, of pages (page_id, ...), a folder for each below one new folder, after the freshness check."""
+    """bundle_rows() as files of one new folder, in one job that commits them as one, after the freshness check.
+
+    fresh names earlier bundles and their digests, which are checked again at the commit.
+    """
     check_fresh(now or {}, recorded or {}, "the summary")
-    if pages is not None:
-        pages.repartition("page_id").write.partitionBy("page_id").json(f"{path}/pages")
-    for name, df in tables.items():
-        write_csv(df, f"{path}/{name}.csv")
-    for name, df in reports.items():
-        write_json(df.drop("rows"), f"{path}/{name}.json")
+    bundle.write(bundle_rows(tables, reports, pages), path, fresh=fresh)
 
 
 def missing_outputs(required: DataFrame, found: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def test_compare(spark):
     rows = [("1", "a b b", "b b c"), ("2", "", ""), ("3", "x", "")]
     got = {x.id: (x.token_precision, x.token_recall, x.token_f1) for x in compare.token_overlap(pairs(spark, rows)).collect()}
     assert got["1"] == pytest.approx((2 / 3, 2 / 3, 2 / 3)) and got["2"] == got["3"] == (0, 0, 0)
-    d = compare.word_diff(pairs(spark, [("1", "Total: 1,411.20 paid", "Total: 1,417.20"), ("2", "same", "same")])).collect()
-    assert [(x.id, x.op, x.reference_words, x.hypothesis_words) for x in d] == [("1", "replace", "1,411.20 paid", "1,417.20")]
+    d = compare.word_diff(pairs(spark, [("1", "room 12 is free", "room 21 is free"), ("2", "same", "same")])).collect()
+    assert [(x.id, x.op, x.reference_words, x.hypothesis_words) for x in d] == [("1", "replace", "12", "21")]
     pages = spark.createDataFrame([("p", "m", "a b", "a c", True)], "page_id string, model string, reference string, hypothesis string, truncated boolean")
     x = compare.page_rows(pages)
     assert x.first().token_f1 == 0.5 and compare.page_means(x).first().truncated == 1

@@ -1,5 +1,6 @@
 import difflib
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.functions import udf
+from glyphmill.operators import compare
+
 
 
 def one(spark, expr, *values, schema=None):
@@ -64,7 +66,7 @@ def test_white_space_is_pythons(spark):
 
 def test_fold(spark):
     text = "Le  Conseil, Municipal. STRASSE – ßé"
-    assert one(spark, tx.fold("c0"), text) == udf.fold_text(text) == "le conseil municipal strasse ssé"
+    assert one(spark, tx.fold("c0"), text) == "le conseil municipal strasse ssé"
     assert one(spark, tx.fold_plain("c0"), text) == "le conseil municipal strasse ssé"
 
 
@@ -104,10 +106,42 @@ def test_small_functions(spark):
         assert one(spark, tx.error_category(F.lit(cer), F.lit(ratio), F.lit(False), F.lit(cut)), "x") == want
 
 
-def test_differences():
-    assert udf.differences("Total: 1,411.20 paid", "Total: 1,417.20") == [("replace", "1,411.20 paid", "1,417.20")]
+def plain_differences(reference, hypothesis):
+    r, h = reference.split(), hypothesis.split()
+    codes = difflib.SequenceMatcher(a=r, b=h, autojunk=False).get_opcodes()
+    return [(op, " ".join(r[a:b]), " ".join(h[c:d])) for op, a, b, c, d in codes if op != "equal"]
+
+
+def test_differences(spark):
     r = random.Random(3)
-    for _ in range(50):
-        a, b = (r.choices("abc", k=r.randint(0, 9)) for _ in range(2))
-        codes = [c for c in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes() if c[0] != "equal"]
-        assert len(udf.differences(" ".join(a), " ".join(b))) == len(codes[:10])
+    rows = [(str(i), *(" ".join(r.choices(["ab", "b", "Ä", "c,"], k=r.randint(0, 30))) for _ in range(2))) for i in range(200)]
+    rows += [("n", None, "a"), ("s", "vol. 3 of the set", "vol. 8 of a set"), ("t", " x\u2003y ", "x y")]
+    df = spark.createDataFrame(rows, "id string, reference string, hypothesis string")
+    got = {}
+    for x in compare.word_diff(df, limit=4).orderBy("id", "place").collect():
+        assert x.place == len(got.setdefault(x.id, []))
+        got[x.id].append((x.op, x.reference_words, x.hypothesis_words))
+    want = {i: plain_differences(a or "", b or "")[:4] for i, a, b in rows}
+    assert got == {i: w for i, w in want.items() if w} and got["s"] == [("replace", "3", "8"), ("replace", "the", "a")]
+
+
+def test_differences_of_a_whole_table(spark):
+    from glyphmill.plans import views
+
+    s = views.systems(spark, "/root/testdata/sf0.001").where("system = 'adapted'").select("id", "reference", "hypothesis")
+    got = {x.id: x.n for x in compare.word_diff(s, limit=1_000_000).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    want = {x.id: len(plain_differences(x.reference, x.hypothesis)) for x in s.collect()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_composition_and_folding_of_all_code_points(spark):
+    """What Python's own tables say of every assigned code point, alone and before a combining mark."""
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    rows = [(c,) for c in known] + [(c + "\u0323\u0301",) for c in known[::7]] + [(None,)]
+    df = spark.createDataFrame(rows, "t string").select("t", tx.compose("t").alias("n"), tx.casefold("t").alias("f"), F.col("t").rlike(tx.punctuation()).alias("p"))
+    for x in df.toLocalIterator():
+        if x.t is None:
+            assert x.n is None and x.f is None
+        else:
+            assert (x.n, x.f) == (unicodedata.normalize("NFC", x.t), x.t.casefold()) and x.p == any(unicodedata.category(c)[0] == "P" for c in x.t)
+    assert "Python" not in df.select(tx.normalise("t"), tx.fold("t"))._jdf.queryExecution().toString()
