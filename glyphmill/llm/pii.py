@@ -8,6 +8,7 @@ import hashlib
 import ipaddress
 import re
 import string
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from glyphmill.llm import _io
 
-#: Rounds of the Feistel network; pseudonyms that a worker keeps.
-ROUNDS, KEPT = 8, 100_000
+#: Rounds of the Feistel network; pseudonyms that a worker keeps; most characters that are permuted at once.
+ROUNDS, KEPT, CHUNK = 8, 100_000, 64
 #: Days whose dates are permuted among themselves; others are no dates of living people.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
@@ -28,17 +29,37 @@ _NUMBER = re.compile(
       (?P<date>\d{4}-\d\d?-\d\d?|\d{4}/\d\d?/\d\d?|\d\d?(?P<sep>[./-])\d\d?(?P=sep)\d{4})
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
     | (?P<ssn>\d{3}-\d\d-\d{4})
+    | (?P<area>0[1-9](?:[ .]\d\d){4} | 0[1-9]\d{0,3}[ /-]\d{3,8}(?:[ ]\d{2,4}){0,3})
     | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4} | \(\d{3}\)[ ]?\d{3}[ .-]\d{4} | \d{3}(?P<mark>[.-])\d{3}(?P=mark)\d{4})
     | (?P<card>\d(?:[ -]?\d){12,18})
     )(?!\w|\.?\d)""",
     re.VERBOSE,
 )
 _GROUP = re.compile(r"\d+")
-_IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)|[a-z]{2}\d\d(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[\w.%+-]+\Z")
-_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
-_SECRET = re.compile(r"""[=:]\s*(?P<quote>["']?)(?P<value>[A-Za-z0-9_/+.=-]{16,})""")
-_SECRET_NAME = re.compile(r"""(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s*\Z""")
+_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+(?:[^\W\d_]{2,}|xn--[a-z0-9-]+)")
+#: Ten or nine digits are a phone or social security number only where a word says so just before.
+_PHONE_NAMED = re.compile(r"(?i:\b(?:tel|telephone|telefon|téléphone|teléfono|phone|mobile|handy|cell|fax|call|fon)\b[.:]?[ ]*(?:no\.?|number)?[ :]*)\Z")
+_SSN_NAMED = re.compile(r"(?i:\b(?:ssn|social security)\b(?: no\.?| number)?[ :#]*)(?P<value>\d{3}[ ]?\d\d[ ]?\d{4})(?!\d)")
+_TEN = re.compile(r"(?<![\w.,+-])[1-9]\d{9}(?![\w-]|[.,]\d)")
+# Names of the months in the languages of the texts.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+#: The month and language that a name counts for, the first one's where several have it.
+_MONTH = {name: (k, lang) for lang in reversed(MONTHS) for k, name in enumerate(MONTHS[lang])}
+_NAMES = "|".join(sorted(_MONTH, key=len, reverse=True))
+_WORDY = re.compile(
+    rf"(?<![\w.])(?:(?P<d1>\d\d?)(?:st|nd|rd|th|er|\.)?(?: de| of)? (?P<m1>{_NAMES})(?: de| del|,)? (?P<y1>\d{{4}})|(?P<m2>{_NAMES}) (?P<d2>\d\d?)(?:st|nd|rd|th)?,? (?P<y2>\d{{4}}))(?!\w|[.,]\d)",
+    re.IGNORECASE,
+)
+_PEM = re.compile(r"-----BEGIN (?P<name>[A-Z ]*PRIVATE KEY)-----(?P<value>[A-Za-z0-9+/=\s]+?)-----END (?P=name)-----")
+_SECRET = re.compile(r"""[=:]\s*(?P<quote>["']?)(?P<value>[A-Za-z0-9_/+.=!@#$%^&*-]{6,})""")
+_SECRET_NAME = re.compile(r"""(?:token|secret|passwd|password|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s*\Z""")
 _BEARER = re.compile(r"(?i:\bbearer)[ ]+(?P<value>[A-Za-z0-9_/+.=-]{16,})")
 # Public beginnings of keys that need no name beside them.
 _KEY = re.compile(r"(?<![A-Za-z0-9_])(?:sk-|sk_live_|sk_test_|rk_live_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|hf_|npm_|pypi-|eyJ)(?P<value>[A-Za-z0-9_/+.=-]{16,})")
@@ -73,11 +94,12 @@ def _alphabet(c: str) -> str:
     """The characters among which one is permuted: digits, letters of its case; beyond ASCII those of its 256 code points."""
     if c.isascii():
         return next((z for z in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in z), c)
-    if not c.isalpha():
+    if unicodedata.category(c) not in ("Lu", "Ll", "Lo"):  # ordinal signs are no letters of a name
         return c
     base = max(0x80, ord(c) & ~0xFF)
     kind = (c.islower(), c.isupper())
-    return "".join(x for x in map(chr, range(base, (ord(c) | 0xFF) + 1)) if x.isalpha() and (x.islower(), x.isupper()) == kind and len(x.lower()) == 1 and (not kind[0] or x.lower() == x))
+    out = "".join(x for x in map(chr, range(base, (ord(c) | 0xFF) + 1)) if unicodedata.category(x) == unicodedata.category(c) and not unicodedata.normalize("NFKD", x).isascii() and (x.islower(), x.isupper()) == kind and len(x.lower()) == 1 and (not kind[0] or x.lower() == x))
+    return out if c in out else c
 
 
 class Pseudonyms:
@@ -112,6 +134,8 @@ class Pseudonyms:
 
     def classes(self, kind: str, s: str, back: bool = False) -> str:
         """Letters stay letters of their case and script, digits digits; other characters stay as they are."""
+        if len(s) > CHUNK:  # what is too long for one round function, piece by piece
+            return "".join(self.classes(f"{kind}:{i}", s[i : i + CHUNK], back) for i in range(0, len(s), CHUNK))
         sets = [_alphabet(c) for c in s]
         x, n = 0, 1
         for c, z in zip(s, sets):
@@ -148,6 +172,18 @@ class Pseudonyms:
         rest = re.sub(r"\D", "", s[len(keep) :])
         if not 7 <= len(rest) + len(keep) - keep.count("+") <= 15:
             return None
+        if not keep and rest[0] == "0":  # an area code in its national form stays one
+            if len(rest) < 8:
+                return None
+            new = self.digits("phone", rest[1:], back)
+            while new[0] == "0":
+                new = self.digits("phone", new, back)
+            return self._refill(s, "0" + new)
+        if not keep and re.fullmatch(r"\d{10}", s):
+            new = self.digits("phone", s, back)
+            while not _TEN.fullmatch(new):
+                new = self.digits("phone", new, back)
+            return new
         return keep + self._refill(s[len(keep) :], self.digits("phone", rest, back))
 
     def _card(self, s: str, back: bool) -> str | None:
@@ -160,11 +196,17 @@ class Pseudonyms:
     def _iban(self, s: str, back: bool) -> str | None:
         if not _is_iban(s):
             return None
+        if s != s.upper():
+            return self._iban(s.upper(), back).lower()
         v = s.replace(" ", "")
         body = self.classes("iban" + v[:2], v[4:], back)
         return self._refill(s, f"{v[:2]}{98 - _mod97(body + v[:2] + '00'):02d}{body}")
 
     def _ssn(self, s: str, back: bool) -> str | None:
+        if "-" not in s:  # as a word names it: with spaces or none
+            d = re.sub(r"\D", "", s)
+            new = self._ssn(f"{d[:3]}-{d[3:5]}-{d[5:]}", back)
+            return new and self._refill(s, new.replace("-", ""))
         a, b, c = map(int, s.split("-"))
         if a in (0, 666) or a > 899 or not b or not c:
             return None
@@ -183,11 +225,38 @@ class Pseudonyms:
         x = self.permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"), back)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
+    def _wordy(self, s: str, back: bool) -> str | None:
+        """A date with its month's name, in the name's language and with as many digits: cycle walking over the dates."""
+        m = _WORDY.fullmatch(s)
+        k = "1" if m["m1"] else "2"
+        name = m["m" + k]
+        month, language = _MONTH[name.lower()]
+        try:
+            day = datetime.date(int(m["y" + k]), month + 1, int(m["d" + k])).toordinal() - FIRST_DAY
+        except ValueError:
+            return None
+        if not 0 <= day <= LAST_DAY - FIRST_DAY:
+            return None
+        while True:
+            day = self.permute("date", LAST_DAY - FIRST_DAY + 1, day, back)
+            t = datetime.date.fromordinal(FIRST_DAY + day)
+            shown = MONTHS[language][t.month - 1]
+            if _MONTH[shown][1] == language and (len(m["d" + k]) == 2 or t.day < 10):
+                break
+        shown = shown.upper() if name.isupper() else shown.capitalize() if name[0].isupper() else shown
+        out, done = [], 0
+        for part, new in sorted([("d", str(t.day).zfill(len(m["d" + k]))), ("m", shown), ("y", str(t.year))], key=lambda x: m.start(x[0] + k)):
+            out += [s[done : m.start(part + k)], new]
+            done = m.end(part + k)
+        return "".join(out) + s[done:]
+
     def _date(self, s: str, back: bool) -> str | None:
+        if re.search(r"[^\W\d_]", s):
+            return self._wordy(s, back)
         sep = re.search(r"\D", s).group()
         p = s.split(sep)
         ymd = len(p[0]) == 4
-        tries = [(p[0], p[1], p[2])] if ymd else [(p[2], p[1], p[0]), (p[2], p[0], p[1])]
+        tries = [(p[0], p[1], p[2])] if ymd else [(p[2], p[1], p[0]), (p[2], p[0], p[1])][: 1 if sep == "." else 2]
         for k, (y, m, d) in enumerate(tries):
             try:
                 day = datetime.date(int(y), int(m), int(d)).toordinal()
@@ -217,7 +286,7 @@ class Pseudonyms:
 
     def _secret(self, s: str, back: bool) -> str | None:
         mixed = lambda v: re.search(r"\d", v) and re.search(r"[A-Za-z]", v)
-        if mixed(s) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        if len(s) <= 2 * CHUNK and mixed(s) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
             show = "X" if s.upper() == s else "x"
             x = self.permute("hex", 16 ** len(s), int(s, 16), back)
             while not mixed(new := f"{x:0{len(s)}{show}}"):
@@ -246,6 +315,16 @@ def _card_ends(text: str, start: int, end: int, whole: bool) -> tuple[list[int],
     return ends[::-1], groups[1][0] if len(groups) > 1 else end
 
 
+def _named(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """Values that words around them tell: dates by a month, numbers by their kind, keys between their marks."""
+    out = [(*m.span(), "date", []) for m in _WORDY.finditer(text)]
+    out += [(*m.span("value"), "ssn", []) for m in _SSN_NAMED.finditer(text)]
+    out += [(*m.span(), "phone", []) for m in _TEN.finditer(text) if _PHONE_NAMED.search(text, max(0, m.start() - 24), m.start())]
+    if "PRIVATE KEY" in text:
+        out += [(*m.span("value"), "secret", []) for m in _PEM.finditer(text)]
+    return out
+
+
 def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
     """(start, end, kind, failed) of what may be personal data, in order; validation comes later.
 
@@ -258,7 +337,7 @@ def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
         start, end = run.span()
         if end <= done:
             continue
-        if start >= max(2, done) and text[start - 1].isupper() and (start < 3 or not text[start - 3].isalnum()):
+        if start >= max(2, done) and text[start - 1].isascii() and text[start - 1].isalpha() and (start < 3 or not text[start - 3].isalnum()):
             ends = _iban_ends(text, start - 2)
             k = next((k for k, e in enumerate(ends) if _is_iban(text[start - 2 : e])), None)
             if k is not None:
@@ -273,7 +352,7 @@ def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
                 at = done = b
                 if m.group("ip") and max(map(int, m.group().split("."))) < 100 and _VERSION.search(text, max(0, a - 12), a):
                     continue
-                kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m.group(k))
+                kind = "phone" if m.group("area") else m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m.group(k))
                 out.append((a, b, kind, []))
                 continue
             ends, after = _card_ends(text, a, b, a >= read)
@@ -296,11 +375,13 @@ def spans(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
         out += [(*m.span(), "ip", []) for m in _IP6.finditer(text)]
     for m in _SECRET.finditer(text):
         v = m["value"].rstrip(".=")
-        telling = m["quote"] or (re.search(r"[A-Za-z]", v) and (re.search(r"\d", v) or (re.search("[A-Z]", v[1:]) and re.search("[a-z]", v))))
-        if len(v) >= 16 and telling and _SECRET_NAME.search(text[max(0, m.start() - 20) : m.start()].lower()):
+        mixed = re.search(r"[A-Za-z]", v) and re.search(r"[\d!@#$%^&*]", v)
+        telling = mixed or len(v) >= 16 and (m["quote"] or (re.search("[A-Z]", v[1:]) and re.search("[a-z]", v)))
+        if len(v) >= 6 and telling and _SECRET_NAME.search(text[max(0, m.start() - 20) : m.start()].lower()):
             out.append((m.start("value"), m.start("value") + len(v), "secret", []))
     if "earer" in text or "EARER" in text:
         out += [(*m.span("value"), "secret", []) for m in _BEARER.finditer(text) if re.search(r"\d", m["value"])]
+    out += _named(text)
     out += [(*m.span("value"), "secret", []) for m in _KEY.finditer(text) if re.search(r"[A-Z0-9]", m["value"])]
     out.sort(key=lambda x: (x[0], -x[1]))
     return out
