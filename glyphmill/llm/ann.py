@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm import _io
+from glyphmill.llm import _io, _vec
 
 #: Projected dimensions; chance that a true neighbour passes the stopping test; seed of the projections.
-PROJECTED, CONFIDENCE, SEED = 8, 0.99, 11
+PROJECTED, CONFIDENCE, SEED = 32, 0.9, 11
 #: Rows of a block and of a leaf; most cells of the upper tree; rows its splits are fitted on at most.
 BLOCK, LEAF, CELLS, SAMPLE = 4096, 64, 4096, 32768
 
@@ -94,6 +94,7 @@ class Block:
         self.ids, self.vectors, self.p = ids[order], vectors[order], p[order]
         self.start = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
         self.end = np.r_[self.start[1:], len(ids)]
+        self.verified = 0
         self.low, self.high = np.minimum.reduceat(self.p, self.start), np.maximum.reduceat(self.p, self.start)
 
     def nearest(self, qid: int, q: np.ndarray, k: int, bound: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +114,12 @@ class Block:
             near = np.flatnonzero(((d * d).sum(axis=1) <= limit) & (self.ids[s:e] != qid)) + s
             if not len(near):
                 continue
+            self.verified += len(near)
             d = self.vectors[near] - q
             ids, dist = np.concatenate([ids, self.ids[near]]), np.concatenate([dist, np.sqrt((d * d).sum(axis=1))])
-            if len(ids) > k:
-                best = np.lexsort((ids, dist))[:k]
-                ids, dist = ids[best], dist[best]
+            best = np.lexsort((ids, dist))
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]  # of rows of one id the nearest
+            ids, dist = ids[best], dist[best]
             if len(ids) == k:
                 bound = min(bound, float(dist.max()))
         return ids, dist
@@ -150,7 +152,9 @@ def nearest(vectors: DataFrame, query_rows: str, k: int = 10, id_col: str = "vec
     query_rows is a predicate over the column `id`. Score is the Euclidean distance in double
     precision; ties go to the smaller id; the query's own row is left out; with fewer candidates
     all come back. A neighbour is missed with chance 1 - confidence at most. Vectors of another
-    length are no candidates. Unusable vectors take no part; an empty table gives an empty result.
+    length are no candidates. Unusable vectors take no part; repeated rows count once, and of rows of one id with
+    different vectors the nearest counts, as candidates and as queries. Other columns may have any names; an empty
+    table gives an empty result.
 
     The upper tree is fitted on at most SAMPLE projected rows; every row is indexed. Queries
     first search their home cell, which bounds the k-th distance, then go only to the cells whose
@@ -191,7 +195,7 @@ def nearest(vectors: DataFrame, query_rows: str, k: int = 10, id_col: str = "vec
             c, i = b.column("cell").to_numpy(), b.column("id").to_numpy()
             n = np.array([blocks[x] for x in c.tolist()], np.int64)
             zero = np.zeros(len(c), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array(((i // 7) % n).astype(np.int32)), pa.array(zero), b.column("id"), b.column("v"), pa.array(np.zeros(len(c)))], ["cell", "block", "ask", "id", "v", "bound"])
+            yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array((_vec.mix(i.astype(np.uint64)) % n.astype(np.uint64)).astype(np.int32)), pa.array(zero), b.column("id"), b.column("v"), pa.array(np.zeros(len(c)))], ["cell", "block", "ask", "id", "v", "bound"])
 
     def sent(batches, home: bool):
         """Query rows for each block of the cells to visit."""
@@ -256,10 +260,11 @@ def nearest(vectors: DataFrame, query_rows: str, k: int = 10, id_col: str = "vec
         both = stored.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", "ask")
         return both.mapInArrow(search, "query_id long, vec_id long, score double")
 
+    once = lambda found: found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     first = _io.cut(searched(queries.mapInArrow(lambda it: sent(it, True), kinds)))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("known"), F.col("score").alias("bound"))
+    kth = once(first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("known"), F.col("score").alias("bound"))
     ask = queries.join(kth, queries["id"] == kth["known"], "left").select("id", "v", "cell", "p", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     second = searched(ask.mapInArrow(lambda it: sent(it, False), kinds))
-    ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = once(first.unionByName(second)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

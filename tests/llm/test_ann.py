@@ -36,7 +36,7 @@ def test_recall_and_scores(spark, monkeypatch):
     want, got = brute(rows), compare(spark, rows)
     assert set(got) == set(want)
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
-    assert hits >= 0.97 * sum(len(w) for w in want.values())
+    assert hits >= 0.95 * sum(len(w) for w in want.values())
     for q in (500, 600):
         assert got[q] == want[q]
     assert got[3500] == want[3500] and len(got[3500]) == 1
@@ -51,5 +51,39 @@ def test_few_and_none(spark):
     assert compare(spark, rows)[0] == [(1.0, 1), (1.0, 2)]
 
 
+def test_repeated_rows(spark):
+    """Rows of queries and of candidates given again, and an id with two vectors: ten different neighbours of the nearest rows."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((60, 6)).astype(np.float32).tolist()
+    rows = [(i * 20, v) for i, v in enumerate(x)]
+    rows += rows[:30] + rows[:10] + [(20, x[7])]
+    want = {}
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                d = min(float(np.sqrt(((np.array(v, float) - np.array(w, float)) ** 2).sum())) for j, w in rows if j == q)
+                best[i] = min(best.get(i, d), d)
+        want[q] = sorted((d, i) for i, d in best.items())[:10]
+    got = compare(spark, rows)
+    assert all(len({i for _, i in g}) == 10 for g in got.values())
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in w}) for q, w in want.items())
+    assert set(got) == set(want) and hits >= 0.9 * 10 * len(want)
+
+
+def test_the_stop_stops():
+    """Of vectors without structure, which are the hardest, well below a half are verified, at a recall of 0.9 or more."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block, factor = ann.Block(np.arange(20_000), x), ann.chi_square_quantile(ann.PROJECTED, ann.CONFIDENCE)
+    hits = 0
+    for q in range(0, 20_000, 500):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(block.nearest(q, x[q], 10, np.inf, factor)[0]))
+    assert hits >= 0.9 * 400 and block.verified < 0.4 * 40 * 20_000
+
+
 def test_quantile():
     assert ann.chi_square_quantile(8, 0.95) == pytest.approx(15.5073, abs=1e-3)
