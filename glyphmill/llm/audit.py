@@ -57,11 +57,10 @@ def profiles(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return named.unionByName(unnamed).groupBy("part", "failed", "good", "toxic").agg(F.count("*").alias("n"))
 
 
-def lattice(spark: SparkSession) -> DataFrame:
+def lattice() -> list[tuple[int, int]]:
     """(applied, filter): the 80 edges of the lattice, each a set of filters already applied and the next one."""
     sets = [sum(1 << i for i in c) for k in range(len(FILTERS)) for c in combinations(range(len(FILTERS)), k)]
-    edges = [(s, i) for s in sets for i in range(len(FILTERS)) if not s >> i & 1]
-    return spark.createDataFrame(edges, "applied int, filter int")
+    return [(s, i) for s in sets for i in range(len(FILTERS)) if not s >> i & 1]
 
 
 def steps(spark: SparkSession) -> DataFrame:
@@ -88,7 +87,8 @@ def edges(counted: DataFrame) -> DataFrame:
         "good_lost": clean & fails & F.col("good"),
         "toxic_lost": clean & fails & F.col("toxic"),
     }
-    crossed = counted.join(F.broadcast(lattice(counted.sparkSession)))  # 80 rows
+    each = F.array(*(F.struct(F.lit(s).alias("applied"), F.lit(i).alias("filter")) for s, i in lattice()))
+    crossed = counted.select("*", F.inline(each))
     return crossed.groupBy("part", "applied", "filter").agg(*(total(c).alias(k) for k, c in sums.items()))
 
 
