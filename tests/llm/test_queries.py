@@ -137,3 +137,25 @@ def test_op10(spark, texts):
     for v in shared:
         assert len({x.class_id[i] for i in v}) == 1 and all(x.n_links[i] or x.n_copies[i] for i in v)
     assert len(x) == len(texts)
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_license_scan", "op13_chat_repair"])
+def test_new_operators_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{LARGER}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = [tuple(r) for r in entry.queries()[name](spark, LARGER).select(*names).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall()))
+
+
+def test_op4_equals_row_by_row(spark, texts):
+    from glyphmill.llm import pii, queries
+
+    p = pii.Pseudonyms(queries.PSEUDONYM_KEY)
+    want = {i: pii.mask(t, p) for i, t in texts.items()}
+    x = rows(spark, "op4_pii")
+    assert len(x) == len(texts) and dict(zip(x.doc_id, x.text)) == {i: t for i, (t, _) in want.items()}
+    for k in pii.KINDS:
+        assert dict(zip(x.doc_id, x[f"n_{k}"])) == {i: n.get(k, 0) for i, (_, n) in want.items()}
