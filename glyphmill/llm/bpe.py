@@ -149,7 +149,8 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; null counts as empty (no tokens).
 
     Row by row without a shuffle; rows come back as often as given. path must be readable on
-    each executor. A worker's memory is bounded by KEPT and one Arrow batch.
+    each executor. A worker's memory is bounded by KEPT pieces and one Arrow batch. Very long texts are encoded whole; other columns
+    are not read, whatever their names; an empty table gives an empty result.
     """
     _io.small_batches(docs.sparkSession)
 
@@ -170,7 +171,10 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs with the token ids of text_col as an array; out_col must be a new name."""
+    """docs with the token ids of text_col as an array; out_col must be a new name (else ValueError).
+
+    Null counts as empty; repeated rows come back as often as given; an empty table stays empty.
+    """
     if out_col in docs.columns:
         raise ValueError(f"{out_col} is taken")
     _io.small_batches(docs.sparkSession)
@@ -188,7 +192,10 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
 
 def decode_ids(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with ids_col decoded to text; a null array gives null, unknown and null ids no text."""
+    """tokens with ids_col decoded to text; a null array gives null, unknown and null ids no text.
+
+    out_col must be a new name (else ValueError); repeated rows come back as often as given; an empty table stays empty.
+    """
     if out_col in tokens.columns:
         raise ValueError(f"{out_col} is taken")
     at = tokens.columns.index(ids_col)

@@ -73,8 +73,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     A conversation whose turns are the first turns of a longer one is a snapshot of it and goes,
     as do all but the smallest id of equal conversations. Turns are ordered by number, then role,
     then text; null numbers come last. Null roles and texts count as empty, repeated rows as
-    turns of their own. Rows without a conversation id are left out. An empty table gives an
-    empty result. A rendered conversation is one value, as long as its turns together.
+    turns of their own. Rows without a conversation id are left out. Very long texts are rendered whole; other columns are
+    not read, whatever their names. An empty table gives an empty result. A rendered conversation is one value, as long as its turns together.
     """
     picked = turns.select(
         F.col(id_col).alias("conv"),

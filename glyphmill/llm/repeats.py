@@ -182,7 +182,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     A byte goes if a string of `length` bytes over it also starts at another place of any
     document, the same one included; all is judged on the input. Null and empty texts have no
     bytes; shorter texts lose nothing. A repeated row is another document, so both lose their
-    text. An empty table gives an empty result.
+    text. Very long texts are windowed whole, in pieces; other columns are not read, whatever their names. An empty
+    table gives an empty result.
     """
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")

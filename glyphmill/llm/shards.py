@@ -78,8 +78,8 @@ def kd_shards(
     256 buckets of the table's range; ties are ordered by text hash, then by id hash, so equal
     texts stay together unless a cut would miss by over TOLERANCE of a shard. size is the text's
     UTF-8 bytes plus 16; a null text has no bytes and checksum zero. slot counts the rows of a
-    shard from 0 without gaps. Repeated rows and null ids are rows like any other. Other columns
-    are not read. An empty table gives an empty result. law is always `bytes`.
+    shard from 0 without gaps. Repeated rows and null ids are rows like any other. Very long texts
+    are measured whole; other columns are not read. An empty table gives an empty result. law is always `bytes`.
     """
     _io.small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

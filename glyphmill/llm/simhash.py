@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose fingerprints differ in at most budget bits are linked, and links carry on.
     Null and empty texts have fingerprint zero and are linked like any other. Copies fold into
     one fingerprint before the join; repeated rows come back as often as they were given. Rows
-    without an id get a fingerprint and no component. An empty table gives an empty result.
+    without an id get a fingerprint and no component. Very long texts are hashed whole, and other columns are not
+    read, whatever their names. An empty table gives an empty result.
     """
     marks = _io.cut(fingerprints(docs, id_col, text_col, shingle))
     reps = marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")

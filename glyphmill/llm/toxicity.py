@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with the model's score (0 to 1) of each whole text; null and empty texts are texts of no words.
 
-    Row by row without a shuffle; all rows and columns come back.
+    Row by row without a shuffle; all rows and columns come back, repeated rows scored alike; very long texts are read whole.
+    out_col must be a new name (else ValueError); an empty table stays empty.
     """
     if out_col in docs.columns:
         raise ValueError(f"{out_col} is taken")

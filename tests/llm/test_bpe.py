@@ -39,3 +39,15 @@ def test_round_trip_and_empty_table(spark):
     back = bpe.decode_ids(bpe.encode_ids(docs, PATH), PATH).collect()
     assert [(x.text or "") == x.decoded for x in back] == [True, True]
     assert bpe.encode_digest(docs.limit(0), PATH).count() == 0
+
+
+def test_taken_names_and_empty_tables(spark):
+    from glyphmill.llm import queries
+
+    path = queries.bpe_path()
+    df = spark.createDataFrame([("a", [1], "x")], "text string, token_ids array<int>, decoded string")
+    for f in (bpe.encode_ids, bpe.decode_ids):
+        with pytest.raises(ValueError, match="taken"):
+            f(df, path)
+    none = df.limit(0).select("text")
+    assert bpe.encode_ids(none, path).count() == 0 and bpe.decode_ids(bpe.encode_ids(none, path), path).count() == 0
