@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from glyphmill.functions import text as tx
 
-# The bounds of a record, an image and a request.
+# The bounds of a record, an image and a request. So is the wording of the messages below: callers and their
+# reports hold refusals against it.
 MIN_SIDE, MAX_SIDE, MAX_PIXELS = 16, 16384, 4096 * 4096
 MIN_RECORDS, MAX_RECORDS = 8, 5000
 MIN_CHARS, MAX_CHARS = 1, 512
