@@ -196,20 +196,27 @@ def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, pa
     step = max(1, _WEIGHTS // resamples)
 
     def sums(batches):
-        total = np.zeros((4, resamples))
+        total = np.zeros((5, resamples + 1))  # the last column is the whole: every line once
         for b in batches:
             at, *counts = (c.to_numpy().astype(np.int64) for c in b.columns)
-            whole = np.stack(counts).astype(np.float64)
+            whole = np.stack([*counts, np.ones(len(at))]).astype(np.float64)
             for i in range(0, len(at), step):
                 w = poisson_weights(at[i : i + step], draws, seed)
-                total += whole[:, i : i + step] @ w
-        yield pa.RecordBatch.from_arrays([pa.array(draws), *(pa.array(np.rint(x).astype(np.int64)) for x in total)], ["draw", "e", "t", "e2", "t2"])
-
-    kinds = rows.select("at", *(F.col(c).cast("long").alias(c) for c in ("e", "t", "e2", "t2")))
-    one = kinds.agg(*(F.sum(c).alias(c) for c in ("e", "t", "e2", "t2")), F.count("*").alias("n_lines"))
-    rate = F.col("e") / F.col("t") - F.col("e2") / F.col("t2")
-    stats = kinds.mapInArrow(sums, "draw long, e long, t long, e2 long, t2 long").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("e", "t", "e2", "t2")))
-    return _interval(stats.select(rate.alias("stat")), one.select(rate.alias("estimate"), "n_lines"), measure, level, paired is not None)
+                total[:, :-1] += whole[:, i : i + step] @ w
+            total[:, -1] += whole.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(draws, -1)), *(pa.array(np.rint(x).astype(np.int64)) for x in total)], ["draw", *names])
+
+    names = ["e", "t", "e2", "t2", "n"]
+    kinds = rows.select("at", *(F.col(c).cast("long").alias(c) for c in names[:4]))
+    each = kinds.mapInArrow(sums, "draw long, e long, t long, e2 long, t2 long, n long").groupBy("draw").agg(*(F.sum(c).alias(c) for c in names))
+    stat = F.try_divide("e", "t") - F.try_divide("e2", "t2")  # no lines, no rate
+    drawn, whole = F.col("draw") >= 0, F.col("draw") < 0
+    one = each.agg(F.array_sort(F.collect_list(F.when(drawn, stat))).alias("s"), F.max(F.when(whole, stat)).alias("estimate"), F.coalesce(F.max(F.when(whole, F.col("n"))), F.lit(0)).alias("n_lines"))
+    at = lambda x: F.get("s", min(resamples - 1, int(x * resamples)))
+    return one.select(
+        F.lit(measure).alias("measure"), "estimate", at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"), F.lit(level).alias("level"),
+        "n_lines", F.lit(resamples).cast("long").alias("n_resamples"), F.lit(paired is not None).alias("paired"),
+    )
 
 
 def verdict(n: Column | str) -> Column:

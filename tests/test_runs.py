@@ -236,5 +236,7 @@ def test_poisson_interval_is_close_to_the_resampled_one(spark):
     b = metrics.bootstrap_interval(df, metrics.draws(spark, 400, 2000, seed=1)).first()
     assert a.estimate == b.estimate and a.n_resamples == 2000 and a.n_lines == 400
     assert abs(a.low - b.low) < 0.15 * (b.high - b.low) and abs(a.high - b.high) < 0.15 * (b.high - b.low)
+    none = metrics.poisson_interval(df.limit(0), 20).first()
+    assert (none.n_lines, none.estimate, none.low) == (0, None, None)
     plan = metrics.poisson_interval(df, 2000)._jdf.queryExecution().toString()
     assert "Generate" not in plan
