@@ -20,6 +20,8 @@ from glyphmill.llm import _io, _vec
 
 #: Bytes of the k-gram that anchors a window; a power of two below the length.
 ANCHOR = 128
+#: Different contexts of one anchor that one task compares; the windows of more are counted one by one.
+MOST = 4000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -87,6 +89,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
     3. Anchors that recur in different contexts: one representative of each context brings its
        bytes to the anchor's group, where its windows are compared one by one. A group has
        different contexts of one anchor, not its occurrences.
+    4. Anchors of more than MOST contexts have no group: each window is a row, counted by its hash with
+       counts that fold before the shuffle, and windows that occur twice are looked up by a semi-join.
     """
     spark = docs.sparkSession
     _io.small_batches(spark)
@@ -115,12 +119,12 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
         "key", F.col("p1").alias("s"), (F.col("p1") + F.col("more") + length).alias("e")
     )
     needed = (
-        contexts.join(groups, "kgram", "left_semi")
+        contexts.join(groups, "kgram")
         .groupBy(F.col("at.key").alias("need_key"))
-        .agg(F.collect_list(F.struct("at.p1", "at.more", "at.a", "kgram", (F.col("n") == 1).alias("single"))).alias("need"))
+        .agg(F.collect_list(F.struct("at.p1", "at.more", "at.a", "kgram", (F.col("n") == 1).alias("single"), (F.col("m") > MOST).alias("hot"))).alias("need"))
     )
     needed = _io.cut(needed)
-    n_need = needed.agg(F.sum(F.size("need") * 64 + 64)).first()[0] or 0
+    n_need, any_hot = needed.agg(F.sum(F.size("need") * 64 + 64), F.max(F.exists("need", lambda x: x["hot"]))).first()
 
     def fetch(batches):
         for b in batches:
@@ -132,19 +136,21 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
             views = [memoryview(t.as_buffer()) for t in texts]
             parts = [bytes(views[o][p : p + m + length]) for o, p, m in zip(owner, p1, more)]
             yield pa.RecordBatch.from_arrays(
-                [flat.field("kgram"), b.column(0).take(pa.array(owner)), flat.field("p1"), pa.array(a - p1), flat.field("single"), pa.array(parts, pa.binary())],
-                ["kgram", "key", "p1", "start", "single", "bytes"],
+                [flat.field("kgram"), b.column(0).take(pa.array(owner)), flat.field("p1"), pa.array(a - p1), flat.field("single"), flat.field("hot"), pa.array(parts, pa.binary())],
+                ["kgram", "key", "p1", "start", "single", "hot", "bytes"],
             )
 
-    asked = long_enough.join(_io.sized(needed, n_need), long_enough["key"] == needed["need_key"]).select("key", "text", "need")
-    sent = asked.mapInArrow(fetch, "kgram long, key long, p1 int, start int, single boolean, bytes binary")
+    asked = long_enough.join(_io.sized(needed, n_need or 0), long_enough["key"] == needed["need_key"]).select("key", "text", "need")
+    sent = asked.mapInArrow(fetch, "kgram long, key long, p1 int, start int, single boolean, hot boolean, bytes binary")
+
+    def keyed(t):
+        parts = t["bytes"].to_pylist()
+        off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        return window_keys(np.frombuffer(b"".join(parts), np.uint8), off, t["start"].to_numpy(), t["kgram"].to_numpy(), length)
 
     def compare(batches):
-        for t in _vec.in_groups(batches, ["kgram"], 4000):
-            parts = t["bytes"].combine_chunks()
-            buf = np.frombuffer(b"".join(x.as_py() for x in parts), np.uint8)
-            off = np.concatenate([[0], np.cumsum([len(x.as_buffer()) for x in parts])]).astype(np.int64)
-            owner, place, keys = window_keys(buf, off, t["start"].to_numpy(), t["kgram"].to_numpy(), length)
+        for t in _vec.in_groups(batches, ["kgram"], MOST):
+            owner, place, keys = keyed(t)
             order = np.argsort(keys, kind="stable")
             same = keys[order][1:] == keys[order][:-1]
             hit = np.zeros(len(keys), bool)
@@ -163,8 +169,29 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, k:
                 ["key", "s", "e"],
             )
 
-    part = sent.repartition("kgram").sortWithinPartitions("kgram").mapInArrow(compare, "key long, s int, e int")
-    spans = copied.unionByName(part).groupBy("key").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    def windows(batches):
+        for b in batches:
+            owner, place, keys = keyed(b)
+            at = pa.array(owner)
+            p = pa.array((b["p1"].to_numpy()[owner] + place).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b["key"].take(at), p, b["single"].take(at)], ["window", "key", "p", "single"])
+
+    def runs(batches):
+        for b in batches:
+            key, p = b["key"].to_numpy(), b["p"].to_numpy()
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] > p[:-1] + 1)][: len(p)])
+            last = np.r_[first[1:], len(p)][: len(first)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(p[first]), pa.array(p[last] + np.int32(length))], ["key", "s", "e"])
+
+    found_spans = copied
+    if any_hot:
+        sent = _io.cut(sent)
+        each = sent.where("hot").mapInArrow(windows, "window long, key long, p int, single boolean")
+        twice = each.groupBy("window").count().where("count > 1").select(F.col("window").alias("window_"))
+        hits = each.where("single").join(twice, F.col("window") == F.col("window_"), "left_semi").select("key", "p")
+        found_spans = found_spans.unionByName(hits.repartition("key").sortWithinPartitions("key", "p").mapInArrow(runs, "key long, s int, e int"))
+    part = sent.where("not hot").repartition("kgram").sortWithinPartitions("kgram").mapInArrow(compare, "key long, s int, e int")
+    spans = found_spans.unionByName(part).groupBy("key").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def join(batches):
         for b in batches:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from glyphmill.llm import repeats
 
 SCHEMA = "doc_id long, text string, kgram string"
@@ -19,7 +21,9 @@ def brute(texts, length):
     return gone
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [repeats.MOST, 3, 1])  # fewer: the anchors' windows are counted one by one
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST", most)
     r = random.Random(2)
     word = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
     shared = [word(n) for n in (150, 180, 200, 260, 400, 700)]
@@ -42,3 +46,14 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_anchor_of_many_contexts(spark):
+    r = random.Random(5)
+    line = "".join(r.choice("abcdefgh ") for _ in range(300))
+    letters = lambda n: "".join(r.choice("stuvwxyz") for _ in range(n))
+    texts = [letters(150) + line + letters(150) for _ in range(repeats.MOST + 50)]
+    texts += [f"{texts[7][20:550]}{i}" for i in range(3)]
+    got = {x.doc_id: x for x in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect()}
+    assert {i for i, x in got.items() if x.has_repeat} == {7, *range(repeats.MOST + 50, repeats.MOST + 53)}
+    assert got[7].n_removed == 530
