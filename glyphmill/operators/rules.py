@@ -141,9 +141,18 @@ def request_rules() -> list[tuple[str, Column, Column | str]]:
     ]
 
 
+def name_rule() -> tuple[str, Column, Column | str]:
+    """A request that brings names brings one: it is one image's."""
+    return "names", F.col("names").isNotNull() & (F.size("names") != 1), "names must hold exactly one name, as a request is one image"
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """requests with finding (null if accepted) and verdict."""
-    found = requests.withColumn("finding", first_violation(request_rules()))
+    """requests with finding (null if accepted) and verdict; the rule for names holds where there is such a column.
+
+    An empty list of names breaks it, a null one does not.
+    """
+    named = [name_rule()] if "names" in requests.columns else []
+    found = requests.withColumn("finding", first_violation([*request_rules(), *named]))
     return found.withColumn("verdict", F.when(F.col("finding").isNull(), "accepted").otherwise("rejected"))
 
 
@@ -173,6 +182,33 @@ def adapter_rules(fmt: str, base: Mapping[str, str], weights: str, prefixes: Seq
     ]
 
 
+def tensor_findings(listed: DataFrame, trainable: DataFrame, stored: DataFrame) -> DataFrame:
+    """(artifact, name, finding) of each tensor that manifest, model and file do not all know, by one full match.
+
+    Inputs (artifact, name): what manifests list, what the model trains, what the weight files hold. A name that the
+    manifest and the model do not share is judged before the file. Repeated rows count once; names are case-sensitive; rows without an artifact
+    or a name match nothing and are left out. Empty inputs give no findings of their own.
+    """
+    sides = {"in_manifest": listed, "in_model": trainable, "in_file": stored}
+    all_ = None
+    for side, df in sides.items():
+        rows = df.where("artifact is not null and name is not null").select("artifact", "name", *(F.lit(s == side).alias(s) for s in sides))
+        all_ = rows if all_ is None else all_.unionByName(rows)
+    known = all_.groupBy("artifact", "name").agg(*(F.max(s).alias(s) for s in sides))
+    finding = (
+        F.when(~F.col("in_manifest") & F.col("in_model"), "trained by the model, not listed")
+        .when(F.col("in_manifest") & ~F.col("in_model"), "listed, not trained by the model")
+        .when(F.col("in_manifest") & ~F.col("in_file"), "listed, not in the file")
+        .when(~F.col("in_manifest"), "in the file alone")
+    )
+    return known.withColumn("finding", finding).where("finding is not null").select("artifact", "name", "finding")
+
+
+def unknown_keys(given: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of given(run, key) whose key is none of known(key); null keys are unknown, repeated rows come back each."""
+    return given.join(known.select(F.col("key").alias("_known")), F.col("key") == F.col("_known"), "left_anti")
+
+
 def _literal(s: str) -> str:
     return r"\Q" + s + r"\E"
 

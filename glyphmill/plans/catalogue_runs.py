@@ -264,3 +264,56 @@ def dataset_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.least(F.lit(0.4), F.greatest(F.lit(0.05), F.round(F.sum((F.col("doc_id") % 2 == 1).cast("int")) / F.count("*") / 3, 2)))
     rows = [(r.lang, r.val, *curate.record_limits(spark, r.val, 0.2)) for r in v.table(spark, sf_dir, "documents").groupBy("lang").agg(share.alias("val")).collect()]
     return spark.createDataFrame(rows, "lang string, val_fraction double, least long, most long")
+
+
+# ---------------------------------------------------------------- requests, tensors, keys, refusals
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'mode shout is not one of (''plain'', ''format'')'
+  WHEN page_id % 4 < 3 AND (CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE len(string_split(url, '/')) END) <> 1 THEN 'names must hold exactly one name, as a request is one image' END AS finding FROM pages""")
+def request_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for pages with no name, one, several (the parts of the address) and a null list."""
+    p = F.col("page_id")
+    names = F.when(p % 4 == 0, F.array().cast("array<string>")).when(p % 4 == 1, F.array("url")).when(p % 4 == 2, F.split("url", "/"))
+    mode = F.when(p % 9 == 0, "shout").otherwise("plain")
+    side = F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit(16).alias("max_new_tokens")
+    rows = v.table(spark, sf_dir, "pages").select("page_id", names.alias("names"), mode.alias("mode"), *side)
+    return rules.validate_requests(rows).select("page_id", "finding")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS artifact, 'part' || l_partkey AS name, bool_or(l_linenumber % 3 <> 0) AS m, bool_or(l_linenumber % 4 <> 0) AS d, bool_or(l_linenumber % 5 <> 0) AS f FROM lineitem GROUP BY ALL)
+SELECT artifact, name, CASE WHEN d AND NOT m THEN 'trained by the model, not listed' WHEN m AND NOT d THEN 'listed, not trained by the model' WHEN m AND NOT f THEN 'listed, not in the file' ELSE 'in the file alone' END AS finding
+FROM t WHERE (m OR d OR f) AND NOT (m AND d AND f)""")
+def tensor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an order stand in for the tensors of an artifact; manifest, model and file each lack some."""
+    rows = v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("artifact"), F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("name"), "l_linenumber")
+    return rules.tensor_findings(*(rows.where(F.col("l_linenumber") % k != 0) for k in (3, 4, 5)))
+
+
+@query("SELECT page_id AS run, string_split(url, '/')[-1] AS key FROM pages WHERE string_split(url, '/')[-1] NOT IN (SELECT string_split(url, '/')[-1] FROM pages WHERE page_id % 3 <> 0)")
+def unknown_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of pages' addresses as the settings of runs; those of two pages in three are the known ones."""
+    rows = v.table(spark, sf_dir, "pages").select(F.col("page_id").alias("run"), F.element_at(F.split("url", "/"), -1).alias("key"))
+    return rules.unknown_keys(rows, rows.where("run % 3 != 0").select("key").distinct())
+
+
+@query("""SELECT source AS root, arg_min(sha256(text), doc_id) FILTER (WHERE doc_id % 4 = 1 AND lang = 'en') AS sha256 FROM documents GROUP BY source""")
+def recorded_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's snapshot; the weight file's digest is that of the first entry so named."""
+    path = F.when((F.col("doc_id") % 4 == 1) & (F.col("lang") == "en"), "weights.bin").otherwise("other.bin")
+    files = v.table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("pos"), path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    return readers.recorded_digests(files, "weights.bin")
+
+
+@query("""WITH l AS (SELECT lang, count(*) AS n, min(doc_id) FILTER (WHERE length(text) > 15000) AS bad FROM documents GROUP BY lang)
+SELECT lang, CASE WHEN bad IS NULL THEN 0 ELSE 65 END::bigint AS code, CASE WHEN bad IS NOT NULL THEN 'REFUSED: document ' || bad || ' is too long' END AS line FROM l""")
+def refused_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over each language that refuses its first text of over 15,000 characters: exit code and the one line shown."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rule = ("length", F.length("text") > 15000, F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" is too long")))
+    rows = []
+    for (lang,) in docs.select("lang").distinct().collect():
+        shown: list[str] = []
+        code = rules.run_refusing(lambda: rules.check_all(docs.where(F.col("lang") == lang), [rule], "doc_id"), shown.append)
+        rows.append((lang, code, shown[0] if shown else None))
+    return spark.createDataFrame(rows, "lang string, code long, line string")

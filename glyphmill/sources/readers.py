@@ -184,6 +184,12 @@ def recorded_digest(manifest: DataFrame, path: str) -> str | None:
     return row and row[0]
 
 
+def recorded_digests(manifests: DataFrame, path: str) -> DataFrame:
+    """(root, sha256) of every snapshot in manifests(root, pos, path, sha256): what the first entry of path records, null if none does."""
+    at = F.when(F.col("path") == path, F.col("pos"))
+    return manifests.groupBy("root").agg(F.min_by("sha256", at).alias("sha256"))
+
+
 def load_state(spark: SparkSession, path: str, hint: str = "run the earlier steps first") -> DataFrame:
     """A stage's saved table; a missing one is refused with a hint."""
     from pyspark.errors import AnalysisException

@@ -12,7 +12,7 @@ NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n !=
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in "nation customer documents embeddings pages benchmark labels conversations".split():
+    for t in "nation customer lineitem documents embeddings pages benchmark labels conversations".split():
         c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return c
 

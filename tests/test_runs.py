@@ -240,3 +240,33 @@ def test_poisson_interval_is_close_to_the_resampled_one(spark):
     assert (none.n_lines, none.estimate, none.low) == (0, None, None)
     plan = metrics.poisson_interval(df, 2000)._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_requests_bring_one_name(spark):
+    rows = [(1, None, "plain"), (2, [], "plain"), (3, ["a"], "plain"), (4, ["a", "b"], "plain"), (5, [], "loud")]
+    req = spark.createDataFrame(rows, "id int, names array<string>, mode string").selectExpr("*", "64 AS width", "64 AS height", "8 AS max_new_tokens")
+    got = {x.id: x.finding for x in rules.validate_requests(req).collect()}
+    assert got[1] is None and got[3] is None and got[2] == got[4] and "exactly one name" in got[2] and got[5].startswith("mode loud")
+
+
+def test_tensor_names_match_three_ways(spark):
+    table = lambda rows: spark.createDataFrame(rows, "artifact string, name string, extra int")
+    listed = table([("a", x, 1) for x in ("w1", "w1", "w2", "w3")] + [("a", None, 1), (None, "w9", 1)])
+    trainable = table([("a", x, 2) for x in ("w1", "w2", "w4")])
+    stored = table([("a", x, 3) for x in ("w1", "w3", "W1")])
+    got = {(x.artifact, x.name): x.finding for x in rules.tensor_findings(listed, trainable, stored).collect()}
+    assert got == {
+        ("a", "w2"): "listed, not in the file",
+        ("a", "w3"): "listed, not trained by the model",
+        ("a", "w4"): "trained by the model, not listed",
+        ("a", "W1"): "in the file alone",
+    }
+    assert rules.tensor_findings(table([]), table([]), table([])).count() == 0
+
+
+def test_unknown_keys_and_recorded_digests(spark):
+    given = spark.createDataFrame([(1, "lr"), (1, "seed"), (2, None), (2, "seed")], "run int, key string")
+    known = spark.createDataFrame([("lr",)], "key string")
+    assert sorted((x.run, x.key or "") for x in rules.unknown_keys(given, known).collect()) == [(1, "seed"), (2, ""), (2, "seed")]
+    files = spark.createDataFrame([("r", 2, "w", "late"), ("r", 1, "w", "early"), ("r", 0, "x", "no"), ("s", 0, "x", "no")], "root string, pos int, path string, sha256 string")
+    assert {x.root: x.sha256 for x in readers.recorded_digests(files, "w").collect()} == {"r": "early", "s": None}
