@@ -219,6 +219,28 @@ def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, pa
     )
 
 
+def recipe_intervals(scored: DataFrame, default: str, resamples: int = 2000, seed: int = 0, measure: str = "cer", config: str = "config", pos: str = "pos") -> DataFrame:
+    """A row of poisson_interval() for each configuration (column `pair`: `name-default`) against the default's on the same lines.
+
+    scored has a row a configuration and validation line. A configuration without lines, the default's among them, has no
+    interval, so an empty table gives an empty result; lines of one side alone raise. The grid, not the lines, is
+    listed on the driver.
+    """
+    names = sorted(r[0] for r in scored.where(F.col(config).isNotNull()).select(config).distinct().collect())
+    base = scored.where(F.col(config) == default)
+    out = None
+    for name in names if default in names else []:
+        if name == default:
+            continue
+        one = poisson_interval(scored.where(F.col(config) == name), resamples, seed, base, measure, pos=pos)
+        one = one.select(F.lit(f"{name}-{default}").alias("pair"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = poisson_interval(base, 1, seed, base, measure, pos=pos).where("false")
+        out = out.select(F.lit("").alias("pair"), *out.columns)
+    return out
+
+
 def verdict(n: Column | str) -> Column:
     return F.when((F.col(n) if isinstance(n, str) else n) >= MEASURED_LINES, "measured").otherwise("measured-small-sample")
 

@@ -298,6 +298,23 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval(metrics.poisson_interval(_counts(spark, sf_dir, "frozen"), RESAMPLES, paired=_counts(spark, sf_dir, "adapted")))
 
 
+@query(f"""WITH {v.SCORED_SQL}, p AS (SELECT pos, char_edits AS e, ref_chars AS t FROM scored WHERE system = 'adapted'), q AS (SELECT pos, char_edits AS e2, ref_chars AS t2 FROM scored WHERE system = 'frozen'),
+r AS (SELECT 'adapted-frozen' AS pair, * FROM p JOIN q USING (pos) UNION ALL SELECT 'even-frozen', pos, CASE WHEN pos % 2 = 0 THEN e ELSE e2 END, t, e2, t2 FROM p JOIN q USING (pos)),
+h AS (SELECT pair, draw, e, t, e2, t2, (pos * 48271 + draw * 69621) % 2147483647 AS x FROM r, (SELECT unnest(range(0, {RESAMPLES})) AS draw)),
+h2 AS (SELECT * REPLACE ((x * 1583458089) % 2147483647 AS x) FROM h), h3 AS (SELECT * REPLACE ((xor(x, x >> 15) * 784588716) % 2147483647 AS x) FROM h2),
+w AS (SELECT * EXCLUDE (x), {" + ".join(f"(x >= {c})::bigint" for c in metrics.POISSON)} AS w FROM h3),
+d AS (SELECT pair, sum(w * e) / sum(w * t) - sum(w * e2) / sum(w * t2) AS stat FROM w GROUP BY pair, draw), s AS (SELECT pair, list_sort(list(stat)) AS s FROM d GROUP BY pair),
+o AS (SELECT pair, sum(e) / sum(t) - sum(e2) / sum(t2) AS estimate, count(*) AS n_lines FROM r GROUP BY pair)
+SELECT pair, round(estimate, 9) AS estimate, round(s[{int(0.025 * RESAMPLES) + 1}], 9) AS low, round(s[{min(RESAMPLES - 1, int(0.975 * RESAMPLES)) + 1}], 9) AS high, n_lines FROM s JOIN o USING (pair)""")
+def recipe_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations against the frozen one: the adapted readings, and those of the even lines alone."""
+    s = v.systems(spark, sf_dir)
+    edits = s.select("system", "pos", tx.char_distance("reference", "hypothesis").cast("long").alias("char_edits"), F.length("reference").cast("long").alias("ref_chars"))
+    even = edits.where(F.col("system") == F.when(F.col("pos") % 2 == 0, "adapted").otherwise("frozen")).withColumn("system", F.lit("even"))
+    found = metrics.recipe_intervals(edits.where(F.col("system").isin("frozen", "adapted")).unionByName(even), "frozen", RESAMPLES, config="system")
+    return found.select("pair", _r("estimate"), _r("low"), _r("high"), "n_lines")
+
+
 _STRIP_SQL = v.collapse_sql(r"regexp_replace(regexp_replace(regexp_replace(html, '<loc_([0-9]+)>', ' ', 'g'), '<(?:fcel|ecel|ched|rhed|srow|lcel|ucel|xcel|nl)>', ' ', 'g'), '</?([a-z_]+(?:_[0-9]+)?)>', ' ', 'g')")
 
 

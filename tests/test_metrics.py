@@ -65,6 +65,18 @@ def test_bootstrap_equals_plain_loop(spark):
         metrics.bootstrap_interval(a, drawn, b.where("pos > 0")).collect()
 
 
+def test_recipe_intervals(spark):
+    rows = [(c, i, (i * k) % 5, 9) for c, k in (("G1", 2), ("G2", 3), ("G3", 2)) for i in range(30)]
+    scored = spark.createDataFrame([*rows, (None, 0, 1, 9)], "config string, pos long, char_edits long, ref_chars long")
+    got = {x.pair: x for x in metrics.recipe_intervals(scored, "G1", 200).collect()}
+    assert set(got) == {"G2-G1", "G3-G1"} and got["G3-G1"].low == got["G3-G1"].high == 0 and got["G2-G1"].low < got["G2-G1"].high
+    one = metrics.poisson_interval(scored.where("config = 'G2'"), 200, paired=scored.where("config = 'G1'")).first()
+    assert (one.low, one.high, one.n_lines) == (got["G2-G1"].low, got["G2-G1"].high, 30)
+    assert metrics.recipe_intervals(scored, "G9").count() == 0 and metrics.recipe_intervals(scored.where("false"), "G1").count() == 0
+    with pytest.raises(Exception, match="same lines"):
+        metrics.recipe_intervals(scored.where("config != 'G2' or pos > 0"), "G1", 200).collect()
+
+
 def test_selection(spark):
     h = [("G1", 0, 1.0), ("G1", 1, 0.5), ("G2", 0, 1.0), ("G2", 1, 0.49), ("G3", 0, 1.0), ("G3", 1, 0.48)]
     history = spark.createDataFrame(h, "config string, epoch int, cer double")
