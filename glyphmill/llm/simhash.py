@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,16 +62,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int, classes: np.ndarray | None = None):
+def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int, classes: np.ndarray | None = None, also: np.ndarray | None = None):
     """Index pairs (i, j) within budget bits, in chunks; each run [starts, ends) is a subtree of the sorted keys.
 
+    Runs are joined with themselves; those numbered in `also` with the run behind them too.
+
     A node is a range of keys that share their first bits. Pairs of nodes go down together; a
     pair that takes different branches has one more differing bit, and is pruned beyond the budget.
     With classes, pairs of nodes whose keys are all of one class are pruned too.
     """
     ones: dict[int, np.ndarray] = {}
     turns = None if classes is None else np.concatenate([np.zeros(1, np.int64), np.cumsum(np.r_[False, classes[1:] != classes[:-1]])])
-    stack = [(depth, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
+    many = ends - starts > 1
+    stack = [(depth, starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int8))]
+    if also is not None:
+        stack.append((depth, starts[also], ends[also], starts[also + 1], ends[also + 1], np.zeros(len(also), np.int8)))
     while stack:
         d, a0, a1, b0, b1, err = stack.pop()
         if turns is not None and len(a0):
@@ -197,9 +205,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: Of near_copies(), for fingerprints of two words: bits of a block, its least certain bits that are
-#: tried both ways, and the most differing bits of the first word and of both.
-WIDE, FLIPS, FIRST, BOTH = 18, 3, 20, 30
+class Layout(NamedTuple):
+    """Of near_copies(): bits of a block, how many of them, the least certain ones, are tried both ways, and blocks."""
+
+    width: int
+    flips: int
+    blocks: int
+
+    @property
+    def words(self) -> int:
+        """Fingerprint words of 64 bits that the blocks take."""
+        return max(2, -(-self.width * self.blocks // 64))
+
+
+#: The layouts by growing number of texts. Each finds as many pairs at 0.8 as the first or more; a bucket of the second
+#: holds a 32nd of the rows and one of the third a 256th, for three and four times the keys.
+LAYOUTS = (Layout(18, 3, 7), Layout(24, 4, 10), Layout(27, 4, 15))
+#: Mean rows of a bucket beyond which the next layout is taken.
+BUCKET_ROWS = 4096
+#: The most differing bits of the first fingerprint word and of the first two.
+FIRST, BOTH = 20, 30
 #: Of near_copies(): documents of other classes that a document meets in each of its unflipped buckets before the
 #: rest is settled class by class.
 NEAREST = 4
@@ -223,16 +248,22 @@ def _sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, n
     return h[new], np.searchsorted(owner[new], np.arange(len(off)))
 
 
-def _margins(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """How many more hashes of each text have a bit than lack it, for the 128 bits of two hash words."""
-    out = np.zeros((len(off) - 1, 128), np.int32)
+def layout_for(texts: int, bucket_rows: int = BUCKET_ROWS) -> Layout:
+    """The first layout whose buckets hold bucket_rows or fewer of so many texts on average, else the widest."""
+    return next((x for x in LAYOUTS if texts << x.flips <= bucket_rows << x.width), LAYOUTS[-1])
+
+
+def _margins(h: np.ndarray, off: np.ndarray, words: int = 2) -> np.ndarray:
+    """How many more hashes of each text have a bit than lack it, for the bits of `words` hash words."""
+    out = np.zeros((len(off) - 1, 64 * words), np.int32)
+    step = (1 << 18) // words
     lo = 0
     while lo < len(off) - 1:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 17), "right")) - 1)
-        for at in range(off[lo], off[hi], 1 << 17):  # a text of many words comes in parts
-            own = h[at : min(at + (1 << 17), off[hi])]
-            two = np.stack([own, _vec.mix(own + _vec.U64(0x9E3779B97F4A7C15))], 1)
-            bits = np.unpackbits(two.astype("<u8").view(np.uint8).reshape(len(own), 16), axis=1, bitorder="little")
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + step, "right")) - 1)
+        for at in range(off[lo], off[hi], step):  # a text of many words comes in parts
+            own = h[at : min(at + step, off[hi])]
+            each = np.stack([own] + [_vec.mix(own + _vec.U64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(1, words)], 1)
+            bits = np.unpackbits(each.astype("<u8").view(np.uint8).reshape(len(own), 8 * words), axis=1, bitorder="little")
             some = np.flatnonzero(np.diff(off[lo : hi + 1])) + lo
             if hi == lo + 1:
                 out[lo] += 2 * bits.sum(axis=0, dtype=np.int32) - len(own)
@@ -242,77 +273,92 @@ def _margins(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weak(margins: np.ndarray) -> np.ndarray:
-    """The FLIPS least certain bits of each block, by their places in the block."""
-    blocks = margins.shape[1] // WIDE
-    part = margins[:, : blocks * WIDE].reshape(len(margins), blocks, WIDE)
-    return np.argsort(np.abs(part), axis=2, kind="stable")[:, :, :FLIPS]
+def _weak(margins: np.ndarray, lay: Layout) -> np.ndarray:
+    """The least certain bits of each block, by their places in the block."""
+    part = margins[:, : lay.blocks * lay.width].reshape(len(margins), lay.blocks, lay.width)
+    return np.argsort(np.abs(part), axis=2, kind="stable")[:, :, : lay.flips]
 
 
-def probes(margins: np.ndarray) -> np.ndarray:
-    """Bucket keys of each text: every block as it is and with its FLIPS least certain bits the other way."""
-    n, blocks = len(margins), margins.shape[1] // WIDE
-    part = margins[:, : blocks * WIDE].reshape(n, blocks, WIDE)
-    value = ((part > 0) << np.arange(WIDE)).sum(axis=2) | np.arange(blocks) << WIDE
-    weak = 1 << _weak(margins)
-    masks = np.stack([sum((weak[:, :, k] for k in range(FLIPS) if i >> k & 1), np.zeros_like(value)) for i in range(1 << FLIPS)], 2)
+def probes(margins: np.ndarray, lay: Layout = LAYOUTS[0]) -> np.ndarray:
+    """Bucket keys of each text: every block as it is and with its least certain bits the other way."""
+    n = len(margins)
+    part = margins[:, : lay.blocks * lay.width].reshape(n, lay.blocks, lay.width)
+    value = ((part > 0) << np.arange(lay.width)).sum(axis=2) | np.arange(lay.blocks) << lay.width
+    weak = 1 << _weak(margins, lay)
+    masks = np.stack([sum((weak[:, :, k] for k in range(lay.flips) if i >> k & 1), np.zeros_like(value)) for i in range(1 << lay.flips)], 2)
     return (value[:, :, None] ^ masks).reshape(n, -1)
 
 
-def weak_bits(margins: np.ndarray) -> np.ndarray:
-    """The bits that probes() tries both ways, as masks of two words."""
-    out = np.zeros((len(margins), 128), bool)
-    weak = _weak(margins) + np.arange(128 // WIDE)[:, None] * WIDE
+def weak_bits(margins: np.ndarray, lay: Layout = LAYOUTS[0]) -> np.ndarray:
+    """The bits that probes() tries both ways, as masks of fingerprint words."""
+    out = np.zeros(margins.shape, bool)
+    weak = _weak(margins, lay) + np.arange(lay.blocks)[:, None] * lay.width
     np.put_along_axis(out, weak.reshape(len(margins), -1), True, 1)
     return np.packbits(out, axis=1, bitorder="little").view("<i8")
 
 
-def _block(words: tuple[np.ndarray, np.ndarray], b: int) -> np.ndarray:
-    """The bits of block b of two fingerprint words."""
-    at = b * WIDE
-    if at >= 64:
-        v = words[1] >> np.uint64(at - 64)
-    elif at + WIDE <= 64:
-        v = words[0] >> np.uint64(at)
-    else:
-        v = words[0] >> np.uint64(at) | words[1] << np.uint64(64 - at)
-    return v & np.uint64((1 << WIDE) - 1)
+def _block(words: tuple, b: int, width: int) -> np.ndarray:
+    """The bits of block b of fingerprint words."""
+    word, at = divmod(b * width, 64)
+    v = words[word] >> np.uint64(at)
+    if at + width > 64:
+        v = v | words[word + 1] << np.uint64(64 - at)
+    return v & np.uint64((1 << width) - 1)
 
 
-def first_meeting(key: np.ndarray, differ: tuple, either: tuple, both: tuple) -> np.ndarray:
+def first_meeting(key: np.ndarray, differ: tuple, either: tuple, both: tuple, lay: Layout = LAYOUTS[0]) -> np.ndarray:
     """Which pairs meet in bucket `key` first: each pair that shares buckets does so in exactly one of them.
 
     A pair shares a block's buckets if it differs there in bits only that one of them flips; the keys they share have
     the bits that both flip either way, and the one with zeros there counts, in the lowest such block.
     """
-    block, value = key >> WIDE, (key & ((1 << WIDE) - 1)).astype(np.uint64)
+    block, value = key >> lay.width, (key & ((1 << lay.width) - 1)).astype(np.uint64)
     firm = tuple(d & ~e for d, e in zip(differ, either))
     ok = np.ones(len(key), bool)
-    for b in range(128 // WIDE):
-        ok &= (block <= b) | (_block(firm, b) != 0)
-        ok &= (block != b) | (value & _block(both, b) == 0)
+    for b in range(lay.blocks):
+        ok &= (block <= b) | (_block(firm, b, lay.width) != 0)
+        ok &= (block != b) | (value & _block(both, b, lay.width) == 0)
     return ok
 
 
-def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, mark, n, f0, f1, w0, w1, keys): a hash of the shingle set, its size, two fingerprint words, their flipped bits, bucket keys."""
+def _words(prefix: str, lay: Layout) -> list[str]:
+    return [f"{prefix}{i}" for i in range(lay.words)]
+
+
+def _runs(key: np.ndarray, n: np.ndarray, f0: np.ndarray, similarity: float):
+    """(order, starts, ends, also) of rows by bucket, step of set size and f0; `also` numbers the runs that the bucket's next step follows.
+
+    Steps are as wide as sizes of similar sets can differ, so each similar pair is of one step or of two neighbours.
+    """
+    width = max(math.log(1 / similarity) * (1 + 1e-9), 1e-9)
+    step = np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
+    order = np.lexsort((f0, step, key))
+    key, step = key[order], step[order]
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (step[1:] != step[:-1])])
+    ends = np.r_[starts[1:], len(key)]
+    k, t = key[starts], step[starts]
+    return order, starts, ends, np.flatnonzero((k[1:] == k[:-1]) & (t[1:] == t[:-1] + 1))
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int, lay: Layout) -> DataFrame:
+    """(doc_id, mark, n, f0, f1, ..., w0, w1, ..., keys): a hash of the shingle set, its size, fingerprint words, their flipped bits, bucket keys."""
 
     def run(batches):
         for b in batches:
             for at, buf, off in _vec.pieces(b.column(1)):
                 h, ends = _sets(buf, off, shingle)
                 total = np.concatenate([np.zeros(1, _vec.U64), np.cumsum(_vec.mix(h), dtype=np.uint64)])
-                m = _margins(h, ends)
+                m = _margins(h, ends, lay.words)
                 f = np.packbits(m > 0, axis=1, bitorder="little").view("<i8")
-                keys, weak = probes(m), weak_bits(m)
+                keys, weak = probes(m, lay), weak_bits(m, lay)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(off) - 1), pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), *(pa.array(x[:, i]) for x in (f, weak) for i in (0, 1)), lists],
-                    ["doc_id", "mark", "n", "f0", "f1", "w0", "w1", "keys"],
+                    [b.column(0).slice(at, len(off) - 1), pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32)), *(pa.array(x[:, i]) for x in (f, weak) for i in range(lay.words)), lists],
+                    ["doc_id", "mark", "n", *_words("f", lay), *_words("w", lay), "keys"],
                 )
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, mark long, n int, f0 long, f1 long, w0 long, w1 long, keys array<int>")
+    return kept.mapInArrow(run, "doc_id long, mark long, n int, " + "".join(f"{c} long, " for c in _words("f", lay) + _words("w", lay)) + "keys array<int>")
 
 
 def _proposals(buckets: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -325,13 +371,10 @@ def _proposals(buckets: DataFrame, similarity: float, most: int) -> DataFrame:
         for t in _vec.in_groups(batches, ["key"]):
             key, ids, class_, n = (t[x].to_numpy() for x in ("key", "doc_id", "class", "n"))
             f0, f1 = t["f0"].to_numpy().view(np.uint64), t["f1"].to_numpy().view(np.uint64)
-            order = np.lexsort((f0, key))
-            key, ids, class_, n, f0, f1 = (x[order] for x in (key, ids, class_, n, f0, f1))
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            end = np.r_[edge[1:], len(key)]
-            many = end - edge > 1
+            order, starts, ends, also = _runs(key, n, f0, similarity)
+            ids, class_, n, f0, f1 = (x[order] for x in (ids, class_, n, f0, f1))
             low, high, far = (np.zeros(0, np.int64) for _ in range(3))
-            for i, j in trie_pairs(f0, edge[many], end[many], 0, FIRST, class_):
+            for i, j in trie_pairs(f0, starts, ends, 0, FIRST, class_, also):
                 bits = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j])
                 ok = (bits <= BOTH) & (class_[i] != class_[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 i, j, bits = i[ok], j[ok], bits[ok].astype(np.int64)
@@ -353,8 +396,8 @@ def _nearest(low: np.ndarray, high: np.ndarray, far: np.ndarray, ids: np.ndarray
     return low[rank < most], high[rank < most], far[rank < most]
 
 
-def _asked(buckets: DataFrame, similarity: float) -> DataFrame:
-    """buckets(key, doc_id, n, f0, f1, w0, w1, class, size) -> (x, class): documents with a class that holds candidates of theirs.
+def _asked(buckets: DataFrame, similarity: float, lay: Layout) -> DataFrame:
+    """buckets(key, doc_id, n, f0, f1, ..., w0, w1, ..., class, size) -> (x, class): documents with a class that holds candidates of theirs.
 
     Every pair of different classes within the bit budgets counts, in the first bucket that it shares; the document
     of the smaller class asks. A class is asked about once a bucket, however many of its members are near.
@@ -363,18 +406,16 @@ def _asked(buckets: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for t in _vec.in_groups(batches, ["key"]):
             key, ids, class_, n, size = (t[x].to_numpy() for x in ("key", "doc_id", "class", "n", "size"))
-            f0, f1, w0, w1 = (t[x].to_numpy().view(np.uint64) for x in ("f0", "f1", "w0", "w1"))
-            order = np.lexsort((f0, key))
-            key, ids, class_, n, size, f0, f1, w0, w1 = (x[order] for x in (key, ids, class_, n, size, f0, f1, w0, w1))
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            end = np.r_[edge[1:], len(key)]
-            many = end - edge > 1
+            order, starts, ends, also = _runs(key, n, t["f0"].to_numpy().view(np.uint64), similarity)
+            key, ids, class_, n, size = (x[order] for x in (key, ids, class_, n, size))
+            f, w = ([t[x].to_numpy().view(np.uint64)[order] for x in _words(c, lay)] for c in "fw")
+            f0, f1 = f[:2]
             out = np.zeros((0, 2), np.int64)
-            for i, j in trie_pairs(f0, edge[many], end[many], 0, FIRST, class_):
+            for i, j in trie_pairs(f0, starts, ends, 0, FIRST, class_, also):
                 ok = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= BOTH) & (class_[i] != class_[j])
                 ok &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
-                ok = first_meeting(key[i], (f0[i] ^ f0[j], f1[i] ^ f1[j]), (w0[i] | w0[j], w1[i] | w1[j]), (w0[i] & w0[j], w1[i] & w1[j]))
+                ok = first_meeting(key[i], [x[i] ^ x[j] for x in f], [x[i] | x[j] for x in w], [x[i] & x[j] for x in w], lay)
                 i, j = i[ok], j[ok]
                 asks = (size[i] < size[j]) | ((size[i] == size[j]) & (class_[i] > class_[j]))
                 new = np.stack([ids[np.where(asks, i, j)], class_[np.where(asks, j, i)]], 1)
@@ -482,13 +523,15 @@ def _star_links(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("a"), F.col("root").alias("b"))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id reached over links; rows without an id have none).
 
     Two texts are linked if the sets of their word shingles have a Jaccard similarity of at least
-    `similarity`. Candidates come from the binary-trie self-join of 128-bit SimHash fingerprints: of
-    texts of similarity 0.8 about 19 bits differ, mostly uncertain ones, so each of seven blocks leads
-    to its bucket as it is and with its three least certain bits the other way. The exact similarity of
+    `similarity`. Candidates come from the binary-trie self-join of SimHash fingerprints: of
+    texts of similarity 0.8 about 19 of 128 bits differ, mostly uncertain ones, so each block (seven of 18 bits) leads
+    to its bucket as it is and with its three least certain bits the other way. Where buckets would hold over bucket_rows
+    rows on average, more blocks of more bits are taken (LAYOUTS), so that buckets stay short as the table grows. In a bucket
+    only sets of sizes that the similarity allows meet. The exact similarity of
     a candidate then decides. In the blocks as they are each document first meets its nearest smaller id, then the
     NEAREST nearest of other classes; these two rounds bring dense groups together with a few pairs a document. What
     is left is settled whole: for every candidate pair of different classes, in any bucket, the document of the smaller
@@ -501,13 +544,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     if not 0.6 <= similarity <= 1:
         raise ValueError("similarity must be between 0.6 and 1")
     _io.small_batches(docs.sparkSession)
-    marks = _io.cut(_wide(docs, id_col, text_col, shingle))
+    lay = layout_for(docs.count(), bucket_rows)
+    bits = [*_words("f", lay), *_words("w", lay)]
+    marks = _io.cut(_wide(docs, id_col, text_col, shingle, lay))
     reps = _io.cut(
-        marks.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("f0", "f1", "w0", "w1", "keys")))
+        marks.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in (*bits, "keys")))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = reps.where("n > 0").select(F.col("rep").alias("doc_id"), "n", "f0", "f1", "w0", "w1", "keys")
-    own = F.filter("keys", lambda k, i: i % (1 << FLIPS) == 0)  # the blocks as they are
+    rows = reps.where("n > 0").select(F.col("rep").alias("doc_id"), "n", *bits, "keys")
+    own = F.filter("keys", lambda k, i: i % (1 << lay.flips) == 0)  # the blocks as they are
     near = _io.cut(_proposals(rows.select(F.explode(own).alias("key"), "doc_id", "n", "f0", "f1", F.col("doc_id").alias("class")), similarity, 1).distinct())
     links = _similar(near, texts, shingle, similarity)
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -517,8 +562,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = _io.cut(rows.join(stars, F.col("doc_id") == F.col("u"), "left").withColumn("class", F.coalesce("root", "doc_id")).drop("u", "root"))
     sizes = stars.groupBy(F.col("root").alias("of")).agg((F.count("*") + 1).cast("int").alias("size"))
-    sized = known.join(sizes, F.col("class") == F.col("of"), "left").select(F.explode("keys").alias("key"), "doc_id", "n", "f0", "f1", "w0", "w1", "class", F.coalesce("size", F.lit(1)).alias("size"))
-    asked = _io.cut(_asked(sized, similarity).distinct())
+    sized = known.join(sizes, F.col("class") == F.col("of"), "left").select(F.explode("keys").alias("key"), "doc_id", "n", *bits, "class", F.coalesce("size", F.lit(1)).alias("size"))
+    asked = _io.cut(_asked(sized, similarity, lay).distinct())
     links = _star_links(stars).unionByName(_answered(asked, known.select("doc_id", "n", "class"), texts, shingle, similarity))
     stars = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = reps.join(stars, F.col("rep") == F.col("u"), "left").select(F.col("mark").alias("mark_"), F.col("n").alias("n_"), F.coalesce("root", "rep").alias("class_id"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from glyphmill.llm import simhash
@@ -89,7 +90,7 @@ def jaccard_roots(texts, similarity):
     return {i: find(i) for i in sets}
 
 
-def test_near_copies_against_brute_force(spark):
+def test_near_copies_against_brute_force(spark, monkeypatch):
     """A dense group, chains of growing distance, pairs on both sides of the threshold, short and empty texts."""
     r = random.Random(9)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(3000)] + ["É", "é"]
@@ -113,26 +114,73 @@ def test_near_copies_against_brute_force(spark):
             w[p] = r.choice(vocab)
         docs.append((i, "\t".join(w)))
     docs += [(340, None), (341, ""), (342, " \n"), (343, "One two"), (344, "one TWO"), (345, "one two"), (346, "a a a a a a a a"), (347, "a a a a a")]
-    got = {x.doc_id: x.class_id for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     want = jaccard_roots(dict(docs), 0.8)
     assert len({v for v in want.values()}) < 290
-    wrong = [i for i in want if got[i] != want[i]]
-    assert not wrong, wrong
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for lay in simhash.LAYOUTS:
+        monkeypatch.setattr(simhash, "layout_for", lambda n, rows, lay=lay: lay)
+        got = {x.doc_id: x.class_id for x in simhash.near_copies(table).collect()}
+        wrong = [i for i in want if got[i] != want[i]]
+        assert not wrong, (lay, wrong)
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {x.doc_id for x in kept.collect()} == {i for i, v in want.items() if i == v}
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_pairs_meet_in_exactly_one_bucket():
+def margins(lay, sets, r):
+    """Margins of sets of hashes, each given as a list of shingle numbers."""
+    h = r.integers(0, 2**64, max(max(x) for x in sets) + 1, dtype=np.uint64)
+    off = np.cumsum([0] + [len(x) for x in sets])
+    return simhash._margins(h[np.concatenate(sets)], off, lay.words)
+
+
+@pytest.mark.parametrize("lay", simhash.LAYOUTS)
+def test_pairs_meet_in_exactly_one_bucket(lay):
     rng = np.random.default_rng(4)
-    base = rng.integers(-30, 31, (1, 128))
-    m = (base + rng.integers(-12, 13, (60, 128))).astype(np.int32)
-    keys, bits, weak = simhash.probes(m), np.packbits(m > 0, axis=1, bitorder="little").view("<u8"), simhash.weak_bits(m).view(np.uint64)
+    base = rng.integers(-30, 31, (1, 64 * lay.words))
+    m = (base + rng.integers(-12, 13, (60, 64 * lay.words))).astype(np.int32)
+    keys, bits, weak = simhash.probes(m, lay), np.packbits(m > 0, axis=1, bitorder="little").view("<u8"), simhash.weak_bits(m, lay).view(np.uint64)
+    assert keys.shape[1] == lay.blocks << lay.flips and keys.max() < 2**31
     shared = 0
     for i in range(len(m)):
         for j in range(i):
             both = np.intersect1d(keys[i], keys[j])
-            two = [tuple(np.repeat(w, len(both)) for w in x) for x in (bits[i] ^ bits[j], weak[i] | weak[j], weak[i] & weak[j])]
-            assert simhash.first_meeting(both, *two).sum() == (len(both) > 0)
+            three = [[np.repeat(w, len(both)) for w in x] for x in (bits[i] ^ bits[j], weak[i] | weak[j], weak[i] & weak[j])]
+            assert simhash.first_meeting(both, *three, lay).sum() == (len(both) > 0)
             shared += len(both) > 1
     assert shared > 100
+
+
+@pytest.mark.parametrize("lay", simhash.LAYOUTS)
+def test_pairs_at_the_threshold_meet(lay):
+    """Of pairs of sets at 0.8 exactly, 97 of 100 share a bucket in every layout, and all but a few at 0.9."""
+    r = np.random.default_rng(11)
+    for common, own, least in ((288, 36, 0.97), (306, 17, 0.995)):
+        sets = [np.r_[np.arange(common), common + own * k + np.arange(own)] + i * 400 for i in range(400) for k in range(2)]
+        keys = simhash.probes(margins(lay, sets, r), lay)
+        met = np.mean([len(np.intersect1d(keys[2 * i], keys[2 * i + 1])) > 0 for i in range(400)])
+        assert met >= least, (lay, common, met)
+
+
+def test_layout_follows_the_number_of_texts():
+    """Buckets hold BUCKET_ROWS on average at most, up to 34 thousand million texts."""
+    assert [simhash.LAYOUTS.index(simhash.layout_for(n)) for n in (0, 1, 10**8, 10**9, 4 * 10**9, 10**10, 10**12)] == [0, 0, 0, 1, 1, 2, 2]
+    for n in (10**6, 10**8, 10**9, 3 * 10**10):
+        lay = simhash.layout_for(n)
+        assert n * 2**lay.flips / 2**lay.width <= simhash.BUCKET_ROWS
+
+
+def test_runs_join_every_pair_of_similar_sizes():
+    """Buckets of over 100 rows: only pairs of one step of sizes or of neighbours are looked at, and none of similar sizes is left out."""
+    r = np.random.default_rng(6)
+    for rows in (300, 1200):
+        key, n = r.integers(0, 2, rows), np.r_[np.arange(1, 101), (10 ** r.uniform(0, 4.3, rows - 100)).astype(np.int64)]
+        f0 = r.integers(0, 2**63, rows, dtype=np.uint64)
+        order, starts, ends, also = simhash._runs(key, n, f0, 0.8)
+        key, n, f0 = key[order], n[order], f0[order]
+        got = [(i, j) for a, b in simhash.trie_pairs(f0, starts, ends, 0, 64, None, also) for i, j in zip(a.tolist(), b.tolist())]
+        want = {(i, j) for j in range(rows) for i in range(j) if key[i] == key[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
+        assert len(got) == len(set(got)) and want <= set(got)
+        assert len(got) < rows**2 / 4 / 6  # of rows ** 2 / 4 pairs in two buckets
+    same = simhash._runs(np.zeros(3, np.int64), np.array([5, 5, 6]), np.zeros(3, np.uint64), 1.0)
+    assert [e - s for s, e in zip(same[1], same[2])] == [2, 1]
