@@ -1,4 +1,4 @@
-"""Text measures and markup functions as Spark columns; all stay in the JVM."""
+"""Text measures and markup functions as Spark columns; but for edit distances all stay in the JVM."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glyphmill.functions import edits
 
 #: Python's 29 white-space characters as a Java pattern.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -87,27 +90,18 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Unit-cost edits between code points; equal texts are not compared."""
-    r, h = _c(reference), _c(hypothesis)
-    return F.when(r == h, 0).otherwise(F.levenshtein(r, h))
-
+_text_distance = F.arrow_udf(edits.of_texts, T.IntegerType())
+_list_distance = F.arrow_udf(edits.of_lists, T.IntegerType())
 
-def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Unit-cost edits between the items of two arrays of strings.
 
-    Each different item of the pair becomes one character, so the built-in string distance
-    counts items; pairs of over 20,000 different items would leave the safe range and raise.
-    """
-    reference, hypothesis = _c(reference), _c(hypothesis)
+def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Unit-cost edits between code points, worked out for whole Arrow batches of pairs."""
+    return _text_distance(_c(reference), _c(hypothesis))
 
-    def distance(known: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")
-        line = lambda xs: F.array_join(F.transform(xs, code), "")
-        far = F.levenshtein(line(reference), line(hypothesis))
-        return F.when(F.size(known) > 20_000, F.raise_error(F.lit("over 20000 different words in a pair")).cast("int")).otherwise(far)
 
-    return F.when(reference == hypothesis, 0).otherwise(_bound(F.array_distinct(F.concat(reference, hypothesis)), distance))
+def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Unit-cost edits between the items of two arrays of strings, however many different ones there are."""
+    return _list_distance(_c(reference), _c(hypothesis))
 
 
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
