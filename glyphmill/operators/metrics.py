@@ -173,16 +173,32 @@ def bootstrap_interval(scored: DataFrame, drawn: DataFrame, paired: DataFrame |
 _PRIME = (1 << 31) - 1
 #: Where the hash reaches the cumulative probabilities of a Poisson variable of mean 1, as whole numbers.
 POISSON = [round(_PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
-#: Weights that a task works out at once.
-_WEIGHTS = 1 << 22
+#: Weights that a task works out at once: few enough for a core's own memory.
+_WEIGHTS = 1 << 17
+
+
+def _rest(x: np.ndarray) -> None:
+    """x, of at most 62 bits, becomes its rest by _PRIME, in place: of 2^31 - 1 the high bits are added to the low ones."""
+    high = x >> 31
+    x &= _PRIME
+    x += high
+    whole = x.view(np.uint64)
+    np.minimum(whole, (x - _PRIME).view(np.uint64), out=whole)  # a negative one is the larger
 
 
 def poisson_weights(at: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) weights of lines (rows) in resamples (columns): a hash of line, resample and seed; all products fit 63 bits."""
-    x = ((at % _PRIME * 48271)[:, None] + (draws * 69621 + seed * 16807 % _PRIME)[None, :]) % _PRIME
-    x = x * 1583458089 % _PRIME
-    x = (x ^ (x >> 15)) * 784588716 % _PRIME
-    return np.searchsorted(np.array(POISSON), x, "right")
+    x = (at % _PRIME * 48271 % _PRIME)[:, None] + ((draws * 69621 + seed * 16807 % _PRIME) % _PRIME)[None, :]
+    _rest(x)
+    x *= 1583458089
+    _rest(x)
+    x ^= x >> 15
+    x *= 784588716
+    _rest(x)
+    x, out = x.astype(np.int32), np.zeros(x.shape, np.uint8)
+    for c in POISSON:
+        out += x >= c
+    return out
 
 
 def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, paired: DataFrame | None = None, measure: str = "cer", level: float = 0.95, pos: str = "pos") -> DataFrame:
@@ -202,7 +218,7 @@ def poisson_interval(scored: DataFrame, resamples: int = 2000, seed: int = 0, pa
             whole = np.stack([*counts, np.ones(len(at))]).astype(np.float64)
             for i in range(0, len(at), step):
                 w = poisson_weights(at[i : i + step], draws, seed)
-                total[:, :-1] += whole[:, i : i + step] @ w
+                total[:, :-1] += whole[:, i : i + step] @ w.astype(np.float64)
             total[:, -1] += whole.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(draws, -1)), *(pa.array(np.rint(x).astype(np.int64)) for x in total)], ["draw", *names])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import edits
 from glyphmill.functions import text as tx
+from glyphmill.operators import metrics
 
 
 def plain(a, b):
@@ -74,3 +75,15 @@ def test_many_pairs_of_full_lines_in_one_pass():
 def test_columns_in_a_sum(spark):
     df = spark.createDataFrame([("abc", "abd"), ("th", "ht"), ("x", "")], "r string, h string")
     assert df.agg(F.sum(tx.char_distance("r", "h").cast("long"))).first()[0] == 4
+
+
+def test_poisson_weights_at_the_edges_of_the_prime():
+    """The same weights as by division, in bytes: a task's block of them stays small."""
+    prime, draws = metrics._PRIME, np.arange(500)
+    at = np.concatenate([np.arange(200) * 7919 + 10**12, np.arange(400) + prime - 200, [0, 2**62]])
+    for seed in (0, 3):
+        x = ((at % prime * 48271)[:, None] + (draws * 69621 + seed * 16807 % prime)[None, :]) % prime
+        x = x * 1583458089 % prime
+        x = (x ^ (x >> 15)) * 784588716 % prime
+        got = metrics.poisson_weights(at, draws, seed)
+        assert got.dtype == np.uint8 and (got == np.searchsorted(np.array(metrics.POISSON), x, "right")).all()
