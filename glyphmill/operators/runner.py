@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +29,24 @@ def batches(records: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     return placed.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One frame for each value of batch; rows come sorted by it, and a batch goes on from one frame to the next."""
+def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames that hold whole batches only, and where each batch starts, with the end; rows come sorted by batch."""
     held = None
     for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame])
-        edges = [0, *(frame["batch"].to_numpy()[1:] != frame["batch"].to_numpy()[:-1]).nonzero()[0] + 1]
-        for a, b in zip(edges, edges[1:]):
-            yield frame.iloc[a:b].reset_index(drop=True)
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        edges = [0, *((frame["batch"].to_numpy()[1:] != frame["batch"].to_numpy()[:-1]).nonzero()[0] + 1).tolist()]
         held = frame.iloc[edges[-1] :]
+        if len(edges) > 1:
+            yield frame.iloc[: edges[-1]].reset_index(drop=True), edges
     if held is not None and len(held):
-        yield held.reset_index(drop=True)
+        yield held.reset_index(drop=True), [0, len(held)]
+
+
+def whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame for each value of batch; rows come sorted by it, and a batch goes on from one frame to the next."""
+    for frame, edges in _whole(frames):
+        for a, b in zip(edges, edges[1:]):
+            yield frame.iloc[a:b].reset_index(drop=True)
 
 
 def with_progress(spark: SparkSession, action: Callable[[], object], progress: Callable[[int, int], None], every: float = 0.2) -> object:
@@ -92,15 +100,20 @@ def transcribe(records: DataFrame, make_runner: Callable[[], Runner], stop: str
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runner = None
-        for part in whole_batches(frames):
-            runner = runner or make_runner()
-            got = runner(part)
-            if len(got) != len(part) or not {"text", "new_tokens"} <= set(got.columns):
-                raise Refused(f"the recogniser gave {len(got)} rows {list(got.columns)} for {len(part)} records")
-            out = part[keep].copy()
+        for whole, edges in _whole(frames):
+            texts, tokens = [], []
+            for a, b in zip(edges, edges[1:]):
+                part = whole.iloc[a:b].reset_index(drop=True)
+                runner = runner or make_runner()
+                got = runner(part)
+                if len(got) != len(part) or not {"text", "new_tokens"} <= set(got.columns):
+                    raise Refused(f"the recogniser gave {len(got)} rows {list(got.columns)} for {len(part)} records")
+                texts.append(got["text"].to_numpy())
+                tokens.append(got["new_tokens"].to_numpy())
+            out = whole[keep].copy()
             if has_reference:
-                out["reference"] = part["text"]
-            out["text"], out["new_tokens"] = got["text"].to_numpy(), got["new_tokens"].to_numpy()
+                out["reference"] = whole["text"]
+            out["text"], out["new_tokens"] = np.concatenate(texts), np.concatenate(tokens)
             yield out
 
     said = records.mapInPandas(run, T.StructType(fields))

@@ -281,3 +281,12 @@ def test_own_row_groups_of_many_files(spark, tmp_path):
     whole = "".join(f"text {i} é" for i in range(50)).encode()
     got = catalogue_runs.own_row_groups(spark, str(tmp_path)).collect()
     assert [tuple(x) for x in got] == [(0, 50, len(whole), hashlib.sha256(whole).hexdigest())]
+
+
+def test_a_recogniser_s_calls_leave_in_whole_frames():
+    """Batches of seven go out together, not one small frame a call; one that goes on in the next frame stays whole."""
+    frames = [pd.DataFrame({"batch": [i // 7 for i in range(a, b)], "pos": range(a, b)}) for a, b in ((0, 30), (30, 33), (33, 70))]
+    got = list(runner._whole(iter(frames)))
+    assert [len(f) for f, _ in got] == [28, 35, 7] and [e[-1] for _, e in got] == [28, 35, 7]
+    assert [len(f) for f in runner.whole_batches(iter(frames))] == [7] * 10
+    assert pd.concat([f for f, _ in got])["pos"].tolist() == list(range(70))
