@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pairs that go together, items of either side at once, widest band in words of 64 bits, longest side in a band, most kinds of items in a table, fewest pairs a word.
-PAIRS, ITEMS, WIDEST, LONGEST, KINDS, FEW = 2048, 1 << 20, 16, 1 << 11, 128, 16
+PAIRS, ITEMS, WIDEST, LONGEST, KINDS, FEW = 2048, 1 << 21, 16, 1 << 11, 128, 16
 _ONE = np.uint64(1)
 
 
