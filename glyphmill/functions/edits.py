@@ -191,9 +191,22 @@ def of_texts(a: pa.Array, b: pa.Array) -> pa.Array:
     return _nulls(distances(*_points(a), *_points(b)), a, b)
 
 
-def of_lists(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Distances in items of lists; null where a side is."""
+def _items(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items of either side's lists in a row, as numbers of one code, and where each list starts."""
     x, y = a.flatten(), b.flatten()
     codes = pa.concat_arrays([x, y]).dictionary_encode(null_encoding="encode").indices.to_numpy()
     at = [np.append(0, np.cumsum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64) for c in (a, b)]
-    return _nulls(distances(codes[: len(x)], at[0], codes[len(x) :], at[1]), a, b)
+    return codes[: len(x)], at[0], codes[len(x) :], at[1]
+
+
+def of_lists(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distances in items of lists; null where a side is."""
+    return _nulls(distances(*_items(a, b)), a, b)
+
+
+def shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many items two lists have in common, as often as both hold them; null where a side is."""
+    x, x_at, y, y_at = _items(a, b)
+    (x, n), (y, m) = (np.unique(np.repeat(np.arange(len(a)), np.diff(at)) << 32 | c, return_counts=True) for c, at in ((x, x_at), (y, y_at)))
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return _nulls(np.bincount(both >> 32, np.minimum(n[i], m[j]), len(a)), a, b)

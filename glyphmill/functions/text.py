@@ -92,6 +92,7 @@ def words(text: Column | str, lower: bool = True) -> Column:
 
 _text_distance = F.arrow_udf(edits.of_texts, T.IntegerType())
 _list_distance = F.arrow_udf(edits.of_lists, T.IntegerType())
+_list_shared = F.arrow_udf(edits.shared, T.IntegerType())
 
 
 def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
@@ -104,6 +105,11 @@ def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
     return _list_distance(_c(reference), _c(hypothesis))
 
 
+def shared_words(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Items that two arrays of strings have in common, as often as both hold them."""
+    return _list_shared(_c(reference), _c(hypothesis))
+
+
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
     """Edits over reference characters after normalise(); uncapped; an empty reference raises."""
     r, h = normalise(reference), normalise(hypothesis)

@@ -15,11 +15,9 @@ GOOD = 0.2
 
 
 def token_overlap(pairs: DataFrame, key: str = "id") -> DataFrame:
-    """(key, token_precision, token_recall, token_f1) of multisets of lower-cased words; 0 where a side is empty."""
-    each = lambda c, a, b: F.transform(tx.words(c), lambda w: F.struct(w.alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    words = pairs.select(key, F.explode_outer(F.concat(each("reference", 1, 0), each("hypothesis", 0, 1))).alias("x"))
-    counts = words.groupBy(key, "x.w").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    sums = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("o"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    """(key, token_precision, token_recall, token_f1) of multisets of lower-cased words of each pair, a row a pair; 0 where a side is empty."""
+    words = pairs.select(key, tx.words("reference").alias("_r"), tx.words("hypothesis").alias("_h"))
+    sums = words.select(key, F.coalesce(tx.shared_words("_r", "_h"), F.lit(0)).alias("o"), F.size("_r").alias("a"), F.size("_h").alias("b"))
     rate = lambda n: F.when(F.col(n) > 0, F.col("o") / F.col(n)).otherwise(F.lit(0.0))
     out = sums.withColumns({"token_precision": rate("b"), "token_recall": rate("a")})
     p, r = F.col("token_precision"), F.col("token_recall")

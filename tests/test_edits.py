@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import edits
 from glyphmill.functions import text as tx
-from glyphmill.operators import metrics
+from glyphmill.operators import compare, metrics
 
 
 def plain(a, b):
@@ -87,3 +87,12 @@ def test_poisson_weights_at_the_edges_of_the_prime():
         x = (x ^ (x >> 15)) * 784588716 % prime
         got = metrics.poisson_weights(at, draws, seed)
         assert got.dtype == np.uint8 and (got == np.searchsorted(np.array(metrics.POISSON), x, "right")).all()
+
+
+def test_shared_words_need_no_shuffle(spark):
+    lists = pa.array([["a", "a", "b"], [], None, ["x"]]), pa.array([["a", "b", "b", "a"], ["c"], ["d"], ["x", "x"]])
+    assert edits.shared(*lists).to_pylist() == [3, 0, None, 1]
+    df = spark.createDataFrame([(1, "A b a", "a c"), (2, "", "x"), (3, None, "x")], "id int, reference string, hypothesis string")
+    out = compare.token_overlap(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(x.token_precision, round(x.token_recall, 6), x.token_f1) for x in out.orderBy("id").collect()] == [(0.5, 0.333333, 0.4), (0, 0, 0), (0, 0, 0)]
