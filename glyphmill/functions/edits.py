@@ -1,74 +1,81 @@
 """Unit-cost edit distances of many pairs at once, bit-parallel, in Arrow batches.
 
-Where one side begins the other, their lengths tell. Else a word of bits holds 64 diagonals of the pair's matrix,
-and a column is a few operations on whole arrays of pairs. A distance inside the band is exact if no path outside can be
-shorter; the other pairs go again with a band of twice the width.
+Where one side begins the other, their lengths tell; of others, equal beginnings and ends are left out. A word of bits
+holds 16, 32 or 64 diagonals of the pair's matrix, and a column is a few operations on whole arrays of pairs. A distance inside the
+band is exact if no path outside can be shorter; the other pairs go again with a band of twice the width.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pairs that go together, items of either side at once, widest band in words of 64 bits, longest side in a band, most kinds of items in a table, fewest pairs a word.
-PAIRS, ITEMS, WIDEST, LONGEST, KINDS, FEW = 2048, 1 << 21, 16, 1 << 11, 128, 16
-_ONE = np.uint64(1)
+#: Pairs that go together, items of either side at once, widest band in words of 64 bits, longest side in a band, most kinds of items in a table, fewest pairs a word, fewest
+#: pairs that are worth columns of their own.
+PAIRS, ITEMS, WIDEST, LONGEST, KINDS, FEW, APART = 1 << 13, 1 << 24, 16, 1 << 11, 128, 16, 512
 
 
 def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ... n places of each."""
     ends = np.cumsum(n)
-    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+    size = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if size and int(start.max()) + size < 1 << 31 else np.int64
+    out = np.repeat((start - ends + n).astype(kind), n)
+    out += np.arange(size, dtype=kind)
+    return out
 
 
-def _table(p: np.ndarray, kinds: int) -> np.ndarray:
+def _table(p: np.ndarray, kinds: int, kind: type) -> np.ndarray:
     """(word, kind, row): the places of each kind of item in the rows of p, as bits."""
-    out = np.empty((p.shape[1] // 64, kinds, len(p)), np.uint64)
+    out = np.empty((p.shape[1] // (8 * kind().itemsize), kinds, len(p)), kind)
     for k in range(kinds):
-        out[:, k] = np.packbits((p == k).reshape(-1), bitorder="little").view(np.uint64).reshape(len(p), -1).T
+        out[:, k] = np.packbits((p == k).reshape(-1), bitorder="little").view(kind).reshape(len(p), -1).T
     return out
 
 
-def _matches(t: np.ndarray, p: np.ndarray, alive: np.ndarray, kinds: int, width: int):
-    """A column after the other: which of the 64 * width rows in the band hold its item, (word, pair).
+def _matches(t: np.ndarray, p: np.ndarray, alive: np.ndarray, kinds: int, width: int, kind: type):
+    """A column after the other: which of the rows in the band, of width words, hold its item, (word, pair).
 
     Few kinds of items are looked up in a table of their places, else the rows are compared.
     """
+    size = 8 * kind().itemsize
     if kinds > KINDS:
         for c, k in enumerate(alive.tolist()):
-            equal = p[:k, c : c + 64 * width] == t[:k, c : c + 1]
-            yield np.packbits(equal.reshape(-1), bitorder="little").view(np.uint64).reshape(k, width).T
+            equal = p[:k, c : c + size * width] == t[:k, c : c + 1]
+            yield np.packbits(equal.reshape(-1), bitorder="little").view(kind).reshape(k, width).T
         return
-    table = _table(p, kinds).reshape(p.shape[1] // 64, -1)
+    table = _table(p, kinds, kind).reshape(p.shape[1] // size, -1)
     at = t.T.astype(np.int64) * len(p) + np.arange(len(p))
     for c, k in enumerate(alive.tolist()):
-        word, bit = c >> 6, np.uint64(c & 63)
-        found = [table[word + w].take(at[c, :k]) for w in range(width + (c & 63 > 0))]
-        yield [found[w] >> bit | found[w + 1] << np.uint64(64) - bit for w in range(width)] if c & 63 else found
+        word, bit = c // size, c % size
+        found = [table[word + w].take(at[c, :k]) for w in range(width + (bit > 0))]
+        yield [found[w] >> kind(bit) | found[w + 1] << kind(size - bit) for w in range(width)] if bit else found
 
 
-def _banded(text: np.ndarray, i: np.ndarray, n: np.ndarray, pattern: np.ndarray, j: np.ndarray, m: np.ndarray, width: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, whether exact) of n >= m items below kinds, sorted by falling n, in a band of 64 * width diagonals."""
-    bits, delta = 64 * width, n - m
+def _banded(text: np.ndarray, i: np.ndarray, n: np.ndarray, pattern: np.ndarray, j: np.ndarray, m: np.ndarray, width: int, kinds: int, word: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, whether exact) of n >= m items below kinds, sorted by falling n, in a band of width words of diagonals."""
+    size, one = 8 * word().itemsize, word(1)
+    bits, delta = size * width, n - m
     below = (bits - 1 - delta) // 2  # diagonals below the last cell's, and above the first one's
-    kind = np.uint8 if kinds < 1 << 8 else np.uint16 if kinds < 1 << 16 else np.uint32
-    rows = np.repeat(np.arange(len(n)), n)
+    kind = _kind(kinds)
+    rows = np.repeat(np.arange(len(n), dtype=np.int32), n)
     t = np.zeros((len(n), int(n[0])), kind)
     t[rows, _flat(np.zeros_like(n), n)] = text[_flat(i, n)]
-    rows = np.repeat(np.arange(len(n)), m)
-    p = np.full((len(n), -(-int(n[0]) // 64) * 64 + bits), kinds, kind)
+    rows = np.repeat(np.arange(len(n), dtype=np.int32), m)
+    p = np.full((len(n), -(-int(n[0]) // size) * size + bits), kinds, kind)
     p[rows, _flat(delta + below, m)] = pattern[_flat(j, m)]
     # Rows of the matrix from 1 on rise by one in column 0, the rows above it are level.
-    lead = (delta + below)[None, :] - 64 * np.arange(width)[:, None]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    vp = np.where(lead >= 64, np.uint64(0), full << np.clip(lead, 0, 63).astype(np.uint64))
+    lead = (delta + below)[None, :] - size * np.arange(width)[:, None]
+    vp = np.where(lead >= size, word(0), ~word(0) << np.clip(lead, 0, size - 1).astype(word))
     vn = np.zeros_like(vp)
-    word, bit = below // 64, (below % 64).astype(np.uint64)
-    each, hits = np.arange(len(n)), np.zeros(len(n), np.uint64)
-    d, spare = np.empty_like(vp), np.empty((3, len(n)), np.uint64)
+    last, bit = below // size, (below % size).astype(word)
+    each, hits = np.arange(len(n)), np.zeros(len(n), word)
+    d, spare = np.empty_like(vp), np.empty((3, len(n)), word)
     alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")  # pairs that reach a column
-    for k, match in zip(alive.tolist(), _matches(t, p, alive, kinds, width)):
+    for k, match in zip(alive.tolist(), _matches(t, p, alive, kinds, width, word)):
         x, y, z = (o[:k] for o in spare)
         carry = None
         for w in range(width):
@@ -80,12 +87,12 @@ def _banded(text: np.ndarray, i: np.ndarray, n: np.ndarray, pattern: np.ndarray,
                 if carry is not None:
                     now += carry
                     over |= now < carry
-                carry = over.astype(np.uint64)
+                carry = over.astype(word)
             now ^= up
             now |= pm
             now |= vn[w, :k]
-        np.right_shift(d[0, :k] if width == 1 else d[word[:k], each[:k]], bit[:k], out=x)
-        x &= _ONE
+        np.right_shift(d[0, :k] if width == 1 else d[last[:k], each[:k]], bit[:k], out=x)
+        x &= one
         hits[:k] += x
         for w in range(width):
             now, up, down = d[w, :k], vp[w, :k], vn[w, :k]
@@ -93,9 +100,9 @@ def _banded(text: np.ndarray, i: np.ndarray, n: np.ndarray, pattern: np.ndarray,
             np.invert(x, out=x)
             x |= down  # rises along the row
             np.bitwise_and(now, up, out=y)  # falls along the row
-            np.right_shift(now, _ONE, out=z)
+            np.right_shift(now, one, out=z)
             if w + 1 < width:
-                z |= d[w + 1, :k] << np.uint64(63)
+                z |= d[w + 1, :k] << word(size - 1)
             np.bitwise_and(z, x, out=down)
             z |= x
             np.invert(z, out=z)
@@ -125,7 +132,36 @@ def _coded(items: np.ndarray) -> tuple[np.ndarray, int]:
     """items as 0, 1, ..., and how many different ones there are."""
     seen = np.zeros(int(items.max(initial=0)) + 1, bool)
     seen[items] = True
-    return (np.cumsum(seen, dtype=np.int32) - 1)[items], int(seen.sum())
+    kinds = int(seen.sum())
+    return (np.cumsum(seen) - 1).astype(_kind(kinds))[items], kinds
+
+
+def _kind(kinds: int) -> type:
+    """The smallest type that holds the codes and one more."""
+    return np.uint8 if kinds < 1 << 8 else np.uint16 if kinds < 1 << 16 else np.uint32
+
+
+def _groups(n: np.ndarray) -> Iterator[slice]:
+    """Stretches of at most PAIRS falling sizes, none of fewer than half the first one's but for a short rest."""
+    lo = 0
+    while lo < len(n):
+        hi = min(lo + PAIRS, len(n))
+        half = int(np.searchsorted(-n, -(n[lo] // 2), "left"))
+        if half - lo >= APART and hi - half >= APART:
+            hi = half
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _ends(differ: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal items before the first and after the last difference of rows; those without one have n of them after it."""
+    found = np.flatnonzero(differ)
+    start, n = start[rows], n[rows]
+    lo, hi = np.searchsorted(found, start), np.searchsorted(found, start + n)
+    some = hi > lo
+    head = np.where(some, found[np.minimum(lo, len(found) - 1)] - start, n) if len(found) else n
+    tail = np.where(some, start + n - 1 - found[np.maximum(hi, 1) - 1], n) if len(found) else n
+    return head, tail
 
 
 def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
@@ -142,14 +178,41 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
         out[rows] = np.maximum(n, m)  # where a side is empty
         begins = (low > 0) & (apart == 0)
         out[rows[begins]] = np.abs(n - m)[begins]
-        hard = np.flatnonzero(apart > 0)
+        # Of equally long sides, one or two changed items are the distance: less would change fewer.
+        few = (n == m) & (apart > 0) & (apart < 3)
+        out[rows[few]] = apart[few]
+        hard = np.flatnonzero((apart > 0) & ~few)
         both = np.concatenate([a[a_at[rows[0]] : a_at[rows[-1] + 1]], b[b_at[rows[0]] : b_at[rows[-1] + 1]]])
         both, kinds = _coded(both)
         i, j = i - a_at[rows[0]], j - b_at[rows[0]] + (a_at[rows[-1] + 1] - a_at[rows[0]])
         swap = n < m
         i, j, n, m = np.where(swap, j, i), np.where(swap, i, j), np.where(swap, m, n), np.where(swap, n, m)
-        # Items changed place by place bound the distance: such pairs start with a band that holds it.
-        first = np.where((apart <= n // 3) & (apart > 64 - np.abs(n - m)), 2, 1)
+        # Equal beginnings and ends change no distance.
+        head, tail = _ends(differ, np.cumsum(low) - low, low, hard)
+        odd = n[hard] > m[hard]
+        if odd.any():
+            h = hard[odd]
+            back = np.append(both[_flat(i[h] + n[h] - m[h], m[h])] != both[_flat(j[h], m[h])], True)
+            tail[odd] = np.minimum(_ends(back, np.cumsum(m[h]) - m[h], m[h], np.arange(len(h)))[1], m[h] - head[odd])
+        i[hard] += head
+        j[hard] += head
+        n[hard] -= head + tail
+        m[hard] -= head + tail
+        out[rows[hard]] = n[hard]  # where nothing of a side is left
+        hard = hard[m[hard] > 0]
+        # Items changed place by place, and those over, bound the distance: a narrow band that holds it is enough.
+        delta = n - m
+        most = apart + delta
+        for word, bits in ((np.uint16, 16), (np.uint32, 32)):
+            fits = (delta[hard] < bits) & (most[hard] <= 2 * ((bits - 1 - delta[hard]) // 2) + delta[hard] + 1) & (n[hard] <= LONGEST)
+            if np.count_nonzero(fits) < FEW:
+                continue
+            narrow, hard = hard[fits], hard[~fits]
+            narrow = narrow[np.lexsort((m[narrow], -n[narrow]))]
+            for group in _groups(n[narrow]):
+                h = narrow[group]
+                out[rows[h]] = _banded(both, i[h], n[h], both, j[h], m[h], 1, kinds, word)[0]
+        first = np.where((apart <= n // 3) & (apart > 64 - delta), 2, 1)
         later, hard = hard[first[hard] > 1], hard[first[hard] == 1]
         width = 1
         while len(hard) or len(later):
@@ -161,8 +224,8 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
                 out[rows[k]] = _whole(both[i[k] : i[k] + n[k]].tolist(), both[j[k] : j[k] + m[k]].tolist())
             hard = hard[near]
             fits, left = hard[n[hard] - m[hard] < 64 * width], [hard[n[hard] - m[hard] >= 64 * width]]
-            for lo in range(0, len(fits), PAIRS):
-                h = fits[lo : lo + PAIRS]
+            for group in _groups(n[fits]):
+                h = fits[group]
                 far, exact = _banded(both, i[h], n[h], both, j[h], m[h], width, kinds)
                 out[rows[h[exact]]] = far[exact]
                 left.append(h[~exact])
@@ -171,6 +234,26 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
     return out
 
 
+def together(f: Callable, batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """f of each batch, worked out for several at once: a column costs little more for many pairs than for few."""
+    held, size = [], 0
+
+    def done() -> Iterator[pa.Array]:
+        out, at = f(*(pa.concat_arrays(c) for c in zip(*held))), 0
+        for b in held:
+            yield out.slice(at, len(b[0]))
+            at += len(b[0])
+
+    for b in batches:
+        held.append(b)
+        size += sum(c.nbytes for c in b)
+        if size >= ITEMS:
+            yield from done()
+            held, size = [], 0
+    if held:
+        yield from done()
+
+
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and where each text starts."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -204,6 +287,18 @@ def of_lists(a: pa.Array, b: pa.Array) -> pa.Array:
     return _nulls(distances(*_items(a, b)), a, b)
 
 
+def of_words(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distances in words of texts with one space between words; null where a side is."""
+    lists = []
+    for texts in (a, b):
+        none = pc.equal(texts, "")
+        split = pc.split_pattern(texts, " ")
+        n = np.append(0, pc.subtract(pc.list_value_length(split), none.cast(pa.int32())).fill_null(0).to_numpy(zero_copy_only=False)).cumsum()
+        words = split.flatten()
+        lists.append(pa.ListArray.from_arrays(pa.array(n, pa.int32()), words.filter(pc.not_equal(words, "")) if pc.any(none).as_py() else words))
+    return _nulls(distances(*_items(*lists)), a, b)
+
+
 def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many items two lists have in common, as often as both hold them; null where a side is."""
     x, x_at, y, y_at = _items(a, b)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from glyphmill.functions import edits
 
 #: Python's 29 white-space characters as a Java pattern.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: A run of them that is not one plain space.
+_RUN = r"(?U)[\s\x1c-\x1f](?:[\s\x1c-\x1f]++|(?<! ))"
 #: Code points below U+0300 are composed already.
 _COMPOSED = "^[\\x{0}-\\x{2ff}]*$"
 #: Latin-1 but for the micro sign, which folds to a Greek letter.
@@ -44,8 +47,8 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def collapse(text: Column | str) -> Column:
-    """White-space runs as one space, ends stripped."""
-    return F.trim(F.regexp_replace(_c(text), SPACE, " "))
+    """White-space runs as one space, ends stripped; only runs other than one space are replaced."""
+    return F.trim(F.regexp_replace(_c(text), _RUN, " "))
 
 
 def _icu(name: str, method: str, text: Column, flag: bool) -> Column:
@@ -83,15 +86,29 @@ def normalise(text: Column | str) -> Column:
     return collapse(compose(text))
 
 
+def collapsed_words(text: Column | str) -> Column:
+    """Words of a text that is collapsed already; none for an empty text."""
+    return F.array_remove(F.split(_c(text), " "), "")
+
+
 def words(text: Column | str, lower: bool = True) -> Column:
     """Words of a text, split at white space; none for an empty text."""
     text = collapse(text)
-    text = F.lower(text) if lower else text
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return collapsed_words(F.lower(text) if lower else text)
+
+
+def _together(f: Callable) -> Callable:
+    """f of two columns as a function of Spark, for several Arrow batches at once."""
 
+    def of_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return edits.together(f, batches)
 
-_text_distance = F.arrow_udf(edits.of_texts, T.IntegerType())
-_list_distance = F.arrow_udf(edits.of_lists, T.IntegerType())
+    return F.arrow_udf(of_batches, T.IntegerType())
+
+
+_text_distance = _together(edits.of_texts)
+_list_distance = _together(edits.of_lists)
+_words_distance = _together(edits.of_words)
 _list_shared = F.arrow_udf(edits.shared, T.IntegerType())
 
 
@@ -105,6 +122,11 @@ def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
     return _list_distance(_c(reference), _c(hypothesis))
 
 
+def text_word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
+    """word_distance() of the words of two collapsed texts, which go to Python as they are."""
+    return _words_distance(_c(reference), _c(hypothesis))
+
+
 def shared_words(reference: Column | str, hypothesis: Column | str) -> Column:
     """Items that two arrays of strings have in common, as often as both hold them."""
     return _list_shared(_c(reference), _c(hypothesis))

@@ -17,20 +17,21 @@ from glyphmill.functions import text as tx
 MEDOID_POOL, MEASURED_LINES = 120, 50
 
 
-def pair_metrics(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose: bool = False) -> DataFrame:
+def pair_metrics(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose: bool = False, collapsed: bool = False) -> DataFrame:
     """pairs with the columns of one scored pair.
 
-    Rates of an empty reference are null, exact then means an empty hypothesis; compose adds NFC.
+    Rates of an empty reference are null, exact then means an empty hypothesis; compose adds NFC;
+    collapsed tells that neither text has white space but single spaces between words, and none is looked for.
     """
-    norm = tx.normalise if compose else tx.collapse
-    work = pairs.withColumns({"_r": norm(reference), "_h": norm(F.coalesce(F.col(hypothesis), F.lit("")))})
-    work = work.withColumns({"_rw": tx.words("_r"), "_hw": tx.words("_h")})
+    norm = tx.normalise if compose else F.col if collapsed else tx.collapse
+    work = pairs.withColumn("_said", F.coalesce(F.col(hypothesis), F.lit("")))
+    work = work.withColumns({"_r": norm(reference), "_h": norm("_said")})
     work = work.withColumns({
         "ref_chars": F.length("_r").cast("long"),
         "hyp_chars": F.length("_h").cast("long"),
-        "ref_words": F.size("_rw").cast("long"),
+        "ref_words": F.size(tx.collapsed_words("_r")).cast("long"),
         "char_edits": tx.char_distance("_r", "_h").cast("long"),
-        "word_edits": tx.word_distance("_rw", "_hw").cast("long"),
+        "word_edits": tx.text_word_distance(F.lower("_r"), F.lower("_h")).cast("long"),
         "exact": F.col("_r") == F.col("_h"),
     })
     some = F.col("ref_chars") > 0
@@ -39,7 +40,7 @@ def pair_metrics(pairs: DataFrame, reference: str = "reference", hypothesis: str
         "wer": F.when(some, F.col("word_edits") / F.col("ref_words")),
         "length_ratio": F.when(some, F.col("hyp_chars") / F.col("ref_chars")),
         "rate_reason": F.when(~some, F.lit("Empty reference: rates have zero denominators")),
-    }).drop("_r", "_h", "_rw", "_hw")
+    }).drop("_said", "_r", "_h")
 
 
 def join_hypotheses(records: DataFrame, hypotheses: DataFrame, key: str = "id") -> DataFrame:

@@ -96,3 +96,50 @@ def test_shared_words_need_no_shuffle(spark):
     out = compare.token_overlap(df)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(x.token_precision, round(x.token_recall, 6), x.token_f1) for x in out.orderBy("id").collect()] == [(0.5, 0.333333, 0.4), (0, 0, 0), (0, 0, 0)]
+
+
+def test_few_changes_take_narrow_bands(monkeypatch):
+    """Lines with few changes were all worked out in words of 64 diagonals, from their first item to their last."""
+    r = random.Random(4)
+    both = []
+    for _ in range(600):
+        a = [r.choice("abcdefgh ") for _ in range(r.choice([40, 90, 200, 500]))]
+        b = list(a)
+        for _ in range(r.choice([2, 6, 9])):
+            k = r.randrange(len(b) - 1)
+            b[k : k + 2] = r.choice([[b[k + 1], b[k]], ["x", b[k + 1]], [b[k]], [b[k], "y", b[k + 1]]] if r.random() < 0.1 else [[b[k + 1], b[k]], ["x", b[k + 1]]])
+        both.append(("".join(a), "".join(b)))
+    seen, banded = [], edits._banded
+    monkeypatch.setattr(edits, "_banded", lambda *x: seen.append((x[8] if len(x) > 8 else np.uint64, len(x[1]), int(x[2].sum()))) or banded(*x))
+    got = edits.of_texts(*(pa.array(x) for x in zip(*both))).to_pylist()
+    assert got == [plain(a, b) for a, b in both]
+    assert {w for w, *_ in seen} >= {np.uint16, np.uint32}
+    assert sum(n for w, n, _ in seen if w is not np.uint64) > 400 and sum(x for *_, x in seen) < 0.95 * sum(len(a) for a, _ in both)
+
+
+def test_batches_go_together(monkeypatch):
+    calls = []
+    f = lambda a, b: calls.append(len(a)) or edits.of_texts(a, b)
+    batches = [(pa.array(a), pa.array(b)) for a, b in ((["ab", None], ["b", "x"]), ([], []), (["abc"], ["xyz"]))]
+    batches[1] = tuple(c.cast(pa.string()) for c in batches[1])
+    assert [x.to_pylist() for x in edits.together(f, iter(batches))] == [[1, None], [], [3]] and calls == [3]
+    monkeypatch.setattr(edits, "ITEMS", 1)
+    assert [x.to_pylist() for x in edits.together(f, iter(batches))] == [[1, None], [], [3]] and calls == [3, 2, 1]
+    assert list(edits.together(f, iter([]))) == []
+
+
+def test_words_of_texts_as_of_lists():
+    a, b = ["a b c", "", "x", None, "é b"], ["a c", "x y", "", "a", "é c b"]
+    lists = [pa.array([None if t is None else t.split() for t in x], pa.list_(pa.string())) for x in (a, b)]
+    texts = [pa.array(x) for x in (a, b)]
+    assert edits.of_words(*texts).to_pylist() == edits.of_lists(*lists).to_pylist() == [1, 2, 1, None, 1]
+    assert edits.of_words(*(t.slice(1) for t in texts)).to_pylist() == [2, 1, None, 1]
+
+
+def test_collapsed_pairs_look_for_no_white_space(spark):
+    """Every scored line was searched for white space three times more."""
+    df = spark.createDataFrame([("a b", "a  b"), ("", "x"), ("b c", None)], "reference string, hypothesis string")
+    plan = metrics.pair_metrics(df, collapsed=True).select("char_edits", "word_edits", "ref_words")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "lambdafunction" not in plan
+    same = df.where("hypothesis is null or hypothesis = 'x'")
+    assert metrics.pair_metrics(same, collapsed=True).collect() == metrics.pair_metrics(same).collect()

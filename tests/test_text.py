@@ -145,3 +145,10 @@ def test_composition_and_folding_of_all_code_points(spark):
         else:
             assert (x.n, x.f) == (unicodedata.normalize("NFC", x.t), x.t.casefold()) and x.p == any(unicodedata.category(c)[0] == "P" for c in x.t)
     assert "Python" not in df.select(tx.normalise("t"), tx.fold("t"))._jdf.queryExecution().toString()
+
+
+def test_collapse_of_every_white_space_and_run(spark):
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    texts = ["", " ", "  ", "a b", " a", "a  ", *(f"{p}{s}{q}" for s in spaces for p in ("a", "a ", " ", "a\t") for q in ("b", " b", "　b", ""))]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.collapse("t"), tx.words("t", lower=False)).collect()
+    assert {i: (c, list(w)) for i, c, w in got} == {i: (" ".join(t.split()), t.split()) for i, t in enumerate(texts)}
