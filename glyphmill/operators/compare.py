@@ -131,23 +131,22 @@ def resources(runs: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("mean_line_latency_s", F.col("seconds") / F.col("_n")).drop("_n")
 
 
-def word_stretches(pairs: DataFrame) -> DataFrame:
-    """pairs (reference, hypothesis, ...) with r, h (their words) and ops: equal and other stretches, first to last.
+def word_stretches(pairs: DataFrame, texts: bool = True) -> DataFrame:
+    """pairs (reference, hypothesis, ...) with r, h (their words) and ops: equal and other stretches, first to last; texts or without them.
 
     Blocks are the longest matching ones, case kept. Whole batches of pairs go to Python as lists of words; one pair is
     one task's, whose time grows with the product of its lengths.
     """
-    split = pairs.withColumns({"_r": F.coalesce(tx.words("reference", lower=False), F.array().cast("array<string>")), "_h": F.coalesce(tx.words("hypothesis", lower=False), F.array().cast("array<string>"))})
-    keep = split.columns[:-2]
-    both = split.select(*keep, F.col("_r").alias("r"), F.col("_h").alias("h"), "_r", "_h")
-    kind = T.StructType([*both.schema.fields[:-2], T.StructField("ops", T.ArrayType(T.StructType.fromDDL(udf.OPS)))])
+    split = pairs.withColumns({"r": F.coalesce(tx.words("reference", lower=False), F.array().cast("array<string>")), "h": F.coalesce(tx.words("hypothesis", lower=False), F.array().cast("array<string>"))})
+    both = split if texts else split.drop("reference", "hypothesis")
+    kind = T.StructType([*both.schema.fields, T.StructField("ops", T.ArrayType(T.StructType.fromDDL(udf.OPS)))])
     return both.mapInArrow(udf.matched, kind)
 
 
 def word_diff(pairs: DataFrame, limit: int = 10) -> DataFrame:
     """pairs, one row for each of the first word differences (place, op, words of either side)."""
     keep = [c for c in pairs.columns if c not in ("reference", "hypothesis")]
-    found = word_stretches(pairs)
+    found = word_stretches(pairs, texts=False)
     unequal = F.slice(F.filter("ops", lambda o: o.op != "equal"), 1, limit)
     rows = found.select(*keep, "r", "h", F.posexplode(unequal).alias("place", "o"))
     said = lambda words, a, b: F.array_join(F.slice(words, F.col(a) + 1, F.col(b) - F.col(a)), " ")

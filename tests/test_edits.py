@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glyphmill.functions import edits
+from glyphmill.functions import edits, udf
 from glyphmill.functions import text as tx
 from glyphmill.operators import compare, metrics
 
@@ -143,3 +143,32 @@ def test_collapsed_pairs_look_for_no_white_space(spark):
     assert "regexp_replace" not in plan and "lambdafunction" not in plan
     same = df.where("hypothesis is null or hypothesis = 'x'")
     assert metrics.pair_metrics(same, collapsed=True).collect() == metrics.pair_metrics(same).collect()
+
+
+def test_stretches_of_words_as_by_matching_blocks(monkeypatch):
+    """Lines whose words change in place were matched block by block, a pair after the other."""
+    r, rows, calls = random.Random(9), [], []
+    for _ in range(1500):
+        a = [r.choice(["the", "a", "and", "of", "x", "then", "b", "c"]) for _ in range(r.choice([0, 1, 2, 8, 30]))]
+        kind = r.randrange(6)
+        b = [w.replace("th", "ht") for w in a]
+        if kind == 0:
+            b = []
+        elif kind == 1:
+            b = [r.choice(["a", "b", "x"]) if r.random() < 0.2 else w for w in a]
+        elif kind == 2:
+            b = b[r.randrange(3) :] + ["new"] * r.randrange(2)
+        elif kind == 3:
+            b = [w if r.random() < 0.5 else "the" for w in b]
+        rows.append((a, b))
+    kind = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), *(pa.array(x, kind) for x in zip(*rows))], ["id", "r", "h"])
+    want, plainly = [udf.opcodes(a, b) for a, b in rows], udf.opcodes
+    monkeypatch.setattr(udf, "opcodes", lambda a, b: calls.append(1) or plainly(a, b))
+    (got,) = udf.matched(iter([batch]))
+    assert got.column("ops").to_pylist() == want and got.column("id").to_pylist() == list(range(len(rows)))
+    assert 0 < len(calls) < len(rows) * 0.7
+    (none,) = udf.matched(iter([batch.slice(0, 0)]))
+    assert none.num_rows == 0
+    (part,) = udf.matched(iter([batch.slice(700, 300)]))
+    assert part.column("ops").to_pylist() == want[700:1000]
