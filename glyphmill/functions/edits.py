@@ -1,6 +1,7 @@
 """Unit-cost edit distances of many pairs at once, bit-parallel, in Arrow batches.
 
-Where one side begins the other, their lengths tell; of others, equal beginnings and ends are left out. A word of bits
+Where one side begins the other, their lengths tell; of others, equal beginnings and ends are left out. Of equally long sides with many changes
+only the stretches where insertions and deletions could beat changes in place are worked out (`_in_place`). A word of bits
 holds 16, 32 or 64 diagonals of the pair's matrix, and a column is a few operations on whole arrays of pairs. A distance inside the
 band is exact if no path outside can be shorter; the other pairs go again with a band of twice the width.
 """
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 #: Pairs that go together, items of either side at once, widest band in words of 64 bits, longest side in a band, most kinds of items in a table, fewest pairs a word, fewest
 #: pairs that are worth columns of their own.
 PAIRS, ITEMS, WIDEST, LONGEST, KINDS, FEW, APART = 1 << 13, 1 << 24, 16, 1 << 11, 128, 16, 512
+#: Farthest diagonal that `_doubtful` looks at, items that go through it at once, and changes that are too few for it: they fit the narrowest band.
+REACH, STEP, NARROW = 63, 1 << 19, 15
 
 
 def _flat(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -164,6 +167,133 @@ def _ends(differ: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray
     return head, tail
 
 
+def _hard(both: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Distances of n items of both from i on and m <= n from j on, of which apart differ place by place."""
+    out = np.zeros(len(n), np.int64)
+    if not len(n):
+        return out
+    both, kinds = _coded(np.concatenate([both[_flat(i, n)], both[_flat(j, m)]]))
+    i, j = np.cumsum(n) - n, np.cumsum(m) - m + int(n.sum())
+    hard, delta = np.arange(len(n)), n - m
+    # Items changed place by place, and those over, bound the distance: a narrow band that holds it is enough.
+    most = apart + delta
+    for word, bits in ((np.uint16, 16), (np.uint32, 32)):
+        fits = (delta[hard] < bits) & (most[hard] <= 2 * ((bits - 1 - delta[hard]) // 2) + delta[hard] + 1) & (n[hard] <= LONGEST)
+        if np.count_nonzero(fits) < FEW:
+            continue
+        narrow, hard = hard[fits], hard[~fits]
+        narrow = narrow[np.lexsort((m[narrow], -n[narrow]))]
+        for group in _groups(n[narrow]):
+            h = narrow[group]
+            out[h] = _banded(both, i[h], n[h], both, j[h], m[h], 1, kinds, word)[0]
+    first = np.where((apart <= n // 3) & (apart > 64 - delta), 2, 1)
+    later, hard = hard[first[hard] > 1], hard[first[hard] == 1]
+    width = 1
+    while len(hard) or len(later):
+        if width == 2:
+            hard, later = np.concatenate([hard, later]), later[:0]
+        hard = hard[np.lexsort((m[hard], -n[hard]))]
+        near = (n[hard] <= LONGEST) & (width <= WIDEST) & (len(hard) >= FEW * width)
+        for k in hard[~near].tolist():
+            out[k] = _whole(both[i[k] : i[k] + n[k]].tolist(), both[j[k] : j[k] + m[k]].tolist())
+        hard = hard[near]
+        fits, left = hard[n[hard] - m[hard] < 64 * width], [hard[n[hard] - m[hard] >= 64 * width]]
+        for group in _groups(n[fits]):
+            h = fits[group]
+            far, exact = _banded(both, i[h], n[h], both, j[h], m[h], width, kinds)
+            out[h[exact]] = far[exact]
+            left.append(h[~exact])
+        hard = np.concatenate(left)
+        width *= 2
+    return out
+
+
+def _stretches(weight: np.ndarray, least: int, changed: np.ndarray, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, one after the last) of the places in any stretch of weight least or more; joined ones with fewest changed or more."""
+    p = np.cumsum(weight, dtype=np.int64)
+    before = np.append(0, np.minimum(np.minimum.accumulate(p[:-1]), 0))
+    inside = np.maximum.accumulate(p[::-1])[::-1] - before >= least
+    ends = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
+    total = np.append(0, np.cumsum(changed, dtype=np.int64))
+    return tuple(ends[total[ends[:, 1]] - total[ends[:, 0]] >= fewest].T)
+
+
+def _doubtful(both: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """(row, first place, size) of the stretches of n items of both from i and from j on where changes in place may not be the shortest way.
+
+    A way through the matrix that beats the changes in place leaves the main diagonal and comes back, and somewhere
+    does so for less than the h changes it goes round. Going k diagonals off takes 2 * k steps aside at least, so h > 2 * k.
+    - k <= 2: h is 2 more, at least, than the rows whose item stands on none of the four diagonals at hand. Each of them is a
+      change or a step aside, and besides there is a step along the other side.
+    - k > 2: of the pairs of rows on its way, all but the first and last that stand as a whole on no diagonal at hand
+      take a change or a step aside each, so h is more than these. Three times h less twice these is then 2 * k - 1 at least.
+    - k > 7: likewise blocks of four rows, which take as many as their two pairs, or one if they as a whole stand on none; the first
+      and last have four at most, so three times h less twice the others' is 2 * k - 5 at least.
+    """
+    items = np.concatenate([both[_flat(i, n)], both[_flat(j, n)]])
+    kinds = int(items.max()) + 1
+    if kinds > 255:
+        items, kinds = _coded(items)
+    if kinds >= 1 << 16:  # too many kinds for a block: all rows as they are
+        return np.stack([np.arange(len(n)), np.zeros_like(n), n])
+    kind = _kind(kinds)
+    edge, length = REACH + 8 & ~3, (n + 3 & ~3) + 4  # padding ends each row
+    start = edge + np.cumsum(length) - length
+    size = int(length.sum())
+    x, y = np.full((2, size + 2 * edge), kinds, kind)
+    at = _flat(start, n)
+    x[at], y[at] = items[: len(at)], items[len(at) :]
+    differ, barrier = x != y, -6 * int(n.max()) - 6
+    off = (x[2:-2] != y[1:-3]) & (x[2:-2] != y[3:-1]) & (x[2:-2] != y[:-4]) & (x[2:-2] != y[4:])
+    weight = differ[2:-2].astype(np.int32)
+    weight -= off
+    weight[start - 3] = weight[start + length - 3] = barrier
+    inside = np.zeros(len(x), bool)
+    s, e = _stretches(weight, 2, differ[2:-2], 3)
+    inside[_flat(s + 2, e - s)] = True
+    none, tried, shifted = {}, {2: 0, 4: 0}, {}
+    pairs = differ[edge : edge + size].view(np.int8)
+    pairs = pairs[::2] + pairs[1::2]
+    for nearest, farthest, many in ((3, 7, 2), (8, 15, 4), (16, 31, 4), (32, REACH, 4)):
+        if 2 * nearest >= int(apart.max()):
+            break
+        for w in (2, 4)[: many // 2]:
+            word, lo, hi = f"u{w * x.itemsize}", edge // w, (edge + size) // w
+            here = x.view(word)[lo:hi]
+            if w not in none:
+                shifted[w] = [y[r : len(y) - 4 + r].copy().view(word) for r in range(w)]
+                none[w] = np.ones(hi - lo, bool)
+                none[w][((start + n - edge) // w)[n % w > 0]] = False  # the last one of a row is not full
+            for k in range(tried[w] + 1, farthest + 1):
+                for t, r in (divmod(k, w), divmod(-k, w)):
+                    none[w] &= here != shifted[w][r][lo + t : hi + t]
+            tried[w] = farthest
+        changed, steps = pairs, none[2].view(np.int8)
+        if many == 4:
+            changed, steps = pairs[::2] + pairs[1::2], np.maximum(none[4].view(np.int8), steps[::2] + steps[1::2])
+        weight = 3 * changed.astype(np.int32)
+        weight -= 2 * steps.astype(np.int32)
+        weight[(start + length - edge) // many - 1] = barrier
+        s, e = _stretches(weight, 2 * nearest - (1 if many == 2 else 5), changed, 2 * nearest + 1)
+        inside[_flat(many * s + edge, many * (e - s))] = True
+    s, e = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2).T
+    row = np.searchsorted(start, s, "right") - 1
+    return np.stack([row, s - start[row], np.minimum(e, (start + n)[row]) - s])
+
+
+def _in_place(both: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Distances of n items of both from i and from j on, which differ in apart <= 2 * REACH + 2 places: only doubtful stretches are worked out."""
+    found = [np.zeros((3, 0), np.int64)]
+    order = np.argsort(apart, kind="stable")
+    for h in np.split(order, np.flatnonzero(np.diff(np.cumsum(n[order]) // STEP)) + 1):
+        row, first, size = _doubtful(both, i[h], j[h], n[h], apart[h])
+        found.append(np.stack([h[row], first, size]))
+    row, first, size = np.concatenate(found, axis=1)
+    i, j = i[row] + first, j[row] + first
+    changed = np.add.reduceat(both[_flat(i, size)] != both[_flat(j, size)], np.cumsum(size) - size, dtype=np.int64) if len(row) else size
+    return apart - np.bincount(row, changed - _hard(both, i, size, j, size, changed), len(n)).astype(np.int64)
+
+
 def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
     """Distances of a[a_at[k]:a_at[k + 1]] and b[b_at[k]:b_at[k + 1]], both whole numbers."""
     out = np.zeros(len(a_at) - 1, np.int64)
@@ -173,7 +303,9 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
         rows = np.flatnonzero(part == g)
         i, n, j, m = a_at[rows], np.diff(a_at)[rows], b_at[rows], np.diff(b_at)[rows]
         low = np.minimum(n, m)
-        differ = np.append(a[_flat(i, low)] != b[_flat(j, low)], False)
+        both = [x[at[rows[0]] : at[rows[-1] + 1]] for x, at in ((a, a_at), (b, b_at))]
+        level = (n == m).all()
+        differ = np.append(both[0] != both[1] if level else a[_flat(i, low)] != b[_flat(j, low)], False)
         apart = np.where(low > 0, np.add.reduceat(differ, np.cumsum(low) - low, dtype=np.int64), 0)
         out[rows] = np.maximum(n, m)  # where a side is empty
         begins = (low > 0) & (apart == 0)
@@ -182,8 +314,7 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
         few = (n == m) & (apart > 0) & (apart < 3)
         out[rows[few]] = apart[few]
         hard = np.flatnonzero((apart > 0) & ~few)
-        both = np.concatenate([a[a_at[rows[0]] : a_at[rows[-1] + 1]], b[b_at[rows[0]] : b_at[rows[-1] + 1]]])
-        both, kinds = _coded(both)
+        both = np.concatenate(both)
         i, j = i - a_at[rows[0]], j - b_at[rows[0]] + (a_at[rows[-1] + 1] - a_at[rows[0]])
         swap = n < m
         i, j, n, m = np.where(swap, j, i), np.where(swap, i, j), np.where(swap, m, n), np.where(swap, n, m)
@@ -200,37 +331,11 @@ def distances(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray)
         m[hard] -= head + tail
         out[rows[hard]] = n[hard]  # where nothing of a side is left
         hard = hard[m[hard] > 0]
-        # Items changed place by place, and those over, bound the distance: a narrow band that holds it is enough.
-        delta = n - m
-        most = apart + delta
-        for word, bits in ((np.uint16, 16), (np.uint32, 32)):
-            fits = (delta[hard] < bits) & (most[hard] <= 2 * ((bits - 1 - delta[hard]) // 2) + delta[hard] + 1) & (n[hard] <= LONGEST)
-            if np.count_nonzero(fits) < FEW:
-                continue
-            narrow, hard = hard[fits], hard[~fits]
-            narrow = narrow[np.lexsort((m[narrow], -n[narrow]))]
-            for group in _groups(n[narrow]):
-                h = narrow[group]
-                out[rows[h]] = _banded(both, i[h], n[h], both, j[h], m[h], 1, kinds, word)[0]
-        first = np.where((apart <= n // 3) & (apart > 64 - delta), 2, 1)
-        later, hard = hard[first[hard] > 1], hard[first[hard] == 1]
-        width = 1
-        while len(hard) or len(later):
-            if width == 2:
-                hard, later = np.concatenate([hard, later]), later[:0]
-            hard = hard[np.lexsort((m[hard], -n[hard]))]
-            near = (n[hard] <= LONGEST) & (width <= WIDEST) & (len(hard) >= FEW * width)
-            for k in hard[~near].tolist():
-                out[rows[k]] = _whole(both[i[k] : i[k] + n[k]].tolist(), both[j[k] : j[k] + m[k]].tolist())
-            hard = hard[near]
-            fits, left = hard[n[hard] - m[hard] < 64 * width], [hard[n[hard] - m[hard] >= 64 * width]]
-            for group in _groups(n[fits]):
-                h = fits[group]
-                far, exact = _banded(both, i[h], n[h], both, j[h], m[h], width, kinds)
-                out[rows[h[exact]]] = far[exact]
-                left.append(h[~exact])
-            hard = np.concatenate(left)
-            width *= 2
+        near = (n[hard] == m[hard]) & (apart[hard] > NARROW) & (apart[hard] <= 2 * REACH + 2) & (n[hard] <= LONGEST)
+        near, hard = hard[near], hard[~near]
+        if len(near):
+            out[rows[near]] = _in_place(both, i[near], j[near], n[near], apart[near])
+        out[rows[hard]] = _hard(both, i[hard], n[hard], j[hard], m[hard], apart[hard])
     return out
 
 

@@ -91,6 +91,12 @@ def collapsed_words(text: Column | str) -> Column:
     return F.array_remove(F.split(_c(text), " "), "")
 
 
+def n_words(text: Column | str) -> Column:
+    """How many words a text has that is collapsed already: one more than its spaces."""
+    text = _c(text)
+    return F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+
+
 def words(text: Column | str, lower: bool = True) -> Column:
     """Words of a text, split at white space; none for an empty text."""
     text = collapse(text)
@@ -113,8 +119,17 @@ _list_shared = F.arrow_udf(edits.shared, T.IntegerType())
 
 
 def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Unit-cost edits between code points, worked out for whole Arrow batches of pairs."""
-    return _text_distance(_c(reference), _c(hypothesis))
+    """Unit-cost edits between code points, worked out for whole Arrow batches of pairs.
+
+    Where one text begins the other (is empty, or the same), their lengths tell, and neither goes to Python; this
+    is for columns given by name, as others would be worked out more than once.
+    """
+    r, h = _c(reference), _c(hypothesis)
+    if not (isinstance(reference, str) and isinstance(hypothesis, str)):
+        return _text_distance(r, h)
+    begins = F.startswith(r, h) | F.startswith(h, r)
+    other = _text_distance(F.when(~begins, r), F.when(~begins, h))
+    return F.when(begins, F.abs(F.length(r) - F.length(h))).otherwise(other)
 
 
 def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:

@@ -16,14 +16,14 @@ from glyphmill.sources import readers, sinks
 
 @query(f"WITH {v.SCORED_SQL} SELECT id, round(cer, 9) AS cer FROM scored WHERE system = 'frozen'")
 def character_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.systems(spark, sf_dir).where("system = 'frozen'")
+    s = v.systems(spark, sf_dir, "frozen")
     return s.select("id", F.round(tx.character_error_rate("reference", "hypothesis"), 9).alias("cer"))
 
 
 @query(f"""WITH {v.SYSTEMS_SQL}, w AS (SELECT id, {v.words_sql('reference')} AS r, {v.words_sql('hypothesis')} AS h FROM systems WHERE system = 'adapted')
 SELECT id, round({v.word_distance_sql('r', 'h')} / len(r), 9) AS wer FROM w""")
 def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.systems(spark, sf_dir).where("system = 'adapted'")
+    s = v.systems(spark, sf_dir, "adapted")
     return s.select("id", F.round(tx.word_error_rate("reference", "hypothesis"), 9).alias("wer"))
 
 
@@ -31,7 +31,7 @@ def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, length(r) AS ref_chars, length(h) AS hyp_chars, CASE WHEN r = '' THEN length(h) ELSE {v.distance_sql('r', 'h')} END::bigint AS char_edits, r = h AS exact,
   CASE WHEN r <> '' THEN round({v.distance_sql('r', 'h')} / length(r), 9) END AS cer, CASE WHEN r = '' THEN 'Empty reference: rates have zero denominators' END AS rate_reason FROM b""")
 def blank_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.systems(spark, sf_dir).where("system = 'adapted'")
+    s = v.systems(spark, sf_dir, "adapted")
     s = s.withColumn("reference", F.when(F.col("pos") % 5 == 0, "  ").otherwise(F.col("reference")))
     return metrics.pair_metrics(s).select("id", "ref_chars", "hyp_chars", "char_edits", "exact", _r("cer"), "rate_reason")
 
@@ -183,7 +183,7 @@ def parameter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.SYSTEMS_SQL} SELECT id, reference, hypothesis FROM systems WHERE system = 'adapted'")
 def paired_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = v.systems(spark, sf_dir).where("system = 'adapted'").select("id", F.col("hypothesis").alias("text"))
+    said = v.systems(spark, sf_dir, "adapted").select("id", F.col("hypothesis").alias("text"))
     return metrics.join_hypotheses(v.lines(spark, sf_dir).select("id", "text"), said).select("id", "reference", "hypothesis")
 
 
@@ -256,7 +256,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {v.SYSTEMS_SQL} SELECT count(*) AS n, sum((length(reference) % 13 <> 0)::bigint)::bigint AS identical FROM systems WHERE system = 'adapted'""")
 def reload_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = v.systems(spark, sf_dir).where("system = 'adapted'").select("id", "reference", F.col("hypothesis").alias("text"))
+    a = v.systems(spark, sf_dir, "adapted").select("id", "reference", F.col("hypothesis").alias("text"))
     again = a.select("id", F.when(F.length("reference") % 13 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
     return runner.parity(a, again)
 
@@ -268,7 +268,7 @@ def reload_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, round(sum(char_edits) / sum(ref_chars), 9) AS cer, round(sum(word_edits) / sum(ref_words), 9) AS wer, round(avg(cer), 9) AS cer_macro, round(avg(exact::double), 9) AS exact_match,
   sum(char_edits)::bigint AS char_edits, sum(ref_chars)::bigint AS ref_chars, sum(word_edits)::bigint AS word_edits, sum(ref_words)::bigint AS ref_words FROM e""")
 def composed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.ocr_metrics(v.systems(spark, sf_dir).where("system = 'adapted'").select("reference", "hypothesis"))
+    m = metrics.ocr_metrics(v.systems(spark, sf_dir, "adapted").select("reference", "hypothesis"))
     return m.select("n", *(_r(c) for c in ("cer", "wer", "cer_macro", "exact_match")), "char_edits", "ref_chars", "word_edits", "ref_words")
 
 
@@ -342,7 +342,7 @@ _HISTORY_SQL = f"""{v.SCORED_SQL}, history AS (SELECT lang AS config, regexp_ext
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.systems(spark, sf_dir).where("system = 'frozen'")
+    s = v.systems(spark, sf_dir, "frozen")
     rate = F.round(F.sum(tx.char_distance("reference", "hypothesis").cast("long")) / F.sum(F.length("reference").cast("long")), 6)
     return s.groupBy(F.col("lang").alias("config"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("epoch")).agg(rate.alias("cer"))
 

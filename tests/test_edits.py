@@ -172,3 +172,46 @@ def test_stretches_of_words_as_by_matching_blocks(monkeypatch):
     assert none.num_rows == 0
     (part,) = udf.matched(iter([batch.slice(700, 300)]))
     assert part.column("ops").to_pylist() == want[700:1000]
+
+
+def test_only_doubtful_stretches_are_worked_out(monkeypatch):
+    """Equally long lines were worked out from their first change to their last."""
+    r = random.Random(6)
+    both = []
+    for k in range(400):
+        a = [r.choice("etaoinshrdlu ,.bcfgmpwy") for _ in range(r.choice([60, 200, 512]))]
+        b = list(a)
+        for at in range(r.randrange(9), len(b) - 1, 11):
+            b[at : at + 2] = r.choice([[b[at + 1], b[at]], ["ä", b[at + 1]]])
+        if k % 4 == 0:  # a stretch that moved by some places: changes in place are not the shortest way
+            by, at = r.choice([1, 2, 3, 5, 9, 20]), r.randrange(30)
+            b[at : at + 40] = b[at + by : at + 40] + ["x"] * by
+        both.append(("".join(a), "".join(b)))
+    seen, banded = [], edits._banded
+    monkeypatch.setattr(edits, "_banded", lambda *x: seen.append(int(x[2].sum())) or banded(*x))
+    want = [edits._whole(list(a), list(b)) for a, b in both]
+    assert any(w < sum(x != y for x, y in zip(a, b)) for w, (a, b) in zip(want, both))
+    assert edits.of_texts(*(pa.array(x) for x in zip(*both))).to_pylist() == want
+    assert sum(seen) < 0.4 * sum(len(a) for a, _ in both)
+
+
+def test_doubtful_stretches_of_few_letters_and_all_reaches(monkeypatch):
+    r = random.Random(7)
+    both = []
+    for _ in range(300):
+        letters = r.choice(["ab", "abcd", "abcdefghijklmnop", [chr(0x4E00 + i) for i in range(400)]])
+        a = [r.choice(letters) for _ in range(r.choice([3, 9, 30, 64, 131, 300]))]
+        b = list(a)
+        for _ in range(r.choice([1, 3, 8])):
+            by, at, n = r.choice([1, 2, 3, 8, 16, 33]), r.randrange(len(b)), r.choice([2, 9, 70])
+            part = b[at : at + n]
+            by = min(by, len(part))
+            b[at : at + n] = r.choice([part[by:] + part[:by], part[:-by] + [r.choice(letters)] * by if len(part) > by else part[::-1]])
+        if len(b) == len(a):
+            both.append(("".join(a), "".join(b)))
+    want = [edits._whole(list(a), list(b)) for a, b in both]
+    monkeypatch.setattr(edits, "NARROW", 0)
+    for step, reach in ((1 << 19, 63), (300, 63), (5000, 31)):
+        monkeypatch.setattr(edits, "STEP", step)
+        monkeypatch.setattr(edits, "REACH", reach)
+        assert edits.of_texts(*(pa.array(x) for x in zip(*both))).to_pylist() == want

@@ -152,3 +152,23 @@ def test_collapse_of_every_white_space_and_run(spark):
     texts = ["", " ", "  ", "a b", " a", "a  ", *(f"{p}{s}{q}" for s in spaces for p in ("a", "a ", " ", "a\t") for q in ("b", " b", "　b", ""))]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.collapse("t"), tx.words("t", lower=False)).collect()
     assert {i: (c, list(w)) for i, c, w in got} == {i: (" ".join(t.split()), t.split()) for i, t in enumerate(texts)}
+
+
+def test_a_text_that_begins_the_other_stays_in_the_jvm(spark):
+    rows = [("", ""), ("abc", ""), ("", "xy"), ("añ😀", "añ😀"), ("añ😀", "añ😀 añ😀"), ("abcd", "ab"), ("th", "ht"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "r string, h string").select(tx.char_distance("r", "h").alias("d"))
+    assert [x.d for x in df.collect()] == [0, 3, 2, 0, 4, 2, 2, None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith(" in [x for x in plan.splitlines() if "ArrowEvalPython" in x][0]
+
+
+def test_one_system_is_one_row_a_line(spark):
+    """A named system's lines were made for both systems and then filtered."""
+    from glyphmill.plans import views
+
+    one = views.systems(spark, "/root/testdata/sf0.001", "adapted")
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 0
+    both = views.systems(spark, "/root/testdata/sf0.001").where("system = 'adapted'")
+    assert one.columns == both.columns and one.exceptAll(both).count() == both.exceptAll(one).count() == 0
+    words = both.select("new_tokens", F.size(tx.words("hypothesis")).alias("n")).collect()
+    assert words and all(x.new_tokens == x.n for x in words)
