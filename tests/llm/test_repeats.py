@@ -57,3 +57,13 @@ def test_an_anchor_of_many_contexts(spark):
     got = {x.doc_id: x for x in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect()}
     assert {i for i, x in got.items() if x.has_repeat} == {7, *range(repeats.MOST + 50, repeats.MOST + 53)}
     assert got[7].n_removed == 530
+
+
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    r = random.Random(8)
+    passage = lambda n: (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(67)))[:n]
+    texts = [c + x + c for x in (passage(359), passage(399), passage(400)) for c in "pq"]  # 60, 67 and 67 words
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = lambda n: [(x.n_bytes, x.n_removed) for x in repeats.remove_repeats(docs, n).orderBy("doc_id").collect()]
+    assert at(400) == [(361, 0)] * 2 + [(401, 0)] * 2 + [(402, 400)] * 2
+    assert at(300) == [(361, 359)] * 2 + [(401, 399)] * 2 + [(402, 400)] * 2
