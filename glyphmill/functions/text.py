@@ -195,11 +195,12 @@ def markup_to_text(markup: Column | str) -> Column:
     return collapse(x)
 
 
-def strip_partial_markup(text: Column | str) -> Column:
-    """struct(text, fragment): the text without one unfinished tag at its end, and that tag."""
-    x = collapse(text)
+def strip_partial_markup(text: Column | str, collapsed: bool = False) -> Column:
+    """struct(text, fragment): the text without one unfinished tag at its end, and that tag; collapsed tells that the text is so already."""
+    x = _c(text) if collapsed else collapse(text)
     fragment = F.regexp_extract(x, _PARTIAL, 0)
-    return F.struct(collapse(F.regexp_replace(x, _PARTIAL, "")).alias("text"), fragment.alias("fragment"))
+    # A collapsed text without its end has at most one space to lose.
+    return F.struct(F.trim(F.regexp_replace(x, _PARTIAL, "")).alias("text"), fragment.alias("fragment"))
 
 
 def _names(markup: Column, pattern: str) -> Column:

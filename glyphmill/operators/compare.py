@@ -67,22 +67,24 @@ def readings(deltas: DataFrame, base: str, measure: str, digits: int = 4) -> Dat
     return deltas.select("system", F.when(d < 0, say("lower than")).when(d > 0, say("higher than")).otherwise(say("as")).alias("reading"))
 
 
-def markup_sensitivity(scored: DataFrame) -> DataFrame:
+def markup_sensitivity(scored: DataFrame, collapsed: bool = False) -> DataFrame:
     """One row a system: rates before and after an unfinished tag at the end is left out; failures of its markup.
 
-    scored has system, id, reference, hypothesis, truncated and markup (null where a system makes none).
+    scored has system, id, reference, hypothesis, truncated and markup (null where a system makes none);
+    collapsed tells that neither text has white space but single spaces between words, and none is looked for.
     """
-    strip = tx.strip_partial_markup("hypothesis")
-    base = scored.select("system", "id", "reference", "hypothesis", "truncated", "markup", strip.alias("s"))
-    kept = ["system", "truncated", "markup", "s", "reference"]
-    first = pair_metrics(base).select(*kept, F.struct("char_edits", "word_edits", "ref_chars", "ref_words").alias("configured"))
+    norm = F.col if collapsed else tx.collapse
+    plain = scored.select("system", "truncated", "markup", norm("reference").alias("reference"), norm("hypothesis").alias("hypothesis"))
+    base = plain.withColumn("s", tx.strip_partial_markup("hypothesis", collapsed=True))
+    # Each count stays a column of its own, so distances that no one asks for are not worked out.
+    counts = ("char_edits", "word_edits", "ref_chars", "ref_words")
+    first = pair_metrics(base, collapsed=True).select("system", "truncated", "markup", "s", "reference", *(F.col(c).alias(f"configured_{c}") for c in counts))
     # The text without its tag is scored again only where there was one: an equal pair costs no distance.
     again = F.length("s.fragment") > 0
     more = first.withColumns({"had_tag": again, "_ref": F.when(again, F.col("reference")).otherwise(""), "_hyp": F.when(again, F.col("s.text")).otherwise("")})
-    more = pair_metrics(more, "_ref", "_hyp")
-    cut = F.struct("char_edits", "word_edits", F.col("configured.ref_chars"), F.col("configured.ref_words"))
-    both = more.withColumn("markup_excluded", F.when(F.col("had_tag"), cut).otherwise(F.col("configured")))
-    rate = lambda m, e, t: F.sum(f"{m}.{e}") / F.sum(f"{m}.{t}")
+    more = pair_metrics(more, "_ref", "_hyp", collapsed=True)
+    both = more.withColumns({f"markup_excluded_{e}": F.when(F.col("had_tag"), F.col(e)).otherwise(F.col(f"configured_{e}")) for e in ("char_edits", "word_edits")})
+    rate = lambda m, e, t: F.sum(f"{m}_{e}") / F.sum(f"configured_{t}")
     out = both.withColumn("f", tx.markup_failures("markup")).groupBy("system").agg(
         F.count("*").alias("lines"),
         F.sum((F.length("s.fragment") > 0).cast("long")).alias("lines_with_partial_tag"),

@@ -157,3 +157,21 @@ def test_stages(spark, tmp_path):
     rows = stages.structure(drawn, pages.expected_counts(p)).where("page_id = 'invoice'").collect()
     assert {(r.element_type, r.absolute_count_error) for r in rows} == {("otsl", 0), ("section_header_level_1", 1)}
     assert pages.probes(spark, p).count() == 64
+
+
+def test_markup_sensitivity_works_out_only_what_is_asked(spark):
+    """Character rates alone take two distances, not the words' two as well; both rates and white space come out as before."""
+    from glyphmill.operators import compare
+
+    rows = [("a", "one two three", "one two thre <loc_5", True, None), ("a", "x  y", "x y", False, None), ("b", "abc  def", " abd  def </te", False, "<text>x"), ("b", "abc", None, False, "<loc_501>"), ("b", "abc", "<loc_", False, "x")]
+    said = spark.createDataFrame(rows, "system string, reference string, hypothesis string, truncated boolean, markup string")
+    out = compare.markup_sensitivity(said)
+    plan = out.select("system", "configured_cer", "markup_excluded_cer")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 4
+    got = {r.system: r for r in out.collect()}
+    a, b = got["a"], got["b"]
+    assert (a.lines, a.lines_with_partial_tag, a.partial_tag_chars, a.truncated_lines, a.lines_unbalanced_element_tags) == (2, 1, 6, 1, None)
+    assert (a.configured_cer, a.markup_excluded_cer, a.configured_wer, a.markup_excluded_wer) == (7 / 16, 1 / 16, 2 / 5, 1 / 5)
+    assert (b.lines, b.lines_with_partial_tag, b.partial_tag_chars, b.lines_unbalanced_element_tags, b.lines_malformed_locations) == (3, 2, 9, 1, 1)
+    assert (b.configured_cer, b.markup_excluded_cer, b.configured_wer, b.markup_excluded_wer) == (13 / 13, 7 / 13, 4 / 4, 3 / 4)
