@@ -164,3 +164,36 @@ def test_edges_reach_the_length():
     y[[3, 9, 15, 30, 41, 47, 49]] += 1000
     got = passages.align(np.r_[x[:50], x[:0]], y[:50], [16], [16], [14], 50, 0.8)
     assert [(a, b, c, d) for a, b, c, d, _ in got] == [(0, 50, 0, 50)] and got[0][4] == 0.86
+
+
+def test_every_pair_of_a_seed_is_settled(spark, monkeypatch):
+    """An edited pair meets though its pieces stand in many documents between, all links of a common passage count, also in parts."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    fill = lambda n=60: [word() for _ in range(n)]
+    w, common = fill(80), fill(60)
+    edited = [word() if k % 10 == 9 else x for k, x in enumerate(w)]
+    apart = lambda: sum((fill(25) + w[k : k + 9] for k in range(0, 80, 10)), [])
+    docs = [(i, apart()) for i in (1, 2, 20, 30, 31, 40)] + [(10, fill() + w + fill()), (50, fill() + edited + fill())]
+    docs += [(100 + i, fill(i) + common + fill(9)) for i in range(30)]
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")
+    for size in (passages.BLOCK, 8):
+        monkeypatch.setattr(passages, "BLOCK", size)
+        got = {x.doc_id: x for x in passages.fuzzy_passages(rows).collect()}
+        assert (got[10].class_id, got[50].class_id, got[10].n_links, got[50].n_links) == (10, 10, 1, 1)
+        assert all(got[i].n_links == 0 for i in (1, 2, 20, 30, 31, 40))
+        assert all((x.class_id, x.n_links, x.dup_words) == (100, 29, 60) for i, x in got.items() if i >= 100)
+
+
+def test_shared_seeds_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    rows = sorted({(int(a), int(b), int(c)) for a, b, c in zip(r.integers(0, 60, 400), r.integers(0, 9, 400), r.integers(0, 30, 400))})
+    seeds = {}
+    for h, d, p in rows:
+        seeds.setdefault(h, []).append(d)
+    want = [(h, d, p, len(seeds[h]) == len(set(seeds[h])) <= passages.BEFORE + 2) for h, d, p in rows if len(set(seeds[h])) > 1]
+    for size in (1, 2, 3, 7, 50, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], ["h", "doc", "pos"]) for i in range(0, len(rows), size)]
+        assert [t for b in passages.shared(iter(batches)) for t in zip(*(c.tolist() for c in b))] == want
